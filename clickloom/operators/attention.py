@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import items
+from .encode import LOOKUP_LIMIT
 
 MASKED_SCORE = -1e4
+ROWS_AT_ONCE = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,13 +52,65 @@ def attention_weights(
     )
 
 
-def attention_pool(
+def attention_pool_join(
     df: DataFrame, vectors: DataFrame, key: str = "id", seq: str = "seq", candidate: str = "candidate"
 ) -> DataFrame:
-    """<key, dim, pooled>: weighted mean of the history vectors per dimension."""
-    weights = attention_weights(df, vectors, key, seq, candidate)
-    return (
-        weights.select(key, "weight", F.posexplode("vec").alias("dim", "x"))
-        .groupBy(key, "dim")
-        .agg(F.sum(F.col("weight") * F.col("x").cast("double")).alias("pooled"))
-    )
+    """<key, pooled> for vector tables of any size. Rows whose whole history is masked are left out."""
+    weights = attention_weights(df, vectors, key, seq, candidate).where(F.col("vec").isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")), F.col("weight"))
+    pooled = weights.groupBy(key).agg(vector_to_array(mean).alias("_mean"), F.sum("weight").alias("_share"))
+    return pooled.select(key, F.transform("_mean", lambda x: x * F.col("_share")).alias("pooled"))
+
+
+def pool_function(matrix: np.ndarray, spark):
+    """An Arrow function (codes, candidate code) -> pooled vector over whole batches.
+
+    ``matrix`` holds one row per code; row 0 is padding. A slice of rows is
+    worked on at a time, so that memory follows the slice and not the batch.
+    """
+    shared = spark.sparkContext.broadcast(matrix)
+
+    def pool(codes: pa.Array, candidate: pa.Array) -> pa.Array:
+        vectors = shared.value
+        wanted = candidate.fill_null(0).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(codes), vectors.shape[1]))
+        for at in range(0, len(codes), ROWS_AT_ONCE):
+            part = codes.slice(at, ROWS_AT_ONCE)
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            sizes = part.value_lengths().to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            history = vectors[flat]
+            asked = vectors[wanted[at : at + ROWS_AT_ONCE]]
+            score = np.einsum("ij,ij->i", history, np.repeat(asked, sizes, axis=0))
+            score[flat == 0] = MASKED_SCORE
+            raised = np.exp(score - np.repeat(np.maximum.reduceat(score, starts), sizes))
+            weight = raised / np.repeat(np.add.reduceat(raised, starts), sizes)
+            out[at : at + ROWS_AT_ONCE] = np.add.reduceat(weight[:, None] * history, starts, axis=0)
+        offsets = np.arange(0, out.size + 1, vectors.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    return F.arrow_udf(pool, "array<double>")
+
+
+def vector_matrix(vectors: DataFrame, limit: int = LOOKUP_LIMIT) -> np.ndarray:
+    """Row ``idx`` holds the vector of that index (1..n), row 0 is zero. Refuses more than ``limit`` rows."""
+    if vectors.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} vectors: use attention_pool_join")
+    table = vectors.select("idx", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()
+    place = table.column("idx").to_numpy()
+    rows = np.stack(table.column("vec").to_pylist()).astype(float)
+    matrix = np.zeros((int(place.max()) + 1, rows.shape[1]))
+    matrix[place] = rows
+    return matrix
+
+
+def attention_pool(
+    df: DataFrame, vectors: DataFrame, key: str = "id", codes: str = "codes", candidate: str = "candidate_code"
+) -> DataFrame:
+    """<key, pooled> from encoded histories and candidates; the rows are not shuffled.
+
+    ``vectors`` is <idx, vec> with dense indices from 1, as the vocabulary gives
+    them; its size is checked before it is sent to the tasks.
+    """
+    pool = pool_function(vector_matrix(vectors), df.sparkSession)
+    return df.select(key, pool(F.col(codes), F.col(candidate)).alias("pooled"))

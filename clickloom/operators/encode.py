@@ -63,31 +63,37 @@ def freq_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # -- labels ------------------------------------------------------------------
 
 
-def label_table(frames: Sequence[DataFrame], column: str, unknown: str | None = "UNK") -> DataFrame:
-    """<value, code> fitted on the union of all frames, in text order from 0.
+def label_table(frames: Sequence[DataFrame], columns: Sequence[str], unknown: str | None = "UNK") -> DataFrame:
+    """<column, value, code> fitted on the union of all frames, each column in text order from 0.
 
-    With ``unknown`` nulls take part under that marker; without, they get no entry.
+    All columns are stacked, so every frame is read once. With ``unknown`` nulls
+    take part under that marker; without, they get no entry.
     """
-    value = F.col(column).cast("string") if unknown is None else fill_text(column, unknown)
-    union = reduce(DataFrame.unionByName, [f.select(value.alias("value")) for f in frames])
-    return dense_index(union.where(F.col("value").isNotNull()).distinct(), ["value"], "code")
+
+    def value(c: str):
+        return F.col(c).cast("string") if unknown is None else fill_text(c, unknown)
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
+    union = reduce(DataFrame.unionByName, [f.select(F.inline(pairs)) for f in frames])
+    return dense_index(union.where(F.col("value").isNotNull()).distinct(), ["value"], "code", by=["column"])
 
 
 def apply_labels(
-    df: DataFrame, table: DataFrame, column: str, unknown: str = "UNK", output: str | None = None
+    df: DataFrame, table: DataFrame, columns: Sequence[str], unknown: str = "UNK", suffix: str = "_code"
 ) -> DataFrame:
-    """Add the code of each value; values outside the table get null."""
-    side = table.select(F.col("value").alias("_value"), F.col("code").alias(output or f"{column}_code"))
-    return df.join(side, fill_text(column, unknown) == F.col("_value"), "left").drop("_value")
+    """Add ``<column>_code``; values outside the table get null."""
+    for c in columns:
+        side = table.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(c + suffix))
+        df = df.join(side, fill_text(c, unknown) == F.col("_value"), "left").drop("_value")
+    return df
 
 
-def category_codes(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
+def category_codes(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Sorted non-null values to 0..n-1, null to n."""
-    table = label_table([df], column, unknown=None)
-    n = table.agg(F.count(F.lit(1))).scalar().cast("int")
-    coded = apply_labels(df, table, column, MISSING, output)
-    name = output or f"{column}_code"
-    return coded.withColumn(name, F.coalesce(name, n))
+    table = label_table([df], columns, unknown=None)
+    coded = apply_labels(df, table, columns, MISSING, suffix)
+    sizes = {c: table.where(F.col("column") == c).agg(F.count(F.lit(1))).scalar().cast("int") for c in columns}
+    return coded.withColumns({c + suffix: F.coalesce(c + suffix, n) for c, n in sizes.items()})
 
 
 # -- sequence vocabulary -------------------------------------------------------
@@ -115,14 +121,10 @@ def seq_vocabulary(
     found = reduce(DataFrame.unionByName, parts).distinct()
     if not legacy:
         return dense_index(found, ["item"], "idx", start=1)
-    zero = df_of_one_text(found, "0")
+    zero = found.sparkSession.range(1).select(F.lit("0").alias("item"))
     return dense_index(found.unionByName(zero).distinct(), ["item"], "idx")
 
 
-def df_of_one_text(like: DataFrame, text: str) -> DataFrame:
-    return like.sparkSession.range(1).select(F.lit(text).alias("item"))
-
-
 def seq_encode_join(df: DataFrame, vocabulary: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """<key, codes> through a join; for vocabularies of any size.
 

@@ -33,15 +33,24 @@ def prior_totals(banded: DataFrame, totals: dict[str, str], by: Sequence[str] =
     )
 
 
-def dense_index(df: DataFrame, order: Sequence[str], name: str, start: int = 0, bands: int | None = None) -> DataFrame:
-    """Number the rows ``start``, ``start + 1``, ... in the given order (ties broken by nothing:
-    the order columns should be unique)."""
-    banded = ordered_bands(df.withColumn("_one", F.lit(1)), order, bands)
-    before = prior_totals(banded, {"_one": "_before"})
-    inside = Window.partitionBy(BAND).orderBy(*order)
+def dense_index(
+    df: DataFrame,
+    order: Sequence[str],
+    name: str,
+    start: int = 0,
+    by: Sequence[str] = (),
+    bands: int | None = None,
+) -> DataFrame:
+    """Number the rows of each group ``start``, ``start + 1``, ... in the given order.
+
+    Rows should be unique on the group and order columns.
+    """
+    banded = ordered_bands(df.withColumn("_one", F.lit(1)), [*by, *order], bands)
+    before = prior_totals(banded, {"_one": "_before"}, by)
+    inside = Window.partitionBy(*by, BAND).orderBy(*order)
     return (
         banded.withColumn("_inside", F.row_number().over(inside))
-        .join(before, BAND)
+        .join(before, [*by, BAND])
         .withColumn(name, (F.col("_before") + F.col("_inside") - F.lit(1) + F.lit(start)).cast("int"))
         .drop("_one", BAND, "_inside", "_before")
     )

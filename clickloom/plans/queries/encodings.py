@@ -29,10 +29,8 @@ LABELS = ("gender", "age_group", "inventory_id", "l_feat_14")
 def label_encode(spark, sf):
     """One code list per column, fitted on train and test together."""
     rows = impressions(spark, sf, "users").select("id", "day", *LABELS)
-    df = rows
-    for c in LABELS:
-        table = encode.label_table([rows.where(is_train()), rows.where(~is_train())], c)
-        df = encode.apply_labels(df, table, c)
+    codes = encode.label_table([rows.where(is_train()), rows.where(~is_train())], LABELS)
+    df = encode.apply_labels(rows, codes, LABELS)
     return df.select("id", *[f"{c}_code" for c in LABELS])
 
 
@@ -43,7 +41,7 @@ SELECT id, CAST(CASE WHEN inventory_id IS NULL THEN (SELECT count(DISTINCT inven
 FROM imp o""", "users"))
 def category_codes(spark, sf):
     df = impressions(spark, sf, "users").select("id", "inventory_id", "gender")
-    df = encode.category_codes(encode.category_codes(df, "inventory_id"), "gender")
+    df = encode.category_codes(df, ["inventory_id", "gender"])
     return df.select("id", "inventory_id_code", "gender_code")
 
 
@@ -67,7 +65,7 @@ FROM imp""", "users"))
 def assemble(spark, sf):
     """Numeric block and one code column per category in a feature vector."""
     rows = impressions(spark, sf, "users")
-    coded = encode.apply_labels(rows, encode.label_table([rows], "inventory_id"), "inventory_id")
+    coded = encode.apply_labels(rows, encode.label_table([rows], ["inventory_id"]), ["inventory_id"])
     df = learners.assembler([*NUMERIC, "inventory_id_code"]).transform(coded)
     parts = vector_to_array("features")
     return df.select(

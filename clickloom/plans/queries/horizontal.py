@@ -9,7 +9,7 @@ from ...functions.values import flag
 from ...sources.impressions import impressions, table
 from .. import features
 from ..config import DEFAULT
-from .registry import query, r, with_imp
+from .registry import NUDGE, query, r, with_imp
 
 ALL = ("users", "orders", "history")
 HIST_A = ("history_a_1", "history_a_2", "history_a_3", "history_a_4")
@@ -35,12 +35,12 @@ def stat_sql(stat: str, cols, dtype: str = "DOUBLE") -> str:
 
 def stats_sql(groups, stats, digits: int = 4) -> str:
     return ", ".join(
-        f"round({stat_sql(s, cols)}, {digits}) + 0.0 AS {name}_{s}" for name, cols in groups.items() for s in stats
+        f"round({stat_sql(s, cols)} + {NUDGE}, {digits}) + 0.0 AS {name}_{s}" for name, cols in groups.items() for s in stats
     )
 
 
 def made(groups, stats, digits: int = 4):
-    return [r(f"{name}_{s}", digits) for name in groups for s in stats]
+    return [r(f"{name}_{s}", digits, nudge=NUDGE) for name in groups for s in stats]
 
 
 @query("group_mean_max_min", with_imp(
@@ -94,11 +94,11 @@ def l_feat_z(spark, sf):
 
 
 @query("hist_means", with_imp(f"""
-SELECT id, round({stat_sql('mean', HIST_A)}, 4) + 0.0 AS hist_a_mean, round({stat_sql('mean', HIST_B)}, 4) AS hist_b_mean
+SELECT id, round({stat_sql('mean', HIST_A)} + {NUDGE}, 4) AS hist_a_mean, round({stat_sql('mean', HIST_B)} + {NUDGE}, 4) AS hist_b_mean
 FROM imp""", "orders", "history"))
 def hist_means(spark, sf):
     return impressions(spark, sf, "orders", "history").select(
-        "id", r(H.row_mean(HIST_A), 4, "hist_a_mean"), r(H.row_mean(HIST_B), 4, "hist_b_mean")
+        "id", r(H.row_mean(HIST_A), 4, "hist_a_mean", NUDGE), r(H.row_mean(HIST_B), 4, "hist_b_mean", NUDGE)
     )
 
 

@@ -44,8 +44,8 @@ LEFT JOIN (SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) A
 def lookup_join(spark, sf):
     """Codes fitted on part of the rows and looked up for all; unseen values stay null."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    codes = encode.label_table([docs.where(F.col("id") % 3 == 0)], "lang", unknown=None)
-    return encode.apply_labels(docs, codes, "lang")
+    codes = encode.label_table([docs.where(F.col("id") % 3 == 0)], ["lang"], unknown=None)
+    return encode.apply_labels(docs, codes, ["lang"])
 
 
 @query("value_counts", with_imp('SELECT inventory_id, count(*) AS "count" FROM imp GROUP BY inventory_id', "users"))
@@ -91,11 +91,11 @@ def fold_median(spark, sf):
 
 
 @query("fold_mean", f"""WITH {FOLD_PREDS}
-SELECT id, model, round(avg(pred), 5) AS pred FROM preds WHERE NOT (model = 'c' AND fold = 2) GROUP BY id, model""")
+SELECT id, model, round(avg(pred), 8) AS pred FROM preds WHERE NOT (model = 'c' AND fold = 2) GROUP BY id, model""")
 def fold_mean(spark, sf):
     """One fold of one model is missing and is skipped."""
     preds = fold_predictions(spark, sf).where(~((F.col("model") == "c") & (F.col("fold") == 2)))
-    return ensemble.fold_mean(preds).select("id", "model", r("pred", 5))
+    return ensemble.fold_mean(preds).select("id", "model", r("pred", 8))
 
 
 @query("cumulative_counts", f"""WITH {TIED}
@@ -117,7 +117,8 @@ FROM (SELECT DISTINCT age_group || '_' || "hour" AS value FROM imp) x""", "users
 def sorted_values(spark, sf):
     """Distinct text values numbered in text order."""
     rows = impressions(spark, sf, "users")
-    return encode.label_table([rows.select(F.concat("age_group", F.lit("_"), "hour").alias("v"))], "v")
+    values = rows.select(F.concat("age_group", F.lit("_"), "hour").alias("v"))
+    return encode.label_table([values], ["v"]).select("value", "code")
 
 
 @query("first_items", with_words("SELECT id, array_to_string(string_split(seq, ',')[1:5], ',') AS head FROM docs"))

@@ -39,7 +39,8 @@ def stored_features(spark, sf):
         return training.with_folds(rows)
 
     settings = {**DEFAULT, "features": {"plan": "tree_features"}}
-    df = cache.feature_cache(spark, build, settings, inputs, f"{shared_dir(spark)}/clickloom/features")
+    root = f"{shared_dir(spark)}/clickloom/features-{spark.sparkContext.applicationId}"
+    df = cache.feature_cache(spark, build, settings, inputs, root)
     return df.where(is_train()), df.where(~is_train())
 
 

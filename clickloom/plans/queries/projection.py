@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import values as V
 from ...sources.impressions import impressions, table
 from .. import features
-from .registry import query, r, with_imp
+from .registry import NUDGE, query, r, with_imp
 
 
 @query("ctr_by_segment", with_imp("""
@@ -140,16 +140,16 @@ def class_filter(spark, sf):
     )
 
 
-TREE_SQL = with_imp("""
+TREE_SQL = with_imp(f"""
 SELECT id, clicked, n AS seq_length, CASE WHEN n <= 100 THEN 0 WHEN n <= 200 THEN 1 WHEN n <= 500 THEN 2 WHEN n <= 1000 THEN 3 ELSE 4 END AS seq_length_bin,
   round(ln(1 + n), 6) AS seq_length_log, CAST(contains(seq, ',74,') AS TINYINT) AS seq_has_74,
   CASE WHEN a1 <= 0.05::DOUBLE THEN 0 WHEN a1 <= 0.1::DOUBLE THEN 1 WHEN a1 <= 0.2::DOUBLE THEN 2 WHEN a1 <= 1 THEN 3 ELSE 4 END AS history_a_1_bin,
   CAST(h IN (2, 3, 4) AS TINYINT) AS is_dawn, CAST(d IN (6, 7) AS TINYINT) AS is_weekend,
   round(a1 * ln(1 + n), 6) AS h1_x_seqlen, age_group || '_' || "hour" AS age_hour,
-  round(list_avg([history_a_1, history_a_2, history_a_3, history_a_4]), 4) + 0.0 AS history_a_mean,
+  round(list_avg([history_a_1, history_a_2, history_a_3, history_a_4]) + {NUDGE}, 4) AS history_a_mean,
   round(list_aggregate([feat_a_1, feat_a_2, feat_a_3], 'stddev_samp'), 4) AS feat_a_std,
   round(greatest(feat_b_1, feat_b_2), 4) AS feat_b_max,
-  round(list_avg([feat_e_1, feat_e_2]), 4) AS feat_e_mean
+  round(list_avg([feat_e_1, feat_e_2]) + {NUDGE}, 4) AS feat_e_mean
 FROM (SELECT *, len(string_split(seq, ',')) AS n, history_a_1 AS a1, CAST("hour" AS INTEGER) AS h, CAST(day_of_week AS INTEGER) AS d FROM imp) x""",
     "users", "orders", "history", "seq")
 
@@ -160,8 +160,8 @@ def tree_features(spark, sf):
     df = features.tree_features(impressions(spark, sf, "users", "orders", "history", "seq"))
     return df.select(
         "id", "clicked", F.col("seq_length").cast("bigint").alias("seq_length"), "seq_length_bin", r("seq_length_log"), "seq_has_74", "history_a_1_bin",
-        "is_dawn", "is_weekend", r("h1_x_seqlen"), "age_hour", r("history_a_mean", 4), r("feat_a_std", 4),
-        r("feat_b_max", 4), r("feat_e_mean", 4),
+        "is_dawn", "is_weekend", r("h1_x_seqlen"), "age_hour", r("history_a_mean", 4, nudge=NUDGE), r("feat_a_std", 4),
+        r("feat_b_max", 4), r("feat_e_mean", 4, nudge=NUDGE),
     )
 
 
@@ -201,7 +201,7 @@ SELECT id, coalesce(gender, '__MISSING__') AS gender, day_of_week || '.0_' || CA
   round(coalesce(history_a_1 - history_a_3, 0), 6) AS hist_a_delta_13,
   CAST(coalesce(sign(history_a_1 - history_a_3), 0) AS INTEGER) AS history_a_trend,
   round(CAST(coalesce(feat_c_1, 0) + coalesce(feat_c_2, 0) + coalesce(feat_c_3, 0) AS DOUBLE), 2) AS feat_c_sum,
-  round(coalesce(list_aggregate([history_b_1, history_b_2, history_b_3], 'max'), 0), 1) AS history_b_max
+  CAST(CAST(coalesce(list_aggregate([history_b_1, history_b_2, history_b_3], 'max'), 0) AS FLOAT) AS DOUBLE) AS history_b_max
 FROM (SELECT *, CAST("hour" AS DOUBLE) AS h FROM imp) x""", "users", "orders", "history").replace(
     "\nimp AS", "\nus_ev AS (SELECT us.inventory_id FROM ev JOIN us ON ev.user_id = us.user_id),\nimp AS")
 
@@ -211,7 +211,7 @@ def two_stage_features(spark, sf):
     df = features.two_stage_features(impressions(spark, sf, "users", "orders", "history"))
     return df.select(
         "id", "gender", "day_hour_cross", "is_weekend", "hour_period", "inv_gender_cross", r("inventory_id_freq"),
-        r("hist_a_delta_13"), "history_a_trend", r("feat_c_sum", 2), r("history_b_max", 1),
+        r("hist_a_delta_13"), "history_a_trend", r("feat_c_sum", 2), F.col("history_b_max").cast("double").alias("history_b_max"),
     )
 
 

@@ -238,7 +238,7 @@ weighted AS (SELECT *, raised / sum(raised) OVER (PARTITION BY id) AS weight FRO
 
 @query("attention_weights", f"""{ATTENTION}
 SELECT id, CAST(count(*) AS BIGINT) AS items, CAST(sum(times) AS BIGINT) AS times,
-  round(max(weight), 6) AS max_weight, round(sum(weight * score), 4) AS mean_score FROM weighted GROUP BY id""")
+  round(max(weight), 6) AS max_weight, round(sum(weight * score), 4) + 0.0 AS mean_score FROM weighted GROUP BY id""")
 def attention_weights(spark, sf):
     weights = attention.attention_weights(
         impressions(spark, sf, "seq"), _item_vectors(spark, sf), "id", "seq", "l_feat_14"
@@ -251,12 +251,29 @@ def attention_weights(spark, sf):
     )
 
 
-@query("attention_pool", f"""{ATTENTION},
+POOLED = f"""{ATTENTION},
 dims AS (
   SELECT id, weight, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM weighted WHERE vec IS NOT NULL)
-SELECT id, CAST(dim AS INTEGER) AS dim, round(sum(weight * x), 5) AS pooled FROM dims GROUP BY id, dim""")
-def attention_pool(spark, sf):
-    pooled = attention.attention_pool(
+SELECT id, CAST(dim AS INTEGER) AS dim, round(sum(weight * x), 5) + 0.0 AS pooled FROM dims GROUP BY id, dim"""
+
+
+@query("attention_pool_join", POOLED)
+def attention_pool_join(spark, sf):
+    pooled = attention.attention_pool_join(
         impressions(spark, sf, "seq"), _item_vectors(spark, sf), "id", "seq", "l_feat_14"
     )
-    return pooled.select("id", "dim", r("pooled", 5))
+    return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))
+
+
+@query("attention_pool", POOLED)
+def attention_pool(spark, sf):
+    """History and candidate share one vocabulary: the items that have a vector."""
+    vectors = _item_vectors(spark, sf)
+    vocabulary = vectors.select("item", F.col("item").cast("int").alias("idx"))
+    lookup = encode.lookup_function(vocabulary)
+    coded = impressions(spark, sf, "seq").select(
+        "id", lookup(F.col("seq")).alias("codes"), lookup(F.col("l_feat_14").cast("string"))[0].alias("candidate_code")
+    )
+    known = coded.where((F.col("candidate_code") > 0) & F.exists("codes", lambda x: x > 0))
+    pooled = attention.attention_pool(known, vectors.select(F.col("item").cast("int").alias("idx"), "vec"))
+    return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))

@@ -47,7 +47,7 @@ def csv_inferred(spark, sf):
 
 
 @query("blend_files", f"""WITH {MODELS}
-SELECT a.id, round(0.5::DOUBLE * a.clicked + 0.3::DOUBLE * b.clicked + 0.2::DOUBLE * c.clicked, 5) AS clicked
+SELECT a.id, round(0.5::DOUBLE * a.clicked + 0.3::DOUBLE * b.clicked + 0.2::DOUBLE * c.clicked, 8) AS clicked
 FROM sub_a a JOIN sub_b b ON a.id = b.id JOIN sub_c c ON a.id = c.id""")
 def blend_files(spark, sf):
     """Prediction files in, one blended file out, with the existence check first."""
@@ -59,7 +59,7 @@ def blend_files(spark, sf):
         {m: tables.read_predictions(spark, p) for m, p in paths.items()}, {"a": 0.5, "b": 0.3, "c": 0.2}
     )
     out = tables.write_predictions(blended, fresh(spark, "blend"), ordered=True)
-    return tables.read_predictions(spark, out).select("id", r("clicked", 5))
+    return tables.read_predictions(spark, out).select("id", r("clicked", 8))
 
 
 @query("model_outputs", f"""WITH {MODELS}
@@ -91,7 +91,7 @@ def feature_cache(spark, sf):
     df = cache.feature_cache(spark, build, DEFAULT, inputs, root)
     return df.select(
         "id", "gender", "day_hour_cross", "is_weekend", "hour_period", "inv_gender_cross", r("inventory_id_freq"),
-        r("hist_a_delta_13"), "history_a_trend", r("feat_c_sum", 2), r("history_b_max", 1),
+        r("hist_a_delta_13"), "history_a_trend", r("feat_c_sum", 2), F.col("history_b_max").cast("double").alias("history_b_max"),
     )
 
 
@@ -100,8 +100,8 @@ SELECT id, CAST(dense_rank() OVER (ORDER BY coalesce(inventory_id, 'UNK')) - 1 A
 def artefact_tables(spark, sf):
     """An encoder stored as a table, loaded and applied as a scoring job would."""
     rows = impressions(spark, sf, "users").select("id", "inventory_id")
-    stored = artefacts.save_table(encode.label_table([rows], "inventory_id"), fresh(spark, "encoders"), "inventory_id")
-    return encode.apply_labels(rows, stored, "inventory_id").select("id", "inventory_id_code")
+    stored = artefacts.save_table(encode.label_table([rows], ["inventory_id"]), fresh(spark, "encoders"), "labels")
+    return encode.apply_labels(rows, stored, ["inventory_id"]).select("id", "inventory_id_code")
 
 
 @query("latest_artefact", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble, learners, metrics
 from ..operators.folds import FOLDS, SEED, stratified_folds
+from ..session import cut_lineage
 
 
 def with_folds(df: DataFrame, key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED) -> DataFrame:
@@ -25,12 +26,12 @@ def cross_validate(
     """Fold models, out-of-fold predictions and their metrics for each estimator.
 
     ``train`` is a stored table with a ``fold`` column; nothing upstream of it
-    is computed again per fold.
+    is computed again per fold. The out-of-fold predictions feed metrics, weights
+    and stacking, so they are written once instead of being scored for each.
     """
     models = {name: learners.fit_folds(train, e, folds) for name, e in estimators.items()}
-    oof = reduce(
-        DataFrame.unionByName, [learners.out_of_fold(train, m, name, key, label) for name, m in models.items()]
-    )
+    parts = [learners.out_of_fold(train, m, name, key, label) for name, m in models.items()]
+    oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     return models, oof, metrics.fold_metrics(oof, label)
 
 
