@@ -39,8 +39,13 @@ def cumulative_counts(
     df: DataFrame, label: str = "clicked", score: str = "pred", by: Sequence[str] = (), bands: int | None = None
 ) -> DataFrame:
     """<by, score, n, tp, cum_n, cum_tp> by descending score, ties merged."""
+    return cumulative_runs(score_runs(df, label, score, by), by, bands)
+
+
+def cumulative_runs(runs: DataFrame, by: Sequence[str] = (), bands: int | None = None) -> DataFrame:
+    """The same from runs that are already counted."""
     order = [*[F.col(c) for c in by], F.col("_score").desc()]
-    banded = ordered_bands(score_runs(df, label, score, by), order, bands)
+    banded = ordered_bands(runs, order, bands)
     before = prior_totals(banded, {"_n": "_before_n", "_tp": "_before_tp"}, by)
     running = (
         Window.partitionBy(*by, BAND).orderBy(F.col("_score").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +83,11 @@ def competition_score(
     The log loss is summed over the same distinct-score runs as the average
     precision, so the predictions are read and shuffled once.
     """
-    runs = cumulative_counts(df, label, score, by, bands)
+    return score_of_runs(score_runs(df, label, score, by), by, bands)
+
+
+def score_of_runs(runs: DataFrame, by: Sequence[str] = (), bands: int | None = None) -> DataFrame:
+    runs = cumulative_runs(runs, by, bands)
     p = _bounded(F.col("score"))
     negatives = F.col("n") - F.col("tp")
     loss0 = F.try_divide(F.sum(negatives * -F.log(F.lit(1.0) - p)), F.sum(negatives))
@@ -97,11 +106,15 @@ def competition_score(
 def fold_metrics(
     df: DataFrame, label: str = "clicked", score: str = "pred", model: str = "model", fold: str = "fold"
 ) -> DataFrame:
-    """<model, fold, ap, wll, score> per fold, plus fold 0 for all out-of-fold rows together."""
-    both = df.select(
-        model, label, score, F.explode(F.array(F.col(fold).cast("int"), F.lit(0))).alias(fold)
-    )
-    return competition_score(both, label, score, [model, fold])
+    """<model, fold, ap, wll, score> per fold, plus fold 0 for all out-of-fold rows together.
+
+    Rows are counted per distinct score and fold first; only those counts are
+    taken twice, not the predictions.
+    """
+    by = [model, fold]
+    runs = score_runs(df.withColumn(fold, F.col(fold).cast("int")), label, score, by)
+    overall = runs.groupBy(model, F.lit(0).alias(fold), "_score").agg(F.sum("_n").alias("_n"), F.sum("_tp").alias("_tp"))
+    return score_of_runs(runs.unionByName(overall), by)
 
 
 def cv_summary(metrics: DataFrame, by: Sequence[str] = ("model",), value: str = "score", fold: str = "fold") -> DataFrame:

@@ -82,7 +82,7 @@ def group_stats(
             mean, count = f"_{name}_mean", f"_{name}_count"
             first[mean], first[count] = horizontal.row_mean(cols, dtype), horizontal.row_count(cols)
             helpers += [mean, count]
-            second[f"{name}_std"] = horizontal.row_std(cols, F.col(mean), F.col(count), dtype).cast(dtype)
+            second[f"{name}_std"] = horizontal.row_std(cols, mean, count, dtype).cast(dtype)
         if "mean" in stats:
             made = F.col(f"_{name}_mean") if "std" in stats else horizontal.row_mean(cols, dtype)
             second[f"{name}_mean"] = made.cast(dtype)
@@ -270,7 +270,7 @@ def first_stage(df: DataFrame, frequency: Sequence[str] = FREQUENCY) -> DataFram
         made["inv_hour_cross"] = cross.joined_text("inventory_id", temporal.hour_block("hour"))
     df = df.withColumns(made) if made else df
     if l_feat:
-        df = df.withColumn("l_feat_std", horizontal.row_std_population(l_feat, F.col("l_feat_mean")))
+        df = df.withColumn("l_feat_std", horizontal.row_std_population(l_feat, "l_feat_mean"))
         spread = F.col("l_feat_std")
         df = df.withColumns(
             {

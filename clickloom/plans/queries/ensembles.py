@@ -73,7 +73,7 @@ med AS (SELECT id, model, median(pred) AS pred FROM preds GROUP BY id, model)
 SELECT id, round(sum(w * pred), 8) AS clicked FROM med JOIN pw USING (model) GROUP BY id""")
 def perf_blend(spark, sf):
     """Median over folds per model, then the performance weights."""
-    predictions = ensemble.fold_median(fold_predictions(spark, sf))
+    predictions = ensemble.fold_median(fold_predictions(spark, sf), folds=range(1, 6))
     return ensemble.blend_long(predictions, _weights(spark, sf)).select("id", r("clicked", 8))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ...functions import horizontal as H
 from ...functions.values import flag
 from ...sources.impressions import impressions, table
@@ -82,7 +80,7 @@ MEAN, SPREAD = stat_sql("mean", L_FEAT), f"coalesce({stat_sql('stddev_pop', L_FE
 @query("l_feat_std_population", with_imp(f"SELECT id, round({SPREAD}, 4) AS l_feat_std FROM imp", "users"))
 def l_feat_std_population(spark, sf):
     df = impressions(spark, sf, "users").withColumn("_mean", H.row_mean(L_FEAT))
-    return df.select("id", r(H.row_std_population(L_FEAT, F.col("_mean")), 4, "l_feat_std"))
+    return df.select("id", r(H.row_std_population(L_FEAT, "_mean"), 4, "l_feat_std"))
 
 
 @query("l_feat_z", with_imp(f"""
