@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import items
 from ..functions.values import MISSING, fill_text
+from ..session import cut_lineage
+from .lookup import BROADCAST_BYTES, lookup_sides
 from .ranking import dense_index
 
 # Vocabularies up to this many items travel to the tasks as one Arrow array
@@ -28,26 +30,23 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def frequency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """<column, value, freq> for several columns in one pass over the data.
+    """<column, value, freq> for several columns in one pass over the data, stored.
 
     Nulls count towards the total but get no entry of their own.
     """
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    )
-    counts = (
-        df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("value").isNotNull()).select("column", "value", (F.col("n") / total).alias("freq"))
+    known = counts.where(F.col("value").isNotNull())
+    return cut_lineage(known.select("column", "value", (F.col("n") / total).alias("freq")))
 
 
-def apply_frequency(df: DataFrame, table: DataFrame, columns: Sequence[str], suffix: str = "_freq") -> DataFrame:
-    """Add ``<column>_freq``; null and unseen values get 0."""
-    for c in columns:
-        side = table.where(F.col("column") == c).select(
-            F.col("value").alias("_value"), F.col("freq").alias("_freq")
-        )
+def apply_frequency(
+    df: DataFrame, table: DataFrame, columns: Sequence[str], suffix: str = "_freq", limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Add ``<column>_freq`` from a stored table; null and unseen values get 0."""
+    for c, side in lookup_sides(table, columns, limit):
+        side = side.select(F.col("value").alias("_value"), F.col("freq").alias("_freq"))
         df = (
             df.join(side, df[c].cast("string") == F.col("_value"), "left")
             .withColumn(c + suffix, F.coalesce("_freq", F.lit(0.0)))
@@ -64,7 +63,7 @@ def freq_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def label_table(frames: Sequence[DataFrame], columns: Sequence[str], unknown: str | None = "UNK") -> DataFrame:
-    """<column, value, code> fitted on the union of all frames, each column in text order from 0.
+    """<column, value, code> fitted on the union of all frames, each column in text order from 0; stored.
 
     All columns are stacked, so every frame is read once. With ``unknown`` nulls
     take part under that marker; without, they get no entry.
@@ -75,15 +74,21 @@ def label_table(frames: Sequence[DataFrame], columns: Sequence[str], unknown: st
 
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
     union = reduce(DataFrame.unionByName, [f.select(F.inline(pairs)) for f in frames])
-    return dense_index(union.where(F.col("value").isNotNull()).distinct(), ["value"], "code", by=["column"])
+    found = union.where(F.col("value").isNotNull()).distinct()
+    return cut_lineage(dense_index(found, ["value"], "code", by=["column"]))
 
 
 def apply_labels(
-    df: DataFrame, table: DataFrame, columns: Sequence[str], unknown: str = "UNK", suffix: str = "_code"
+    df: DataFrame,
+    table: DataFrame,
+    columns: Sequence[str],
+    unknown: str = "UNK",
+    suffix: str = "_code",
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add ``<column>_code``; values outside the table get null."""
-    for c in columns:
-        side = table.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(c + suffix))
+    """Add ``<column>_code`` from a stored table; values outside it get null."""
+    for c, side in lookup_sides(table, columns, limit):
+        side = side.select(F.col("value").alias("_value"), F.col("code").alias(c + suffix))
         df = df.join(side, fill_text(c, unknown) == F.col("_value"), "left").drop("_value")
     return df
 

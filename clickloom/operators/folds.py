@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import gaussian
+from ..session import cut_lineage
 
 FOLDS = 5
 SEED = 42
@@ -39,6 +40,58 @@ def stratified_folds(
     )
 
 
+def fold_cuts(
+    df: DataFrame, key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED, prefix: int = 3
+) -> list[tuple]:
+    """``(label, fold, last hash)`` for folds 1..k-1 of each class: where the seeded hash order is cut.
+
+    Each class is cut into k runs of equal length (the first ones take the odd
+    rows, as ``ntile`` does). Rows per hash bucket are counted first; only the
+    buckets that hold a cut are ranked. What comes back to the driver is
+    (k - 1) rows per class.
+    """
+    hashed = df.select(label, _order_key(key, seed).alias("_hash"))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, prefix))
+    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        hashed.groupBy(label, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(label)))
+    )
+    j = F.explode(F.sequence(F.lit(1), F.lit(k - 1)))
+    size, odd = F.floor(F.col("_total") / k), F.col("_total") % k
+    wanted = (
+        buckets.withColumn("fold", j)
+        .withColumn("_rank", F.col("fold") * size + F.least(F.col("fold").cast("bigint"), odd) - F.col("_before"))
+        .where((F.col("_rank") > 0) & (F.col("_rank") <= F.col("_n")))
+        .select(label, "_bucket", "fold", "_rank")
+    )
+    cut = cut_lineage(wanted)
+    inside = Window.partitionBy(label, "_bucket").orderBy("_hash")
+    ranked = hashed.join(cut.select(label, "_bucket").distinct(), [label, "_bucket"]).withColumn(
+        "_at", F.row_number().over(inside)
+    )
+    rows = ranked.join(cut, [label, "_bucket"]).where(F.col("_at") == F.col("_rank")).select(label, "fold", "_hash")
+    return [tuple(r) for r in rows.collect()]
+
+
+def _order_key(key: str, seed: int):
+    text = F.col(key).cast("string")
+    return F.concat(F.md5(F.concat(text, F.lit(str(seed)))), text)
+
+
+def assign_folds(
+    df: DataFrame, cuts: Sequence[tuple], key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED
+) -> DataFrame:
+    """Add ``fold`` from the cuts: row-local, so wide rows are not shuffled."""
+    order = _order_key(key, seed)
+    fold = F.lit(k)
+    for value, number, last in sorted(cuts, key=lambda c: (str(c[0]), c[1]), reverse=True):
+        fold = F.when((F.col(label) == F.lit(value)) & (order <= F.lit(last)), F.lit(number)).otherwise(fold)
+    return df.withColumn("fold", fold)
+
+
 def class_weights(df: DataFrame, label: str = "clicked", mode: str = "ratio") -> DataFrame:
     """<label, n, weight>: ``ratio`` gives positives negatives/positives, ``balanced``
     gives every class total / (classes * rows of the class)."""

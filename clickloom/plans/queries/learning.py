@@ -35,8 +35,8 @@ def stored_features(spark, sf):
     def build():
         rows = features.tree_features(impressions(spark, sf, "users", "orders", "history", "seq")).drop(*LEAKS)
         numeric = [c for c in features.numeric_columns(rows) if c not in ("id", "clicked")]
-        rows = learners.filled(rows, numeric, CATEGORIES)
-        return training.with_folds(rows)
+        cuts = folds.fold_cuts(impressions(spark, sf))
+        return folds.assign_folds(learners.filled(rows, numeric, CATEGORIES), cuts)
 
     settings = {**DEFAULT, "features": {"plan": "tree_features"}}
     root = f"{shared_dir(spark)}/clickloom/features-{spark.sparkContext.applicationId}"

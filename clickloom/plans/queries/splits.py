@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import folds
 from ...sources.impressions import impressions, table
+from .. import training
 from .registry import hash_sql, query, r, with_imp
 
 
@@ -28,6 +29,14 @@ def fold_balance(spark, sf):
     )
 
 
+@query("fold_cuts", with_imp("""
+SELECT id, clicked, CAST(ntile(5) OVER (PARTITION BY clicked ORDER BY md5(CAST(id AS VARCHAR) || '42') || CAST(id AS VARCHAR)) AS INTEGER) AS fold
+FROM imp"""))
+def fold_cuts(spark, sf):
+    """Folds as cuts of the hash order: assigned row by row, without moving rows."""
+    return training.with_folds(impressions(spark, sf).select("id", "clicked"))
+
+
 @query("class_weight_ratio", with_imp("""
 SELECT clicked, count(*) AS n, round(CASE WHEN clicked = 1 THEN (SELECT count(*) FROM imp WHERE clicked = 0) / CAST(count(*) AS DOUBLE) ELSE 1 END, 6) AS weight
 FROM imp GROUP BY clicked"""))

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ensemble, learners, metrics
-from ..operators.folds import FOLDS, SEED, stratified_folds
+from ..operators.folds import FOLDS, SEED, assign_folds, fold_cuts
 from ..session import cut_lineage
 
 
 def with_folds(df: DataFrame, key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Attach the fold: ranks are computed on key and label alone, wide rows move once, in the join."""
-    folds = stratified_folds(df.select(key, label), key, label, k, seed)
-    return df.join(folds.select(key, "fold"), key)
+    """Attach stratified folds: the cuts come from key and label alone, wide rows stay where they are."""
+    return assign_folds(df, fold_cuts(df, key, label, k, seed), key, label, k, seed)
 
 
 def cross_validate(
