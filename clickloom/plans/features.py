@@ -288,11 +288,12 @@ def temporal_stage(df: DataFrame, settings: Mapping) -> DataFrame:
     if not settings.get("enabled"):
         return df
     made: dict[str, Column] = {}
-    if "hour_bins" in settings:
+    have = set(df.columns)
+    if "hour" in have and "hour_bins" in settings:
         made["hour_period"] = temporal.hour_period("hour", tuple(settings["hour_bins"]))
-    if settings.get("weekend_flag"):
+    if "day_of_week" in have and settings.get("weekend_flag"):
         made["is_weekend"] = temporal.is_weekend("day_of_week", "from_fri")
-    if settings.get("time_of_day_features"):
+    if "hour" in have and settings.get("time_of_day_features"):
         made |= {
             "hour_sin": temporal.hour_sin("hour").cast("float"),
             "hour_cos": temporal.hour_cos("hour").cast("float"),
