@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import items
-from .encode import LOOKUP_LIMIT
 
 MASKED_SCORE = -1e4
+MATRIX_BYTES = 256 * 1024 * 1024
 ROWS_AT_ONCE = 256
 
 
@@ -92,15 +92,14 @@ def pool_function(matrix: np.ndarray, spark):
     return F.arrow_udf(pool, "array<double>")
 
 
-def vector_matrix(vectors: DataFrame, limit: int = LOOKUP_LIMIT) -> np.ndarray:
-    """Row ``idx`` holds the vector of that index (1..n), row 0 is zero. Refuses more than ``limit`` rows."""
-    if vectors.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} vectors: use attention_pool_join")
+def vector_matrix(vectors: DataFrame, limit: int = MATRIX_BYTES) -> np.ndarray:
+    """Row ``idx`` holds the vector of that index (1..n), row 0 is zero. Measured first; too much is refused."""
+    last, width = vectors.agg(F.max("idx"), F.max(F.size("vec"))).first()
+    if (last + 1) * width * 8 > limit:
+        raise ValueError(f"vectors need more than {limit} bytes: use attention_pool_join")
     table = vectors.select("idx", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()
-    place = table.column("idx").to_numpy()
-    rows = np.stack(table.column("vec").to_pylist()).astype(float)
-    matrix = np.zeros((int(place.max()) + 1, rows.shape[1]))
-    matrix[place] = rows
+    matrix = np.zeros((last + 1, width))
+    matrix[table.column("idx").to_numpy()] = np.stack(table.column("vec").to_pylist())
     return matrix
 
 

@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.sequence import items
 from ..functions.values import MISSING, fill_text
 from ..session import cut_lineage
-from .lookup import BROADCAST_BYTES, lookup_sides
+from .lookup import BROADCAST_BYTES, fits, lookup_sides
 from .ranking import dense_index
 
-# Vocabularies up to this many items travel to the tasks as one Arrow array
-# (about 20 MB); larger ones are joined.
-LOOKUP_LIMIT = 1_000_000
-
 
 # -- frequency ---------------------------------------------------------------
 
@@ -35,10 +31,11 @@ def frequency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Nulls count towards the total but get no entry of their own.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    known = counts.where(F.col("value").isNotNull())
-    return cut_lineage(known.select("column", "value", (F.col("n") / total).alias("freq")))
+    counts = cut_lineage(
+        df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    total = counts.where(F.col("column") == columns[0]).agg(F.sum("n")).scalar()
+    return counts.where(F.col("value").isNotNull()).select("column", "value", (F.col("n") / total).alias("freq"))
 
 
 def apply_frequency(
@@ -105,9 +102,13 @@ def category_codes(df: DataFrame, columns: Sequence[str], suffix: str = "_code")
 
 
 def distinct_items(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Every item that occurs in the non-empty sequences, once."""
-    exploded = df.where(F.col(seq) != "").select(F.explode(F.array_distinct(items(seq))).alias("item"))
-    return exploded.distinct()
+    """Every item that occurs in the non-empty sequences, once.
+
+    Empty sequences leave through the explode; a filter would be pushed below
+    the column's own expression and compute it a second time.
+    """
+    held = items(F.nullif(F.col(seq), F.lit("")))
+    return df.select(F.explode(F.array_distinct(held)).alias("item")).distinct()
 
 
 def seq_vocabulary(
@@ -163,10 +164,10 @@ def lookup_function(vocabulary: DataFrame):
 
 
 def seq_encode(
-    df: DataFrame, vocabulary: DataFrame, key: str = "id", seq: str = "seq", limit: int = LOOKUP_LIMIT
+    df: DataFrame, vocabulary: DataFrame, key: str = "id", seq: str = "seq", limit: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """<key, codes>. A vocabulary counted at or below ``limit`` is sent to the tasks and
-    the rows are not shuffled; a larger one goes through :func:`seq_encode_join`."""
-    if vocabulary.limit(limit + 1).count() > limit:
+    """<key, codes>. A vocabulary measured at or below ``limit`` bytes is sent to the tasks
+    and the rows are not shuffled; a larger one goes through :func:`seq_encode_join`."""
+    if not fits(vocabulary, "item", limit):
         return seq_encode_join(df, vocabulary, key, seq)
     return df.select(key, lookup_function(vocabulary)(F.col(seq)).alias("codes"))

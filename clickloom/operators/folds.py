@@ -67,13 +67,14 @@ def fold_cuts(
         .where((F.col("_rank") > 0) & (F.col("_rank") <= F.col("_n")))
         .select(label, "_bucket", "fold", "_rank")
     )
+    # (k - 1) rows per class: small by construction, so the full table meets them by broadcast.
     cut = cut_lineage(wanted)
     inside = Window.partitionBy(label, "_bucket").orderBy("_hash")
-    ranked = hashed.join(cut.select(label, "_bucket").distinct(), [label, "_bucket"]).withColumn(
+    ranked = hashed.join(F.broadcast(cut.select(label, "_bucket").distinct()), [label, "_bucket"]).withColumn(
         "_at", F.row_number().over(inside)
     )
-    rows = ranked.join(cut, [label, "_bucket"]).where(F.col("_at") == F.col("_rank")).select(label, "fold", "_hash")
-    return [tuple(r) for r in rows.collect()]
+    rows = ranked.join(F.broadcast(cut), [label, "_bucket"]).where(F.col("_at") == F.col("_rank"))
+    return [tuple(r) for r in rows.select(label, "fold", "_hash").collect()]
 
 
 def _order_key(key: str, seed: int):

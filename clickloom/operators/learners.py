@@ -46,8 +46,20 @@ def boosted_trees(
     return GBTClassifier(**params)
 
 
+def by_cardinality(df: DataFrame, columns: Sequence[str], limit: int = 256) -> tuple[list[str], list[str]]:
+    """Columns with clearly fewer values than ``limit``, and the others, in one pass with bounded sketches.
+
+    Trees split on the first kind natively; the second kind should be frequency
+    encoded, because its value list would have to fit one machine.
+    """
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if sizes[c] * 1.2 < limit]
+    return few, [c for c in columns if c not in few]
+
+
 def native_categories(columns: Sequence[str]) -> list[StringIndexer]:
-    """Text columns to nominal indices the trees split on directly; unseen values get their own index."""
+    """Text columns of few values (see :func:`by_cardinality`) to nominal indices the trees
+    split on directly; unseen values get their own index."""
     names = list(columns)
     return [
         StringIndexer(

@@ -82,7 +82,8 @@ def native_categories(spark, sf):
     """Nominal indices with metadata, as the tree learners split on them."""
     cols = ("gender", "age_group", "inventory_id")
     df = learners.filled(impressions(spark, sf, "users").select("id", *cols), (), cols)
-    for indexer in learners.native_categories(cols):
+    few, _ = learners.by_cardinality(df, cols)
+    for indexer in learners.native_categories(few):
         df = indexer.fit(df).transform(df)
     return df.select("id", *[f"{c}_idx" for c in cols])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import keyed_hash32
 from ..session import configure
+from .tables import spread
 
 HISTORY_ITEMS = 200
 ITEM_SPACE = 500
@@ -25,15 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each, dealt to all cores if it is small."""
+    return spread(table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+
+
 def _number(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns that need the event row alone."""
+def events(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Columns that need the event row alone. ``heavy`` announces much work per row."""
     user, ts = F.col("user_id"), F.col("ts")
     item = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select(
+    return (spread_table if heavy else table)(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         user,
         ts,
@@ -190,7 +196,7 @@ def word_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda w: ((F.ascii(w) * 37 + F.length(w) * 11) % ITEM_SPACE).cast("string"),
     )
     share = F.col("doc_id") % 50
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         "lang",
         "source",
@@ -204,7 +210,7 @@ def word_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """<id, clicked, model, fold, pred>: seeded stand-ins for three models and five folds."""
-    ev = events(spark, sf_dir).select("id", "clicked")
+    ev = events(spark, sf_dir, heavy=True).select("id", "clicked")
     cells = []
     for model, w in PREDICTION_MODELS.items():
         for fold in range(1, 6):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import col
 
+SMALL_INPUT = 256 * 1024 * 1024
 PREDICTION_SCHEMA = "id bigint, clicked double"
 
 
@@ -36,6 +37,19 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, path: str, small: int = SMALL_INPUT) -> DataFrame:
+    """Deal the rows of a small input to all cores.
+
+    A file with one row group is one task however many cores there are. Inputs
+    above ``small`` bytes split into enough tasks on their own and are left alone.
+    """
+    spark = df.sparkSession
+    fs, target = file_system(spark, path)
+    if fs.getContentSummary(target).getLength() > small:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def key_scan(spark: SparkSession, path: str, key: str = "ID", name: str = "id") -> DataFrame:
     """The key column alone; a table without it is refused."""
     df = spark.read.parquet(path)

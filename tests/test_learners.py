@@ -71,3 +71,8 @@ def test_early_stopping_uses_the_marked_rows(data):
     est = learners.tree_pipeline(["x", "y"], [], "b", validation="is_validation", maxIter=3, maxDepth=2)
     models = learners.fit_folds(data, est, folds=2, validation="is_validation")
     assert set(models) == {1, 2}
+
+
+def test_columns_of_many_values_are_set_apart(data):
+    rows = data.withColumn("many", F.col("id").cast("string"))
+    assert learners.by_cardinality(rows, ["cat", "many"]) == (["cat"], ["many"])
