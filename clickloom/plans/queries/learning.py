@@ -40,7 +40,7 @@ def stored_features(spark, sf):
 
     settings = {**DEFAULT, "features": {"plan": "tree_features"}}
     root = f"{shared_dir(spark)}/clickloom/features-{spark.sparkContext.applicationId}"
-    df = cache.feature_cache(spark, build, settings, inputs, root)
+    df = cache.feature_cache(spark, build, settings, inputs, root, partition_by=["fold"])
     return df.where(is_train()), df.where(~is_train())
 
 
@@ -128,9 +128,10 @@ def fold_score(spark, sf):
 
 @query("train_score_blend")
 def train_score_blend(spark, sf):
-    """Five folds of two learners, performance weights, fold medians and the blend of later days."""
+    """Five folds of two learners, performance weights kept as a table, fold medians and the blend of later days."""
     models, oof, _, test = _two_fold_models(spark, sf)
     weights = ensemble.perf_weights(metrics.competition_score(oof, by=["model"]))
+    weights = artefacts.save_table(weights, fresh(spark, "weights"), "blend")
     return training.score_and_blend(test, models, weights)
 
 

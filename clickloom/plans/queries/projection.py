@@ -81,12 +81,12 @@ def fill_missing(spark, sf):
     )
 
 
-@query("fill_numeric", with_imp("""
-SELECT id, round(coalesce(history_a_1, 0), 6) AS history_a_1, round(coalesce(feat_b_2, 0), 4) AS feat_b_2,
+@query("fill_numeric", with_imp(f"""
+SELECT id, round(coalesce(history_a_1, 0), 6) AS history_a_1, round(coalesce(feat_b_2, 0) + {NUDGE}, 4) AS feat_b_2,
   coalesce(l_feat_8, 0) AS l_feat_8 FROM imp""", "history"))
 def fill_numeric(spark, sf):
     df = impressions(spark, sf, "history").select("id", "history_a_1", "feat_b_2", "l_feat_8")
-    return features.fill_missing(df).select("id", r("history_a_1"), r("feat_b_2", 4), "l_feat_8")
+    return features.fill_missing(df).select("id", r("history_a_1"), r("feat_b_2", 4, nudge=NUDGE), "l_feat_8")
 
 
 CENSUS = ("gender", "inventory_id", "l_feat_8", "history_a_1", "feat_b_2", "seq")

@@ -40,14 +40,16 @@ def feature_cache(
     root: str,
     data_type: str = "train",
     force: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Read the cached features, or build and write them first.
 
     A table counts as present only with its success marker, so a job that died
-    half way is written again.
+    half way is written again. A table partitioned by fold lets every fold's
+    training and scoring read its own files only.
     """
     key = cache_key(config, [input_stamp(spark, p) for p in inputs])
     path = f"{root}/{data_type}_fe_{key}.parquet"
     if force or not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.parquet(path)
