@@ -61,9 +61,9 @@ def submission_stats(spark, sf):
 
 
 @query("prediction_stats", f"""WITH {FOLD_PREDS}
-SELECT model, fold, round(avg(pred), 6) AS mean, round(stddev_pop(pred), 6) AS std FROM preds GROUP BY model, fold""")
+SELECT model, fold, round(avg(pred), 8) AS mean, round(stddev_pop(pred), 6) AS std FROM preds GROUP BY model, fold""")
 def prediction_stats(spark, sf):
-    return ensemble.prediction_stats(fold_predictions(spark, sf)).select("model", "fold", r("mean"), r("std"))
+    return ensemble.prediction_stats(fold_predictions(spark, sf)).select("model", "fold", r("mean", 8), r("std"))
 
 
 @query("positive_rate", with_imp("""
