@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 # The documented two-level blend of six prediction files.
 HIERARCHY = {
-    "tree": (1.0, {"catboost": 1.0, "xgboost": 1.0, "catboost_hybrid": 1.0}),
-    "deep": (2.5, {"din": 1.0, "widectr_epoch_5": 1.0}),
-    "widectr_epoch_6": 1.5,
+    "tree": (1.0, {"tree_a": 1.0, "tree_b": 1.0, "tree_c": 1.0}),
+    "deep": (2.5, {"sequence": 1.0, "crossed_early": 1.0}),
+    "crossed_late": 1.5,
 }
 
 

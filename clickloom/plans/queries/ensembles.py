@@ -77,7 +77,7 @@ def perf_blend(spark, sf):
     return ensemble.blend_long(predictions, _weights(spark, sf)).select("id", r("clicked", 8))
 
 
-LEAVES = {"catboost": "a", "xgboost": "b", "catboost_hybrid": "c", "din": "a", "widectr_epoch_5": "b", "widectr_epoch_6": "c"}
+LEAVES = {"tree_a": "a", "tree_b": "b", "tree_c": "c", "sequence": "a", "crossed_early": "b", "crossed_late": "c"}
 
 
 @query("hierarchical_blend", f"""WITH {MODELS}

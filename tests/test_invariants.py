@@ -132,8 +132,8 @@ def test_attention_forms_agree_with_numpy(spark):
 def test_blend_weights():
     leaves = ensemble.leaf_weights(ensemble.HIERARCHY)
     assert sum(leaves.values()) == pytest.approx(1.0)
-    assert leaves["widectr_epoch_6"] == pytest.approx(0.3) and leaves["din"] == pytest.approx(0.25)
-    assert leaves["catboost"] == pytest.approx(1 / 15)
+    assert leaves["crossed_late"] == pytest.approx(0.3) and leaves["sequence"] == pytest.approx(0.25)
+    assert leaves["tree_a"] == pytest.approx(1 / 15)
     with pytest.warns(UserWarning):
         assert ensemble.normalise({"a": 1.0, "b": 1.0}) == {"a": 0.5, "b": 0.5}
     with warnings.catch_warnings():
