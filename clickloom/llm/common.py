@@ -42,6 +42,13 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit("")), F.col(text).isNull()).alias("text_key")]
 
 
+def by_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id (null equals null) and text_key; the right side's copies of both are dropped."""
+    right = right.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key"))
+    return left.join(right, same, how).drop("_doc_id", "_text_key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: <node, label>, label the smallest node.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, text_key
+from .common import by_row, components, stored, text_key
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -185,7 +185,6 @@ def one_per_group(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS) -
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     chosen = found.groupBy(F.col("component_id").isNull(), key).agg(F.min(own).alias("own")).select("own.doc_id", "own.text_key")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_key())
-    same = packed["doc_id"].eqNullSafe(chosen["doc_id"]) & (packed["text_key"] == chosen["text_key"])
-    kept = packed.join(chosen, same, "left_semi")
+    kept = by_row(packed, chosen, "left_semi")
     first = Window.partitionBy("doc_id", "text_key").orderBy(F.xxhash64("row.lang", "row.source"))
     return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("row.*")
