@@ -60,6 +60,7 @@ def merged_cuts(edges: Column, n: Column) -> Column:
     """The open cuts of a word of n characters after all merges, as a mask; edges are <score, start, end>."""
 
     def step(mask: Column, _: Column) -> Column:
+        # an expression named twice in a lambda is evaluated twice: whatever is costly goes through let
         def may(e: Column) -> Column:
             ends = _bit(e["start"]).bitwiseOR(_bit(e["end"]))
             inner = (_bit(e["end"]) - _bit(e["start"] + F.lit(1)))
@@ -158,7 +159,8 @@ def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
         mask = viterbi_cuts(F.col("edges"), F.col("n"), min(s for *_, s in plain) - UNKNOWN_PENALTY)
     else:
         mask = merged_cuts(F.filter("edges", lambda e: e["end"] - e["start"] > 1), F.col("n"))
-    done = lattice.withColumn("mask", mask).select("word", _ids(F.col("word"), F.col("edges"), F.col("mask"), F.col("n"), byte).alias("ids"))
+    ids = let(mask, lambda m: _ids(F.col("word"), F.col("edges"), m, F.col("n"), byte))
+    done = lattice.select("word", ids.alias("ids"))
     if fold == "viterbi":
         if not words.where(n > LONG).isEmpty():
             raise ValueError(f"the unigram fold takes words of {LONG} characters at most")

@@ -170,4 +170,5 @@ def score(docs: DataFrame, char_limit: float = MAX_CHAR_DISTANCE, word_limit: fl
 
 def keep(docs: DataFrame, char_limit: float = MAX_CHAR_DISTANCE, word_limit: float = MAX_WORD_DISTANCE) -> DataFrame:
     """The rows that pass, with their own columns."""
-    return _judged(_packed(docs), char_limit, word_limit).where("kept").select("row.*")
+    # A filter would be pushed below the steps that make ``kept`` and repeat their work; a generator is not.
+    return _judged(_packed(docs), char_limit, word_limit).select(F.inline(F.when(F.col("kept"), F.array("row"))))
