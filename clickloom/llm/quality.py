@@ -102,28 +102,31 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
-    """One row per language from <lang, t>: char_ref, common (words) and word_ref (their shares, then the rest's).
+def common_words(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+    """<lang_key, common>: the commonest words of each language, in lower case, over all documents with at least MIN_WORDS words.
 
-    Both histograms are sums over all documents with at least MIN_WORDS words. The ranking of words is cut per task
-    before it is shuffled, so a language with most of the rows sends only its candidates.
+    The ranking is cut per task before it is shuffled, so a language with most of the rows sends only its candidates.
     """
-    df = docs.withColumn("_n", F.size(words(F.col("t")))).where(F.col("_n") >= MIN_WORDS)
-    chars = [F.sum(f"c_{c}").cast("double") for c in CLASSES]
-    total = reduce(lambda a, b: a + b, chars)
-    shape = with_classes(df).groupBy("lang_key").agg(F.sum("_n").alias("total"), F.array(*[c / total for c in chars]).alias("char_ref"))
-    counts = df.select("lang_key", F.explode(words(F.lower("t"))).alias("word")).groupBy("lang_key", "word").count()
+    df = docs.select("lang_key", words(F.lower("t")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    counts = df.select("lang_key", F.explode("w").alias("word")).groupBy("lang_key", "word").count()
     order = Window.partitionBy("lang_key").orderBy(F.desc("count"), "word")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common)
-    listed = top.groupBy("lang_key").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
-    hits = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["count"])
-    share = F.transform("top", lambda x: x["count"] / F.col("total"))
-    rest = (F.col("total") - hits) / F.col("total")
-    return shape.where(F.col("total") >= MIN_REFERENCE).join(listed, "lang_key").select(
+    listed = top.groupBy("lang_key").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("top"))
+    return listed.select("lang_key", F.transform("top", lambda x: x["word"]).alias("common"))
+
+
+def references(counted: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+    """<lang_key, char_ref, word_ref>: shares of the classes, and of the common words and the rest, over all counted documents."""
+    df = counted.where(F.col("n_words") >= MIN_WORDS)
+    chars = [F.sum(f"c_{c}").cast("double") for c in CLASSES]
+    found = [F.coalesce(F.sum(F.get("found", F.lit(k))), F.lit(0)).cast("double") for k in range(common)]
+    total = F.sum("n_words").cast("double")
+    add = lambda values: reduce(lambda a, b: a + b, values)
+    sums = df.groupBy("lang_key").agg(total.alias("total"), F.array(*chars).alias("chars"), add(chars).alias("size"), F.array(*found, total - add(found)).alias("found"))
+    return sums.where(F.col("total") >= MIN_REFERENCE).select(
         "lang_key",
-        "char_ref",
-        F.transform("top", lambda x: x["word"]).alias("common"),
-        F.concat(share, F.array(rest)).alias("word_ref"),
+        F.transform("chars", lambda x: x / F.col("size")).alias("char_ref"),
+        F.transform("found", lambda x: x / F.col("total")).alias("word_ref"),
     )
 
 
@@ -139,14 +142,21 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def _judged(docs: DataFrame, char_limit: float, word_limit: float) -> DataFrame:
-    """Rows <row, t, lang_key> with all counts, both distances and the verdict."""
-    refs = stored(references(docs.select("lang_key", "t")), "references")
-    df = base_counts(docs).join(refs, "lang_key", "left")
+    """Rows <row, counts> with both distances and the verdict.
+
+    The texts are read twice: for the words of the languages, and for all counts of each row, which are written. References and
+    verdicts need the counts only.
+    """
+    listed = stored(common_words(docs), "common-words")
+    df = base_counts(docs).join(listed, "lang_key", "left").withColumn("_lower", words(F.lower("t")))
+    found = F.transform("common", lambda c: (F.size("_lower") - F.size(F.array_remove("_lower", c))).cast("long"))
+    counted = stored(df.withColumn("found", found).drop("t", "_lower", "common"), "counted")
+    df = counted.join(stored(references(counted), "references"), "lang_key", "left")
     size = F.col("c_space") + F.col("word_chars")
     p_char = F.array(*[F.col(f"c_{c}") / size for c in CLASSES])
-    df = df.withColumn("_lower", words(F.lower("t"))).withColumn("_found", F.transform("common", lambda c: F.size("_lower") - F.size(F.array_remove("_lower", c))))
-    hits = F.aggregate("_found", F.lit(0), lambda a, x: a + x)
-    p_word = F.concat(F.transform("_found", lambda x: x / F.col("n_words")), F.array((F.col("n_words") - hits) / F.col("n_words")))
+    each = [F.coalesce(F.get("found", F.lit(k)), F.lit(0)) for k in range(COMMON_WORDS)]
+    rest = F.col("n_words") - reduce(lambda a, b: a + b, each)
+    p_word = F.array(*[x / F.col("n_words") for x in [*each, rest]])
     df = df.withColumn("char_distance", F.when(size >= MIN_CHARS, js_distance(p_char, F.col("char_ref"))))
     df = df.withColumn("word_distance", F.when(F.col("n_words") >= LONG_WORDS, js_distance(p_word, F.col("word_ref"))))
     far = (F.coalesce("char_distance", F.lit(0.0)) > char_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
@@ -162,13 +172,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, char_limit: float = MAX_CHAR_DISTANCE, word_limit: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Counts, distances and verdict of each row of <doc_id, text, lang, ...>."""
-    judged = _judged(_packed(docs.select("doc_id", "text", "lang")), char_limit, word_limit)
+    packed = _packed(docs.select("doc_id", "text", "lang")).select("row.doc_id", "t", "lang_key")
+    judged = _judged(packed, char_limit, word_limit)
     return judged.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
     )
 
 
 def keep(docs: DataFrame, char_limit: float = MAX_CHAR_DISTANCE, word_limit: float = MAX_WORD_DISTANCE) -> DataFrame:
     """The rows that pass, with their own columns."""
-    # A filter would be pushed below the steps that make ``kept`` and repeat their work; a generator is not.
-    return _judged(_packed(docs), char_limit, word_limit).select(F.inline(F.when(F.col("kept"), F.array("row"))))
+    return _judged(_packed(docs), char_limit, word_limit).where("kept").select("row.*")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, packing, pieces, pii, quality, sharding, simhash, topk, warc
+from . import attribution, chat, oracles, packing, pieces, pii, quality, sharding, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +98,12 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL |= {
+    "op1_quality_divergence": oracles.quality_sql(),
+    "op3_chat_format": oracles.CHAT,
+    "op4_warc_revisits": oracles.WARC,
+    "op6_interleaved_shards": oracles.SHARDS,
+    "op8_exact_topk": oracles.TOPK,
+}
