@@ -5,8 +5,8 @@ for each dimension between the block's least and largest value, and the exact in
 vector block with one matrix product, which bounds every score from both sides; a query then reads exact vectors in order of their
 upper bounds, until its k-th score lies above the next bound. The best k of each block are merged over all blocks.
 
-Query blocks are copied to vector blocks by an equality join on block numbers: a stated query set against all rows, in
-blocks; rows leave a block only as results. Memory is two blocks and a slice of their bounds.
+Vector blocks are dealt to slots; every query block is copied to each slot and meets the vector blocks there by an equality join: a
+stated query set against all rows, in blocks; rows leave a block only as results. Memory is two blocks and a slice of their bounds.
 
 Defined results. Vectors that are null or hold null or non-finite components, or an integer beyond 2^24 in size,
 take no part. Vectors are compared with vectors of their own length. A query's own row is every row with its vec_id; other repeated rows
@@ -111,9 +111,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BIT
 
     Both inputs are <vec_id, embedding>. A query id given twice is searched once for each row.
     """
-    x = blocks(integers(vectors), VECTORS).withColumn("block", F.monotonically_increasing_id())
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = blocks(integers(vectors), VECTORS).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
     q = blocks(integers(queries).where("vec_id is not null"), QUERIES)
-    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("q_slot")
+    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), every)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BIT
                     values = [pa.array(qr), pa.array(q_ids[qr]), pa.array(ids[xr], mask=none[xr]), pa.array(score)]
                     yield pa.RecordBatch.from_arrays(values, names=names)
 
-    pairs = x.join(q, x["dim"] == q["q_dim"]).select("dim", "ids", "none", "v", "q_ids", "q_v")
+    pairs = x.join(q, (x["dim"] == q["q_dim"]) & (x["slot"] == q["q_slot"])).select("dim", "ids", "none", "v", "q_ids", "q_v")
     best = pairs.mapInArrow(work, "query_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
