@@ -69,7 +69,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.resolve(warc.read_archives(importable(spark), folder))
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
