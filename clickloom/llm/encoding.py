@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
-from array import array
+import re
 
-CHUNKS = 400_000
+import numpy as np
+
+CHUNKS = 1_000_000
+STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=[\s]|$)")
 _READY: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Encode texts chunk by chunk for tokenizers that drop white space and never join text across it.
+    """Encode texts chunk by chunk for tokenizers that drop white space and case, and never join letters to other characters.
 
-    For such a tokenizer the ids of a text are the ids of its chunks between ASCII white space, one after the other.
-    Corpora repeat their chunks, so their ids are kept, at most ``limit`` of them (then the store starts anew).
+    For such a tokenizer the ids of a text are the ids of its chunks between ASCII white space, one after the other, and a stop after
+    a letter can be a chunk of its own. Corpora repeat their chunks, so their ids are kept, at most ``limit`` of them (then the
+    store starts anew). Texts that may hold a special token keep their case.
     """
 
     def __init__(self, path: str, limit: int = CHUNKS):
@@ -25,7 +29,10 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = text.encode().split()
+        data = text.encode()
+        if b"<|" not in data:
+            data = STOPS.sub(rb" \1", data.lower())
+        chunks = data.split()
         try:
             return b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
@@ -35,11 +42,20 @@ class ChunkEncoder:
             self.known.clear()
             new = list(dict.fromkeys(chunks))
         for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.model.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.known[c] = array("I", e.ids).tobytes()
+            self.learn(new[k : k + 4096])
         return b"".join(map(self.known.__getitem__, chunks))
 
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode many chunks as one text; each token belongs to the chunk in which it starts."""
+        texts = [c.decode() for c in chunks]
+        found = self.model.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        at = np.searchsorted(starts, np.array([a for a, _ in found.offsets], dtype=np.int64), "right") - 1
+        ends = np.cumsum(np.bincount(at, minlength=len(texts))).tolist()
+        ids = np.array(found.ids, dtype="<u4")
+        for c, a, b in zip(chunks, [0, *ends[:-1]], ends):
+            self.known[c] = ids[a:b].tobytes()
+
 
 def chunk_encoder(path: str) -> ChunkEncoder:
     """One encoder per file and Python worker."""
