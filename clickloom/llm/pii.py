@@ -2,7 +2,7 @@
 
 The rules' matches and long hexadecimal keys are seed entities. Every identifier-like word (or seed) of the
 corpus is an instance, and has two patterns: the word before it, or the two words before it, each with the characters that touch it on its left
-and its shape. Spark scores the graph of patterns and instances: a pattern's confidence is the score of its distinct instances over
+and its shape (a rule's kind, or code). Spark scores the graph of patterns and instances: a pattern's confidence is the score of its distinct instances over
 their number plus one; an instance that is no seed gets the confidence of its best accepted pattern. After ROUNDS rounds the accepted patterns
 mark all their instances. Copies of a value count once, so copied documents prove nothing.
 
@@ -93,7 +93,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         if any(a < e and b > s for a, b in spans[max(0, covered - 3) : covered + 4]):
             continue
         key = bool(HEX.fullmatch(value))
-        shape = "digits" if value.isdigit() else "mail" if "@" in value else "hex" if key else "mixed"
+        shape = "card" if value.isdigit() else "email" if "@" in value else "code"
         seed = key and e - s >= KEY_LENGTH and not value.isdigit()
         found.append((s, e, value, _patterns(text, s, shape), int(seed), 0))
     return found
