@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -136,18 +137,23 @@ def seq_encode_join(df: DataFrame, vocabulary: DataFrame, key: str = "id", seq:
 
     Unknown items become 0 and a missing or empty sequence becomes ``[0]``.
     """
-    exploded = df.select(key, F.posexplode_outer(items(F.nullif(F.col(seq), F.lit("")))).alias("pos", "item"))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())  # rows may share a key
+    exploded = numbered.select("_row", key, F.posexplode_outer(items(F.nullif(F.col(seq), F.lit("")))).alias("pos", "item"))
     coded = exploded.join(vocabulary.select("item", "idx"), "item", "left")
     pair = F.struct("pos", F.coalesce("idx", F.lit(0)).alias("idx"))
     ordered = F.array_sort(F.collect_list(pair))
-    return coded.groupBy(key).agg(F.transform(ordered, lambda x: x["idx"]).alias("codes"))
+    return coded.groupBy("_row", key).agg(F.transform(ordered, lambda x: x["idx"]).alias("codes")).drop("_row")
 
 
-def lookup_function(vocabulary: DataFrame):
+def lookup_function(vocabulary: DataFrame, limit: int = BROADCAST_BYTES):
     """An Arrow function text -> codes with the vocabulary held as one sorted array.
 
+    The vocabulary is measured before it is read; :func:`seq_encode_join` takes any size.
+
     Splitting and lookup run on whole Arrow columns; no Python loop over rows.
     """
+    if not fits(vocabulary, "item", limit):
+        raise ValueError(f"vocabulary above {limit} bytes: use seq_encode_join")
     table = vocabulary.select("item", "idx").toArrow().combine_chunks()
     known = table.column("item").combine_chunks().cast(pa.string())
     index = pa.concat_arrays([table.column("idx").combine_chunks().cast(pa.int32()), pa.array([0], pa.int32())])
@@ -155,8 +161,14 @@ def lookup_function(vocabulary: DataFrame):
 
     def encode(seq: pa.Array) -> pa.Array:
         words, codes = shared.value
-        lists = pc.split_pattern(pc.replace_with_mask(seq, pc.is_null(seq), pa.scalar("", seq.type)), ",")
+        filled = pc.fill_null(seq, "")
+        lists = pc.split_pattern(filled, ",")
         place = pc.index_in(lists.flatten().cast(pa.string()), value_set=words)
+        # A missing or empty sequence is one unknown item, even where the vocabulary holds the empty text.
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        blank = np.zeros(len(place), dtype=bool)
+        blank[starts[pc.equal(filled, "").to_numpy(zero_copy_only=False)]] = True
+        place = pc.if_else(pa.array(blank), pa.scalar(None, place.type), place)
         flat = codes.take(pc.fill_null(place, len(words)))
         return pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), flat)
 
@@ -170,4 +182,4 @@ def seq_encode(
     and the rows are not shuffled; a larger one goes through :func:`seq_encode_join`."""
     if not fits(vocabulary, "item", limit):
         return seq_encode_join(df, vocabulary, key, seq)
-    return df.select(key, lookup_function(vocabulary)(F.col(seq)).alias("codes"))
+    return df.select(key, lookup_function(vocabulary, limit)(F.col(seq)).alias("codes"))

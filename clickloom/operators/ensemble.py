@@ -78,7 +78,8 @@ def weighted_blend(
     """<key, value>: weighted sum per key over keys present in every table.
 
     All tables meet in one shuffle on the key, whatever their number. Keys must
-    be unique per table; a repeated key stops the job. :func:`chained_blend`
+    be unique per table; a repeated key stops the job. A null prediction makes the
+    key's blend null. :func:`chained_blend`
     keeps the row multiplication of an inner join instead.
     """
     weights = normalise(weights)
@@ -96,10 +97,10 @@ def weighted_blend(
     )
     full = (1 << len(names)) - 1
     grouped = stacked.groupBy(key).agg(
-        F.sum("_part").alias(value), F.bit_or("_bit").alias("_seen"), F.count(F.lit(1)).alias("_rows")
+        F.sum("_part").alias(value), F.bit_or("_bit").alias("_seen"), F.count(F.lit(1)).alias("_rows"), F.count("_part").alias("_known")
     )
     complete = grouped.where(F.col(key).isNotNull() & (F.col("_seen") == full))
-    checked = F.when(F.col("_rows") == len(names), F.col(value)).otherwise(
+    checked = F.when(F.col("_rows") == len(names), F.when(F.col("_known") == len(names), F.col(value))).otherwise(
         F.raise_error(F.concat(F.lit("repeated key in a prediction table: "), F.col(key).cast("string"))).cast("double")
     )
     return complete.select(key, checked.alias(value))
@@ -115,13 +116,26 @@ def chained_blend(
     return joined.select(key, reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(parts))]).alias(value))
 
 
+#: Most models of one blend; their marks share a 64-bit mask.
+MODELS = 60
+
+
 def blend_long(predictions: DataFrame, weights: DataFrame, key: str = "id", value: str = "pred") -> DataFrame:
-    """<key, clicked> from a long table <key, model, value> and a weight table <model, w>."""
-    return (
-        predictions.join(weights.select("model", "w"), "model")
-        .groupBy(key)
-        .agg(F.sum(F.col("w") * F.col(value)).alias("clicked"))
+    """<key, clicked> from a long table <key, model, value> and a weight table <model, w>.
+
+    A blend has few models, MODELS at most, so their weights are read once and become one
+    expression; the predictions are not moved by model. Keys that lack a model's prediction are left out.
+    """
+    known = weights.select("model", "w").limit(MODELS + 1).collect()
+    if len(known) > MODELS:
+        raise ValueError(f"more than {MODELS} models in one blend")
+    names = F.create_map(*[F.lit(x) for m, w in known for x in (m, float(w))])
+    bits = F.create_map(*[F.lit(x) for i, (m, _) in enumerate(known) for x in (m, 1 << i)])
+    rows = predictions.where(F.col(value).isNotNull()).select(
+        key, (names[F.col("model")] * F.col(value)).alias("_part"), bits[F.col("model")].cast("bigint").alias("_bit")
     )
+    grouped = rows.where(F.col("_bit").isNotNull()).groupBy(key).agg(F.sum("_part").alias("clicked"), F.bit_or("_bit").alias("_seen"))
+    return grouped.where(F.col("_seen") == (1 << len(known)) - 1).drop("_seen")
 
 
 def perf_weights(scores: DataFrame) -> DataFrame:

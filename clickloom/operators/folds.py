@@ -109,9 +109,24 @@ def class_weights(df: DataFrame, label: str = "clicked", mode: str = "ratio") ->
     return counts.select(label, "n", weight.cast("double").alias("weight"))
 
 
+#: Most classes of a label whose weights become an expression.
+CLASSES = 100
+
+
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "clicked", name: str = "weight") -> DataFrame:
-    """Attach the weight of the row's class through a join on the label (one row per class)."""
-    return df.join(weights.select(label, F.col("weight").alias(name)), label)
+    """Attach the weight of the row's class; a row whose label is null or unknown gets null.
+
+    Labels have few values, CLASSES at most: their weights are read once and become one expression, so that rows
+    are not moved by label.
+    """
+    known = weights.select(label, "weight").limit(CLASSES + 1).collect()
+    if len(known) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    weight = F.lit(None).cast("double")
+    for value, w in known:
+        if value is not None:
+            weight = F.when(F.col(label) == F.lit(value), F.lit(w)).otherwise(weight)
+    return df.withColumn(name, weight)
 
 
 def fixed_class_weight(df: DataFrame, positive: float = 51.4, label: str = "clicked", name: str = "weight") -> DataFrame:

@@ -34,9 +34,12 @@ def boosted_trees(
 ) -> GBTClassifier:
     """A boosted-tree estimator; ``overrides`` replaces single parameters.
 
+    MLlib stops at the first round that gains less than ``validationTol`` and has no patience setting; at 0 it
+    stops only when the validation loss gets worse.
+
     ``validation`` names a boolean column; its rows only decide when to stop.
     """
-    params = dict(featuresCol="features", labelCol="clicked", seed=SEED, checkpointInterval=10)
+    params = dict(featuresCol="features", labelCol="clicked", seed=SEED, checkpointInterval=10, validationTol=0.0)
     params.update(BOOSTED[setup])
     if weight:
         params["weightCol"] = weight

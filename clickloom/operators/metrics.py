@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import clip
 from .ranking import BAND, ordered_bands, prior_totals
 
 EPS = 1e-15
 
 
 def _bounded(p: Column) -> Column:
-    p = p.cast("double")
-    return F.greatest(F.least(p, F.lit(1.0 - EPS)), F.lit(EPS))
+    return clip(p.cast("double"), EPS, 1.0 - EPS)
+
+
+def scored(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that can be scored: a label and a prediction, neither null nor NaN. All metrics leave the others out."""
+    return df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
 def weighted_logloss(df: DataFrame, label: str = "clicked", score: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -23,13 +28,13 @@ def weighted_logloss(df: DataFrame, label: str = "clicked", score: str = "pred",
     loss0 = F.avg(F.when(y == 0, -F.log(F.lit(1.0) - p)))
     loss1 = F.avg(F.when(y == 1, -F.log(p)))
     zero = F.lit(0.0)
-    return df.groupBy(*by).agg((0.5 * F.coalesce(loss0, zero) + 0.5 * F.coalesce(loss1, zero)).alias("wll"))
+    return scored(df, label, score).groupBy(*by).agg((0.5 * F.coalesce(loss0, zero) + 0.5 * F.coalesce(loss1, zero)).alias("wll"))
 
 
 def score_runs(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives per distinct score. Ties collapse before any ordering."""
     return (
-        df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        scored(df, label, score)
         .groupBy(*by, F.col(score).cast("double").alias("_score"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_tp"))
     )

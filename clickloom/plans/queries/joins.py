@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ...functions.sequence import truncated
 from ...functions.values import fill_text
 from ...operators import encode, ensemble, metrics
+from ...operators.lookup import fits
+from ...session import cut_lineage
 from ...sources.impressions import (
     PREDICTION_MODELS,
     fold_predictions,
@@ -33,7 +35,8 @@ SELECT i.id, i.inventory_id, f.n AS inventory_rows FROM imp i
 LEFT JOIN (SELECT inventory_id, count(*) AS n FROM imp GROUP BY inventory_id) f ON f.inventory_id = i.inventory_id""", "users"))
 def freq_join(spark, sf):
     rows = impressions(spark, sf, "users").select("id", "inventory_id")
-    counts = encode.value_counts(rows, "inventory_id").withColumnRenamed("count", "inventory_rows")
+    counts = cut_lineage(encode.value_counts(rows, "inventory_id").withColumnRenamed("count", "inventory_rows"))
+    counts = F.broadcast(counts) if fits(counts, "inventory_id") else counts
     return rows.join(counts, "inventory_id", "left").select("id", "inventory_id", "inventory_rows")
 
 

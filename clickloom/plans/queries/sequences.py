@@ -216,13 +216,13 @@ def candidate_match(spark, sf):
 
 
 def _item_vectors(spark, sf):
-    """Embedding rows 1..90 stand for the items of that number; the others have no vector."""
-    rows = table(spark, sf, "embeddings").where((F.col("vec_id") >= 1) & (F.col("vec_id") <= 90))
+    """Embedding rows stand for the items of their number."""
+    rows = table(spark, sf, "embeddings")
     return rows.select(F.col("vec_id").cast("string").alias("item"), F.col("embedding").alias("vec"))
 
 
 ATTENTION = f"""WITH {imp_sql("seq")},
-vecs AS (SELECT CAST(vec_id AS VARCHAR) AS item, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id BETWEEN 1 AND 90),
+vecs AS (SELECT CAST(vec_id AS VARCHAR) AS item, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 bag AS (
   SELECT id, cvec, item, count(*) AS times
   FROM (SELECT i.id, c.vec AS cvec, unnest(string_split(i.seq, ',')) AS item
@@ -269,11 +269,11 @@ def attention_pool_join(spark, sf):
 def attention_pool(spark, sf):
     """History and candidate share one vocabulary: the items that have a vector."""
     vectors = _item_vectors(spark, sf)
-    vocabulary = vectors.select("item", F.col("item").cast("int").alias("idx"))
+    vocabulary = vectors.select("item", (F.col("item").cast("int") + 1).alias("idx"))
     lookup = encode.lookup_function(vocabulary)
     coded = impressions(spark, sf, "seq").select(
         "id", lookup(F.col("seq")).alias("codes"), lookup(F.col("l_feat_14").cast("string"))[0].alias("candidate_code")
     )
     known = coded.where((F.col("candidate_code") > 0) & F.exists("codes", lambda x: x > 0))
-    pooled = attention.attention_pool(known, vectors.select(F.col("item").cast("int").alias("idx"), "vec"))
+    pooled = attention.attention_pool(known, vectors.select((F.col("item").cast("int") + 1).alias("idx"), "vec"))
     return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))

@@ -42,14 +42,16 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "16g
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests on one machine) a fresh temporary folder
-    is made once and kept for the life of the session.
+    Where the setting is absent and the master is local (tests on one machine) a fresh temporary
+    folder is made once and kept for the life of the session; on a cluster the setting is required.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="clickloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .tables import exists, file_system
 
-CACHE_PARTS = ("feature_engineering", "features")
+CACHE_PARTS = ("feature_engineering", "features", "training")
 
 
 def input_stamp(spark: SparkSession, path: str) -> dict:
@@ -21,7 +21,7 @@ def input_stamp(spark: SparkSession, path: str) -> dict:
         "path": path,
         "bytes": int(summary.getLength()),
         "files": int(summary.getFileCount()),
-        "changed": int(fs.getFileStatus(target).getModificationTime()),
+        "changed": max([int(fs.getFileStatus(target).getModificationTime()), *[int(f.getModificationTime()) for f in fs.listStatus(target)]]),
     }
 
 
