@@ -25,41 +25,44 @@ def dot(a: Column, b: Column) -> Column:
 def attention_weights(
     df: DataFrame, vectors: DataFrame, key: str = "id", seq: str = "seq", candidate: str = "candidate"
 ) -> DataFrame:
-    """<key, item, times, score, weight, vec>: softmax over each row's own history.
+    """<key, item, times, score, weight>: softmax over each row's own history.
 
     ``vectors`` is <item, vec>. Repeated items of one history are scored once and
-    counted ``times``; items without a vector are masked with a score of -1e4.
-    Every group is one history, so its size is that of one sequence.
+    counted ``times``; items without a vector are masked with a score of -1e4, and a candidate
+    without a vector scores 0 against the others. A row without history keeps one row: no item, 0 times, null
+    weight. ``key`` tells rows apart. Every group is one history, so its size is that of one sequence.
     """
-    wanted = df.join(
-        vectors.select(F.col("item").alias("_c"), F.col("vec").alias("_cvec")),
-        F.col(candidate).cast("string") == F.col("_c"),
-    )
-    bag = (
-        wanted.where(F.col(seq) != "")
-        .select(key, "_cvec", items(seq).alias("_items"))
-        .select(key, "_cvec", "_items", F.explode(F.array_distinct("_items")).alias("item"))
-        .withColumn("times", F.size(F.filter("_items", lambda x: x == F.col("item"))))
-        .drop("_items")
-    )
-    scored = bag.join(vectors.select("item", "vec"), "item", "left").withColumn(
-        "score", F.coalesce(dot(F.col("_cvec"), F.col("vec")), F.lit(MASKED_SCORE))
-    )
+    item = F.explode_outer(items(F.nullif(F.col(seq), F.lit("")))).alias("item")
+    return _weights(df.select(key, F.col(candidate).cast("string").alias("_candidate"), item), vectors, key)
+
+
+def _weights(bag: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Weights of <key, _candidate, item>; vectors stay behind once they are scored."""
+    counted = bag.groupBy(key, "_candidate", "item").agg(F.count("item").alias("times"))
+    wanted = vectors.select(F.col("item").alias("_candidate"), F.col("vec").alias("_cvec"))
+    met = counted.join(wanted, "_candidate", "left").join(vectors.select("item", "vec"), "item", "left")
+    score = F.when(F.col("vec").isNull(), F.lit(MASKED_SCORE)).otherwise(F.coalesce(dot(F.col("_cvec"), F.col("vec")), F.lit(0.0)))
+    scored = met.select(key, "item", "times", F.when(F.col("item").isNotNull(), score).alias("score"))
     row = Window.partitionBy(key)
     raised = F.exp(F.col("score") - F.max("score").over(row)) * F.col("times")
     return scored.withColumn("_raised", raised).select(
-        key, "item", "times", "score", (F.col("_raised") / F.sum("_raised").over(row)).alias("weight"), "vec"
+        key, "item", "times", "score", (F.col("_raised") / F.sum("_raised").over(row)).alias("weight")
     )
 
 
 def attention_pool_join(
     df: DataFrame, vectors: DataFrame, key: str = "id", seq: str = "seq", candidate: str = "candidate"
 ) -> DataFrame:
-    """<key, pooled> for vector tables of any size. Rows whose whole history is masked are left out."""
-    weights = attention_weights(df, vectors, key, seq, candidate).where(F.col("vec").isNotNull())
-    mean = Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>")), F.col("weight"))
-    pooled = weights.groupBy(key).agg(vector_to_array(mean).alias("_mean"), F.sum("weight").alias("_share"))
-    return pooled.select(key, F.transform("_mean", lambda x: x * F.col("_share")).alias("pooled"))
+    """<key, pooled> for vector tables of any size; a row whose whole history is masked or missing gives zeros."""
+    return _pooled(attention_weights(df, vectors, key, seq, candidate), vectors, key)
+
+
+def _pooled(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    met = weights.join(vectors.select("item", F.col("vec").cast("array<double>").alias("vec")), "item", "left")
+    vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), width))
+    mean = Summarizer.mean(array_to_vector(vec), F.coalesce("weight", F.lit(1.0)))
+    return met.groupBy(key).agg(vector_to_array(mean).alias("pooled"))
 
 
 def pool_function(matrix: np.ndarray, spark):
@@ -77,8 +80,11 @@ def pool_function(matrix: np.ndarray, spark):
         for at in range(0, len(codes), ROWS_AT_ONCE):
             part = codes.slice(at, ROWS_AT_ONCE)
             flat = part.flatten().to_numpy(zero_copy_only=False)
-            sizes = part.value_lengths().to_numpy(zero_copy_only=False)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            # A missing or empty history is one unknown item.
+            flat = np.insert(flat, (np.cumsum(sizes) - sizes)[sizes == 0], 0)
+            sizes = np.maximum(sizes, 1)
+            starts = np.cumsum(sizes) - sizes
             history = vectors[flat]
             asked = vectors[wanted[at : at + ROWS_AT_ONCE]]
             score = np.einsum("ij,ij->i", history, np.repeat(asked, sizes, axis=0))
@@ -92,24 +98,33 @@ def pool_function(matrix: np.ndarray, spark):
     return F.arrow_udf(pool, "array<double>")
 
 
-def vector_matrix(vectors: DataFrame, limit: int = MATRIX_BYTES) -> np.ndarray:
-    """Row ``idx`` holds the vector of that index (1..n), row 0 is zero. Measured first; too much is refused."""
-    last, width = vectors.agg(F.max("idx"), F.max(F.size("vec"))).first()
+def vector_matrix(vectors: DataFrame, limit: int = MATRIX_BYTES) -> np.ndarray | None:
+    """Row ``idx`` holds the vector of that index (1..n), row 0 is zero. Measured first; None above ``limit`` bytes."""
+    last, width = (x or 0 for x in vectors.agg(F.max("idx"), F.max(F.size("vec"))).first())
     if (last + 1) * width * 8 > limit:
-        raise ValueError(f"vectors need more than {limit} bytes: use attention_pool_join")
+        return None
     table = vectors.select("idx", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()
     matrix = np.zeros((last + 1, width))
-    matrix[table.column("idx").to_numpy()] = np.stack(table.column("vec").to_pylist())
+    flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix[table.column("idx").to_numpy()] = flat.reshape(len(table), width)
     return matrix
 
 
 def attention_pool(
-    df: DataFrame, vectors: DataFrame, key: str = "id", codes: str = "codes", candidate: str = "candidate_code"
+    df: DataFrame, vectors: DataFrame, key: str = "id", codes: str = "codes", candidate: str = "candidate_code",
+    limit: int = MATRIX_BYTES,
 ) -> DataFrame:
-    """<key, pooled> from encoded histories and candidates; the rows are not shuffled.
+    """<key, pooled> from encoded histories and candidates.
 
     ``vectors`` is <idx, vec> with dense indices from 1, as the vocabulary gives
-    them; its size is checked before it is sent to the tasks.
+    them. Up to ``limit`` measured bytes they are sent to the tasks and the rows are not shuffled; beyond
+    that they are joined, with equal results.
     """
-    pool = pool_function(vector_matrix(vectors), df.sparkSession)
+    matrix = vector_matrix(vectors, limit)
+    if matrix is None:
+        named = vectors.select(F.col("idx").cast("string").alias("item"), "vec")
+        item = F.explode_outer(F.col(codes).cast("array<string>")).alias("item")
+        bag = df.select(key, F.col(candidate).cast("string").alias("_candidate"), item)
+        return _pooled(_weights(bag, named, key), named, key)
+    pool = pool_function(matrix, df.sparkSession)
     return df.select(key, pool(F.col(codes), F.col(candidate)).alias("pooled"))

@@ -98,13 +98,12 @@ hi AS (
 
 SEQUENCES = """
 earlier AS (
-  SELECT d.user_id, d.day, e.ts, e.id, e.l_feat_14,
-    row_number() OVER (PARTITION BY d.user_id, d.day ORDER BY e.ts DESC, e.id DESC) AS rn
+  SELECT d.user_id, d.day, e.ts, e.id, e.l_feat_14
   FROM (SELECT DISTINCT user_id, day FROM ev) d
   JOIN ev e ON e.user_id = d.user_id AND e.day < d.day),
 sq AS (
   SELECT user_id, day, string_agg(CAST(l_feat_14 AS VARCHAR), ',' ORDER BY ts, id) AS seq
-  FROM earlier WHERE rn <= 200 GROUP BY user_id, day)"""
+  FROM earlier GROUP BY user_id, day)"""
 
 WORDS = """
 docs AS (
@@ -160,7 +159,7 @@ def imp_sql(*parts: str) -> str:
             ctes.append(cte)
             cols.append(f"{name}.* EXCLUDE ({', '.join(keys)})")
             on = " AND ".join(f"ev.{k} = {name}.{k}" for k in keys)
-            joins.append(f"{'JOIN' if part == 'users' else 'LEFT JOIN'} {name} ON {on}")
+            joins.append(f"LEFT JOIN {name} ON {on}")
     ctes.append(f"\nimp AS (SELECT {', '.join(cols)} FROM ev {' '.join(joins)})")
     return ",".join(ctes)
 

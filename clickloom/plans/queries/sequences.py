@@ -221,15 +221,16 @@ def _item_vectors(spark, sf):
     return rows.select(F.col("vec_id").cast("string").alias("item"), F.col("embedding").alias("vec"))
 
 
+#: A candidate without a vector scores 0, an item without one is masked.
 ATTENTION = f"""WITH {imp_sql("seq")},
 vecs AS (SELECT CAST(vec_id AS VARCHAR) AS item, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 bag AS (
   SELECT id, cvec, item, count(*) AS times
   FROM (SELECT i.id, c.vec AS cvec, unnest(string_split(i.seq, ',')) AS item
-        FROM imp i JOIN vecs c ON c.item = CAST(i.l_feat_14 AS VARCHAR) WHERE i.seq <> '') x
+        FROM imp i LEFT JOIN vecs c ON c.item = CAST(i.l_feat_14 AS VARCHAR) WHERE i.seq <> '') x
   GROUP BY ALL),
 scored AS (
-  SELECT b.id, b.item, b.times, v.vec, b.cvec, coalesce(list_dot_product(b.cvec, v.vec), -1e4) AS score
+  SELECT b.id, b.item, b.times, v.vec, CASE WHEN v.vec IS NULL THEN -1e4 ELSE coalesce(list_dot_product(b.cvec, v.vec), 0) END AS score
   FROM bag b LEFT JOIN vecs v ON v.item = b.item),
 soft AS (
   SELECT *, times * exp(score - max(score) OVER (PARTITION BY id)) AS raised FROM scored),
@@ -237,24 +238,27 @@ weighted AS (SELECT *, raised / sum(raised) OVER (PARTITION BY id) AS weight FRO
 
 
 @query("attention_weights", f"""{ATTENTION}
-SELECT id, CAST(count(*) AS BIGINT) AS items, CAST(sum(times) AS BIGINT) AS times,
-  round(max(weight), 6) AS max_weight, round(sum(weight * score), 4) + 0.0 AS mean_score FROM weighted GROUP BY id""")
+SELECT i.id, CAST(count(w.item) AS BIGINT) AS items, CAST(coalesce(sum(times), 0) AS BIGINT) AS times,
+  coalesce(round(max(weight), 6), 0) AS max_weight, coalesce(round(sum(weight * score), 4), 0) + 0.0 AS mean_score
+FROM imp i LEFT JOIN weighted w ON w.id = i.id GROUP BY i.id""")
 def attention_weights(spark, sf):
     weights = attention.attention_weights(
         impressions(spark, sf, "seq"), _item_vectors(spark, sf), "id", "seq", "l_feat_14"
     )
     return weights.groupBy("id").agg(
-        F.count(F.lit(1)).alias("items"),
-        F.sum(F.col("times").cast("bigint")).alias("times"),
-        r(F.max("weight"), alias="max_weight"),
-        r(F.sum(F.col("weight") * F.col("score")), 4, "mean_score"),
+        F.count("item").alias("items"),
+        F.sum("times").alias("times"),
+        r(F.coalesce(F.max("weight"), F.lit(0.0)), alias="max_weight"),
+        r(F.coalesce(F.sum(F.col("weight") * F.col("score")), F.lit(0.0)), 4, "mean_score"),
     )
 
 
 POOLED = f"""{ATTENTION},
-dims AS (
-  SELECT id, weight, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM weighted WHERE vec IS NOT NULL)
-SELECT id, CAST(dim AS INTEGER) AS dim, round(sum(weight * x), 5) + 0.0 AS pooled FROM dims GROUP BY id, dim"""
+parts AS (
+  SELECT id, weight, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM weighted WHERE vec IS NOT NULL),
+sums AS (SELECT id, dim, sum(weight * x) AS pooled FROM parts GROUP BY id, dim),
+cells AS (SELECT id, unnest(range((SELECT max(len(vec)) FROM vecs))) AS dim FROM imp)
+SELECT id, CAST(dim AS INTEGER) AS dim, coalesce(round(pooled, 5), 0) + 0.0 AS pooled FROM cells LEFT JOIN sums USING (id, dim)"""
 
 
 @query("attention_pool_join", POOLED)
@@ -274,6 +278,5 @@ def attention_pool(spark, sf):
     coded = impressions(spark, sf, "seq").select(
         "id", lookup(F.col("seq")).alias("codes"), lookup(F.col("l_feat_14").cast("string"))[0].alias("candidate_code")
     )
-    known = coded.where((F.col("candidate_code") > 0) & F.exists("codes", lambda x: x > 0))
-    pooled = attention.attention_pool(known, vectors.select((F.col("item").cast("int") + 1).alias("idx"), "vec"))
+    pooled = attention.attention_pool(coded, vectors.select((F.col("item").cast("int") + 1).alias("idx"), "vec"))
     return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))

@@ -16,7 +16,6 @@ from ..functions.hashing import keyed_hash32
 from ..session import configure
 from .tables import spread
 
-HISTORY_ITEMS = 200
 ITEM_SPACE = 500
 PREDICTION_MODELS = {"a": 0.3, "b": 0.2, "c": 0.1}
 FIRST_TEST_DAY = "2024-01-25"
@@ -130,31 +129,28 @@ def day_history(ev: DataFrame) -> DataFrame:
     )
 
 
-def day_sequences(ev: DataFrame, keep: int = HISTORY_ITEMS) -> DataFrame:
-    """One row per user and active day: the newest ``keep`` items of earlier days, oldest first.
+def day_sequences(ev: DataFrame, keep: int | None = None) -> DataFrame:
+    """One row per user and active day: the items of all earlier days, oldest first.
 
-    Only the newest ``keep`` events of a day can matter for a later day. Spark
-    applies that rank limit before the shuffle, so a user with a third of all
-    rows sends at most ``keep`` rows per map task. Every active day holds an item,
-    so ``keep`` day rows back is far enough.
+    ``keep`` leaves only the newest ``keep`` items. Only the newest ``keep`` events of a day can matter then, and Spark
+    applies that rank limit before the shuffle; every active day holds an item, so ``keep`` day rows back is far enough.
     """
-    newest = Window.partitionBy("user_id", "day").orderBy(F.col("ts").desc(), F.col("id").desc())
-    day_items = (
-        ev.select("user_id", "day", "ts", "id", F.col("l_feat_14").cast("string").alias("item"))
-        .withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= keep)
-        .groupBy("user_id", "day")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "id", "item"))).getField("item").alias("_items"))
-    )
-    past = Window.partitionBy("user_id").orderBy("day").rowsBetween(-keep, -1)
-    held = F.flatten(F.collect_list("_items").over(past))
+    rows = ev.select("user_id", "day", "ts", "id", F.col("l_feat_14").cast("string").alias("item"))
+    if keep is not None:
+        newest = Window.partitionBy("user_id", "day").orderBy(F.col("ts").desc(), F.col("id").desc())
+        rows = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= keep)
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "item"))).getField("item")
+    past = Window.partitionBy("user_id").orderBy("day")
+    if keep is None:
+        text = F.nullif(F.array_join(ordered, ","), F.lit(""))
+        day_items = rows.groupBy("user_id", "day").agg(text.alias("_text"))
+        past = past.rowsBetween(Window.unboundedPreceding, -1)
+        return day_items.select("user_id", "day", F.nullif(F.array_join(F.collect_list("_text").over(past), ","), F.lit("")).alias("seq"))
+    day_items = rows.groupBy("user_id", "day").agg(ordered.alias("_items"))
+    held = F.flatten(F.collect_list("_items").over(past.rowsBetween(-keep, -1)))
+    newest_items = F.slice("_held", F.greatest(F.size("_held") - keep + 1, F.lit(1)), F.lit(keep))
     return day_items.withColumn("_held", held).select(
-        "user_id",
-        "day",
-        F.nullif(
-            F.array_join(F.slice("_held", F.greatest(F.size("_held") - keep + 1, F.lit(1)), F.lit(keep)), ","),
-            F.lit(""),
-        ).alias("seq"),
+        "user_id", "day", F.nullif(F.array_join(newest_items, ","), F.lit("")).alias("seq")
     )
 
 
@@ -174,11 +170,11 @@ def impressions(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     if by_day:
         profile = by_day[0] if len(by_day) == 1 else by_day[0].join(by_day[1], ["user_id", "day"])
         if side is not None:
-            profile = profile.join(side, "user_id", "inner" if "users" in parts else "left")
+            profile = profile.join(side, "user_id", "left")
         return ev.join(profile, ["user_id", "day"])
     if side is None:
         return ev
-    return ev.join(side, "user_id", "inner" if "users" in parts else "left")
+    return ev.join(side, "user_id", "left")
 
 
 def is_train() -> Column:

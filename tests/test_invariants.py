@@ -109,24 +109,30 @@ def test_attention_forms_agree_with_numpy(spark):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(6, 4))
     vectors = spark.createDataFrame([(str(i + 1), i + 1, [float(x) for x in v]) for i, v in enumerate(vecs)], "item string, idx int, vec array<double>")
-    rows = [(1, "1,2,2,9", 3), (2, "4", 4), (3, "9,9", 1), (4, None, 2)]
+    rows = [(1, "1,2,2,9", 3), (2, "4", 4), (3, "9,9", 1), (4, None, 2), (5, "1,2,9", 8), (6, "", None)]
     df = spark.createDataFrame(rows, "id int, seq string, candidate int")
     joined = {r.id: r.pooled for r in attention.attention_pool_join(df, vectors).collect()}
     lookup = encode.lookup_function(vectors)
-    coded = df.select("id", lookup(F.col("seq")).alias("codes"), F.col("candidate").alias("candidate_code"))
+    code = lookup(F.col("candidate").cast("string"))[0]
+    coded = df.select("id", lookup(F.col("seq")).alias("codes"), code.alias("candidate_code"))
     whole = {r.id: r.pooled for r in attention.attention_pool(coded, vectors).collect()}
+    beyond = {r.id: r.pooled for r in attention.attention_pool(coded, vectors, limit=0).collect()}
 
     def expected(history, c):
         m = np.array([vecs[int(x) - 1] if x != "9" else np.zeros(4) for x in history])
-        s = np.array([v @ vecs[c - 1] if x != "9" else -1e4 for x, v in zip(history, m)])
+        s = np.array([(v @ vecs[c - 1] if c <= 6 else 0.0) if x != "9" else -1e4 for x, v in zip(history, m)])
         w = np.exp(s - s.max())
         return (w / w.sum()) @ m
 
-    assert set(joined) == {1, 2}
-    for i, seq, c in rows[:2]:
-        np.testing.assert_allclose(joined[i], expected(seq.split(","), c), atol=1e-9)
-        np.testing.assert_allclose(whole[i], expected(seq.split(","), c), atol=1e-9)
-    assert whole[3] == [0.0] * 4 and whole[4] == [0.0] * 4
+    for form in (joined, whole, beyond):
+        assert set(form) == {1, 2, 3, 4, 5, 6}
+        for i, seq, c in (rows[0], rows[1], rows[4]):
+            np.testing.assert_allclose(form[i], expected(seq.split(","), c), atol=1e-9)
+        assert form[3] == form[4] == form[6] == [0.0] * 4
+    bare = spark.createDataFrame([(1, None, 1), (2, [], 2), (3, [4], 4)], "id int, codes array<int>, candidate_code int")
+    pooled = {r.id: r.pooled for r in attention.attention_pool(bare, vectors).collect()}
+    assert pooled[1] == pooled[2] == [0.0] * 4
+    np.testing.assert_allclose(pooled[3], vecs[3])
 
 
 def test_blend_weights():
@@ -225,6 +231,8 @@ def test_history_of_a_hot_user_against_brute_force(spark, tmp_path):
     for (user, day), seq in got.items():
         earlier = [k for u, ts, _, k in events if u == user and ts.date() < day]
         assert (seq or "") == ",".join(earlier[-keep:])
+    for r in impressions.day_sequences(ev).collect():
+        assert (r.seq or "") == ",".join(k for u, ts, _, k in events if u == r.user_id and ts.date() < r.day)
     rates = {(r.user_id, r.day): r.history_a_1 for r in impressions.day_history(ev).collect()}
     for (user, day), rate in rates.items():
         past = [kind for _, ts, u, kind, _, _ in rows if u == user and ts.date() < day]
