@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import gaussian
@@ -134,9 +134,14 @@ def fixed_class_weight(df: DataFrame, positive: float = 51.4, label: str = "clic
 
 
 def inject_noise(
-    df: DataFrame, columns: Sequence[str], fold: int, key: str = "id", seed: int = SEED, sigma: float = NOISE_SIGMA
+    df: DataFrame, columns: Sequence[str], fold: int, key: str = "id", seed: int = SEED, sigma: float = NOISE_SIGMA,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Add seeded normal noise to numeric training columns."""
-    return df.withColumns(
-        {c: F.col(c).cast("double") + gaussian(key, c, seed + fold, sigma=sigma) for c in columns}
-    )
+    """Add seeded normal noise to numeric training columns; of rows not ``where`` the values stay."""
+
+    def noised(c: str) -> Column:
+        value = F.col(c).cast("double")
+        moved = value + gaussian(key, c, seed + fold, sigma=sigma)
+        return moved if where is None else F.when(where, moved).otherwise(value)
+
+    return df.withColumns({c: noised(c) for c in columns}) if columns else df

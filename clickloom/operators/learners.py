@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -130,16 +130,20 @@ def score(model: Model, df: DataFrame, key: str = "id", name: str = "pred", keep
 
 
 def fit_folds(
-    df: DataFrame, estimator: Estimator, folds: int = FOLDS, fold: str = "fold", validation: str | None = None
+    df: DataFrame, estimator: Estimator, folds: int = FOLDS, fold: str = "fold", validation: str | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> dict[int, PipelineModel]:
     """One model per fold, trained on the other folds. ``df`` should be a stored table.
 
-    With ``validation`` the held-out fold stays in the input, marked in that
-    column, for learners that stop early on it.
+    ``prepare(df, k)`` gives the rows as fold k trains on them (weights, noise; see ``training.fold_rows``). With
+    ``validation`` the held-out fold stays in the input, marked in that column, for learners that stop early on it.
     """
-    if validation:
-        return {k: estimator.fit(df.withColumn(validation, F.col(fold) == k)) for k in range(1, folds + 1)}
-    return {k: estimator.fit(df.where(F.col(fold) != k)) for k in range(1, folds + 1)}
+    models = {}
+    for k in range(1, folds + 1):
+        rows = prepare(df, k) if prepare else df
+        held = F.col(fold) == k
+        models[k] = estimator.fit(rows.withColumn(validation, held) if validation else rows.where(~held))
+    return models
 
 
 def out_of_fold(

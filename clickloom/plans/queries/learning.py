@@ -1,4 +1,10 @@
-"""Learner queries. Trees and linear models have no SQL form; those are checked by tests."""
+"""Learner queries.
+
+SQL cannot fit models, so these queries show what it can know: which rows are scored, how often and in which
+fold, and that every prediction is a probability. The models themselves are checked by tests.
+
+Trees train with ROUNDS rounds of depth DEPTH here, far fewer than the set-ups name: MLlib's fits take seconds a round.
+"""
 
 from __future__ import annotations
 
@@ -8,142 +14,186 @@ from pyspark.sql import functions as F
 
 from ...functions.values import sigmoid
 from ...operators import ensemble, folds, learners, metrics
-from ...session import shared_dir
+from ...session import cut_lineage, shared_dir
 from ...sources import artefacts, cache
 from ...sources.impressions import impressions, is_train, table
 from .. import features, training
 from ..config import DEFAULT
-from .registry import query, r
+from .registry import query, r, with_imp
 from .storage import fresh
 
 ROUNDS = 5
-CATEGORIES = ("gender", "age_group", "inventory_id", "time_segment")
+DEPTH = 4
+BINS = 256  # above the number of values of every category
 LEAKS = ("event_type", "value", "ts", "user_id", "seq")
-NUMERIC = (
-    "l_feat_1", "l_feat_2", "l_feat_3", "l_feat_14", "history_a_1", "history_a_2", "history_a_3", "history_a_4",
-    "history_b_1", "history_b_2", "history_b_3", "history_a_1_log", "history_a_4_bin", "seq_length", "seq_diversity_proxy",
-    "h1_x_seqlen", "is_dawn", "is_weekend", "feat_a_mean", "feat_a_nonzero_count", "feat_b_mean", "feat_c_mean",
-    "feat_d_mean", "feat_e_max",
-)
 LINEAR = ("history_a_1", "history_a_3", "history_b_1", "seq_length_log", "l_feat_3", "is_weekend")
 
 
+#: What SQL knows of the rows of the later days, and of out-of-fold rows.
+LATER = with_imp("SELECT id, clicked, true AS in_range FROM imp WHERE day >= DATE '2024-01-25'")
+LATER_IDS = with_imp("SELECT id, true AS in_range FROM imp WHERE day >= DATE '2024-01-25'")
+LATER_FOLDS = with_imp("""
+SELECT id, 'linear' AS model, CAST(fold AS INTEGER) AS fold, true AS in_range
+FROM (SELECT id, unnest(range(1, 6)) AS fold FROM imp WHERE day >= DATE '2024-01-25') x""")
+OUT_OF_FOLD = with_imp("""
+SELECT id, clicked, CAST(ntile(5) OVER (PARTITION BY clicked ORDER BY md5(CAST(id AS VARCHAR) || '42') || CAST(id AS VARCHAR)) AS INTEGER) AS fold, true AS in_range
+FROM imp WHERE day < DATE '2024-01-25'""")
+
+
 def stored_features(spark, sf):
-    """The tree features with folds, computed once and kept under their key; every learner reads this table."""
+    """Training rows with folds, and later rows, of the tree features: computed once and kept under their key."""
     inputs = [f"{sf}/{t}.parquet" for t in ("events", "customer", "orders")]
 
     def build():
         rows = features.tree_features(impressions(spark, sf, "users", "orders", "history", "seq")).drop(*LEAKS)
-        numeric = [c for c in features.numeric_columns(rows) if c not in ("id", "clicked")]
-        cuts = folds.fold_cuts(impressions(spark, sf))
-        return folds.assign_folds(learners.filled(rows, numeric, CATEGORIES), cuts)
+        numeric, categories = inputs_of(rows)
+        cuts = folds.fold_cuts(impressions(spark, sf).where(is_train()))
+        return folds.assign_folds(learners.filled(rows, numeric, categories), cuts)
 
-    settings = {**DEFAULT, "features": {"plan": "tree_features"}}
+    settings = {**DEFAULT, "features": {"plan": "tree_features", "cuts": "training rows"}}
     root = f"{shared_dir(spark)}/clickloom/features-{spark.sparkContext.applicationId}"
     df = cache.feature_cache(spark, build, settings, inputs, root, partition_by=["fold"])
     return df.where(is_train()), df.where(~is_train())
 
 
-def _trees(setup: str, weight: str | None = None, **overrides):
-    return learners.tree_pipeline(NUMERIC, CATEGORIES, setup, weight, **{"maxIter": ROUNDS, "maxDepth": 4, **overrides})
+def inputs_of(df):
+    """All numeric columns and all categories of a feature table."""
+    text = [c for c, t in df.dtypes if t == "string"]
+    return [c for c, t in df.dtypes if t not in ("string", "date") and c not in ("id", "clicked", "fold")], text
+
+
+def _trees(train, setup: str, weight: str | None = None, **overrides):
+    numeric, categories = inputs_of(train)
+    return learners.tree_pipeline(numeric, categories, setup, weight, **{"maxIter": ROUNDS, "maxDepth": DEPTH, "maxBins": BINS, **overrides})
+
+
+def _shown(scored, *keep, pred="pred"):
+    return scored.select("id", *keep, F.col(pred).between(0, 1).alias("in_range"))
 
 
-def _holdout(scored, test):
-    """Score of the predictions on the later days."""
-    rows = scored.join(test.select("id", "clicked"), "id")
-    return metrics.competition_score(rows).select(r("ap"), r("wll"), r("score"))
+def _scored(model, test):
+    return _shown(learners.score(model, test, keep=("clicked",)), "clicked")
 
 
-@query("boosted_trees_a")
+@query("boosted_trees_a", LATER)
 def boosted_trees_a(spark, sf):
     """Set-up A, weighted by the class ratio, scored on later days."""
     train, test = stored_features(spark, sf)
-    train = folds.with_class_weight(train, folds.class_weights(train))
-    return learners.score(_trees("a", "weight").fit(train), test, keep=("clicked",))
+    weighted = folds.with_class_weight(train, folds.class_weights(train))
+    return _scored(_trees(train, "a", "weight").fit(weighted), test)
 
 
-@query("boosted_trees_b")
+@query("boosted_trees_b", LATER)
 def boosted_trees_b(spark, sf):
     """Set-up B, balanced classes."""
     train, test = stored_features(spark, sf)
-    train = folds.with_class_weight(train, folds.class_weights(train, mode="balanced"))
-    return learners.score(_trees("b", "weight").fit(train), test, keep=("clicked",))
+    weighted = folds.with_class_weight(train, folds.class_weights(train, mode="balanced"))
+    return _scored(_trees(train, "b", "weight").fit(weighted), test)
 
 
-@query("boosted_trees_c")
+@query("boosted_trees_c", LATER)
 def boosted_trees_c(spark, sf):
     """Set-up C, fixed class weights, stopping early on one fold."""
     train, test = stored_features(spark, sf)
-    train = folds.fixed_class_weight(train).withColumn("is_validation", F.col("fold") == 1)
-    model = _trees("c", "weight", validation="is_validation").fit(train)
-    return learners.score(model, test, keep=("clicked",))
+    weighted = folds.fixed_class_weight(train).withColumn("is_validation", F.col("fold") == 1)
+    return _scored(_trees(train, "c", "weight", validation="is_validation").fit(weighted), test)
 
 
-@query("full_fit_holdout")
+@query("full_fit_holdout", with_imp("""
+SELECT count(*) AS n_rows, CAST(sum(clicked) AS BIGINT) AS clicks, count(*) AS in_range, true AS measured
+FROM imp WHERE day >= DATE '2024-01-25'"""))
 def full_fit_holdout(spark, sf):
     """One model on all training rows, stored, loaded again, scored and measured."""
     train, test = stored_features(spark, sf)
-    path = artefacts.save_model(_trees("b").fit(train), fresh(spark, "models"), "b", 0)
+    path = artefacts.save_model(_trees(train, "b").fit(train), fresh(spark, "models"), "b", 0)
     model = artefacts.load_fold_models({0: path})[0]
-    return _holdout(learners.score(model, test), test)
+    rows = cut_lineage(learners.score(model, test).join(test.select("id", "clicked"), "id"))
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("clicked").alias("clicks"), F.count_if(F.col("pred").between(0, 1)).alias("in_range")
+    )
+    measured = metrics.competition_score(rows).select((F.col("ap").between(0, 1) & (F.col("wll") > 0)).alias("measured"))
+    return counts.withColumn("_one", F.lit(1)).join(measured.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-@query("crossed_linear")
+@query("crossed_linear", LATER)
 def crossed_linear(spark, sf):
     """Explicit second-order products and logistic regression."""
     train, test = stored_features(spark, sf)
-    return learners.score(learners.crossed_linear(LINEAR, maxIter=20).fit(train), test, keep=("clicked",))
+    return _scored(learners.crossed_linear(LINEAR, maxIter=20).fit(train), test)
 
 
-@query("factor_machine")
+@query("factor_machine", LATER)
 def factor_machine(spark, sf):
     train, test = stored_features(spark, sf)
-    return learners.score(learners.factor_machine(LINEAR, maxIter=10).fit(train), test, keep=("clicked",))
+    return _scored(learners.factor_machine(LINEAR, maxIter=10).fit(train), test)
+
+
+_TRAINED: dict[tuple[str, str], tuple] = {}
+
 
+def _cross_validated(spark, sf):
+    """Fold models, out-of-fold rows, scores and later rows; trained once in a session, since four queries show a part each."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = _train_folds(spark, sf)
+    return _TRAINED[key]
 
-def _two_fold_models(spark, sf):
+
+def _train_folds(spark, sf):
+    """Five folds of set-up B (balanced weights and noise inside the fold, early stopping on it) and of the linear model."""
     train, test = stored_features(spark, sf)
+    numeric, _ = inputs_of(train)
     estimators = {
-        "trees": _trees("b", maxIter=3),
+        "trees": _trees(train, "b", "weight", validation="is_validation", maxIter=3),
         "linear": learners.crossed_linear(LINEAR, maxIter=10),
     }
-    models, oof, scores = training.cross_validate(train, estimators, folds=folds.FOLDS)
+    prepare = {"trees": training.fold_rows(numeric, "balanced"), "linear": training.fold_rows(LINEAR)}
+    models, oof, scores = training.cross_validate(train, estimators, folds.FOLDS, prepare=prepare, validation={"trees": "is_validation"})
     return models, oof, scores, test
 
 
-@query("oof_frame")
+@query("oof_frame", OUT_OF_FOLD.replace("SELECT id, clicked", "SELECT unnest(['trees', 'linear']) AS model, id, clicked"))
 def oof_frame(spark, sf):
     """Out-of-fold predictions of two learners over five folds."""
-    _, oof, _, _ = _two_fold_models(spark, sf)
-    return oof
+    _, oof, _, _ = _cross_validated(spark, sf)
+    return _shown(oof, "clicked", "fold", "model")
+
+
+@query("cv_scores", """
+SELECT model, CAST(fold AS INTEGER) AS fold, true AS measured
+FROM (SELECT unnest(['trees', 'linear']) AS model) m, (SELECT unnest(range(0, 6)) AS fold) f""")
+def cv_scores(spark, sf):
+    """The scores of each fold of the cross-validated learners, and of all rows as fold 0."""
+    _, _, scores, _ = _cross_validated(spark, sf)
+    return scores.select("model", F.col("fold").cast("int").alias("fold"), (F.col("ap").between(0, 1) & (F.col("wll") > 0)).alias("measured"))
 
 
-@query("fold_score")
+@query("fold_score", LATER_FOLDS)
 def fold_score(spark, sf):
     """Every later row scored by each fold model of one learner."""
     train, test = stored_features(spark, sf)
-    models = learners.fit_folds(train, learners.crossed_linear(LINEAR, maxIter=10))
-    return learners.fold_score(test, models, "linear")
+    models = learners.fit_folds(train, learners.crossed_linear(LINEAR, maxIter=10), prepare=training.fold_rows(LINEAR))
+    return _shown(learners.fold_score(test, models, "linear"), "model", "fold")
 
 
-@query("train_score_blend")
+@query("train_score_blend", LATER_IDS)
 def train_score_blend(spark, sf):
     """Five folds of two learners, performance weights kept as a table, fold medians and the blend of later days."""
-    models, oof, _, test = _two_fold_models(spark, sf)
+    models, oof, _, test = _cross_validated(spark, sf)
     weights = ensemble.perf_weights(metrics.competition_score(oof, by=["model"]))
     weights = artefacts.save_table(weights, fresh(spark, "weights"), "blend")
-    return training.score_and_blend(test, models, weights)
+    return _shown(training.score_and_blend(test, models, weights), pred="clicked")
 
 
-@query("stacking")
+@query("stacking", LATER_IDS)
 def stacking(spark, sf):
     """Logistic regression over the out-of-fold columns, applied to the later days."""
-    models, oof, _, test = _two_fold_models(spark, sf)
+    models, oof, _, test = _cross_validated(spark, sf)
     later = None
     for name, fold_models in models.items():
         mean = ensemble.fold_mean(learners.fold_score(test, fold_models, name))
         later = mean if later is None else later.unionByName(mean)
-    return learners.stack(oof, later, list(models))
+    return _shown(learners.stack(oof, later, list(models)), pred="clicked")
 
 
 @query("sigmoid", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ensemble, learners, metrics
-from ..operators.folds import FOLDS, SEED, assign_folds, fold_cuts
+from ..operators.folds import FOLDS, SEED, assign_folds, class_weights, fixed_class_weight, fold_cuts, inject_noise, with_class_weight
 from ..session import cut_lineage
 
 
@@ -19,16 +19,38 @@ def with_folds(df: DataFrame, key: str = "id", label: str = "clicked", k: int =
     return assign_folds(df, fold_cuts(df, key, label, k, seed), key, label, k, seed)
 
 
+def fold_rows(
+    noisy: Sequence[str] = (), weighting: str | float | None = None, key: str = "id", label: str = "clicked", fold: str = "fold"
+) -> Callable[[DataFrame, int], DataFrame]:
+    """How a fold prepares its rows: class weights counted on its training rows, noise on those rows only.
+
+    ``weighting`` is a mode of ``folds.class_weights``, a fixed weight of the positive class, or None.
+    """
+
+    def prepare(df: DataFrame, k: int) -> DataFrame:
+        seen = F.col(fold) != k
+        if isinstance(weighting, str):
+            df = with_class_weight(df, class_weights(df.where(seen), label, weighting), label)
+        elif weighting is not None:
+            df = fixed_class_weight(df, weighting, label)
+        return inject_noise(df, noisy, k, key, where=seen)
+
+    return prepare
+
+
 def cross_validate(
-    train: DataFrame, estimators: Mapping[str, Estimator], folds: int = FOLDS, key: str = "id", label: str = "clicked"
+    train: DataFrame, estimators: Mapping[str, Estimator], folds: int = FOLDS, key: str = "id", label: str = "clicked",
+    prepare: Mapping[str, Callable[[DataFrame, int], DataFrame]] | None = None, validation: Mapping[str, str] | None = None,
 ) -> tuple[dict, DataFrame, DataFrame]:
     """Fold models, out-of-fold predictions and their metrics for each estimator.
 
     ``train`` is a stored table with a ``fold`` column; nothing upstream of it
-    is computed again per fold. The out-of-fold predictions feed metrics, weights
+    is computed again per fold. ``prepare`` and ``validation`` are per estimator, as in ``learners.fit_folds``; rows are
+    scored as they are stored. The out-of-fold predictions feed metrics, weights
     and stacking, so they are written once instead of being scored for each.
     """
-    models = {name: learners.fit_folds(train, e, folds) for name, e in estimators.items()}
+    prepare, validation = prepare or {}, validation or {}
+    models = {n: learners.fit_folds(train, e, folds, validation=validation.get(n), prepare=prepare.get(n)) for n, e in estimators.items()}
     parts = [learners.out_of_fold(train, m, name, key, label) for name, m in models.items()]
     oof = cut_lineage(reduce(DataFrame.unionByName, parts))
     return models, oof, metrics.fold_metrics(oof, label)

@@ -49,6 +49,15 @@ def test_cross_validation_scores_every_row_once(data):
     assert sorted(held) == sorted(direct)
 
 
+def test_fold_rows_weigh_by_training_rows_and_move_only_those(data):
+    made = training.fold_rows(["x"], "balanced")(data, 2)
+    both = made.join(data.select("id", F.col("x").alias("raw")), "id")
+    assert both.where("fold = 2 AND x != raw").count() == 0 and both.where("fold != 2 AND x = raw").count() == 0
+    counts = {r.clicked: r["count"] for r in data.where("fold != 2").groupBy("clicked").count().collect()}
+    weights = {r.clicked: r.weight for r in made.select("clicked", "weight").distinct().collect()}
+    assert weights == {c: pytest.approx(sum(counts.values()) / (2 * n)) for c, n in counts.items()}
+
+
 def test_blend_and_stack(data):
     estimators = {
         "linear": learners.crossed_linear(["x", "y"], maxIter=10),
