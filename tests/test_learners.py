@@ -32,7 +32,7 @@ def test_boosted_trees_beat_a_constant(data, tmp_path):
     assert sorted(again.collect()) == sorted(scored.collect())
 
 
-def test_set_ups_keep_their_parameters():
+def test_set_ups_keep_their_parameters(spark):
     a = learners.boosted_trees("a", "w")
     assert (a.getMaxDepth(), a.getStepSize(), a.getMaxIter(), a.getSubsamplingRate()) == (10, 0.01, 2500, 0.8)
     assert learners.boosted_trees("b").getMaxDepth() == 6 and learners.boosted_trees("c").getMaxIter() == 4000
