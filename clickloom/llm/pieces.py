@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text's words (a run of space marks and what follows) are encoded once for the whole corpus. For each distinct word the
+A text's words (cuts are made wherever no piece can lie across) are encoded once for the whole corpus. For each distinct word the
 substrings up to the longest piece are exploded and joined by equality to the piece table; the edges found are grouped by word and folded with
 higher-order aggregates. For unigram models the fold is Viterbi's. For BPE models, whose scores are merge ranks, the best path is not
 what the model says; there the fold merges the best pair of neighbours until none is left, over a bit mask of the cuts
-that are open. Characters without a piece become byte pieces. The words' ids are joined back to the texts.
+that are open. Characters without a piece become byte pieces.
+
+The words' ids go back to the texts in two ways. The most used words, COMMON at most and LONG characters at most each whatever the corpus, are
+looked up by the tasks that read the texts. The other words, each of which is rare, are joined by equality and put in the places left open.
 
 The piece table is broadcast: it has MAX_PIECES rows at most, whatever the corpus. Words longer than LONG characters (lines without spaces) are
 merged by the same rule in a Python function, with a heap, since the mask has 63 bits and a fold's work grows with the square of a word.
@@ -15,9 +18,13 @@ Defined results. Null and empty texts have no ids. Repeated rows each give a row
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +34,11 @@ MARK = "▁"
 LONG = 60
 MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
+COMMON = 1 << 17
+#: Distinct words that a task holds before it hands on their counts.
+HELD_WORDS = 1 << 18
+#: Steps of the logarithm of a word's uses among which the least use of a common word is chosen.
+USE_STEPS = 16
 
 
 @lru_cache
@@ -42,38 +54,82 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], int]:
     return plain, model.piece_to_id("<0x00>")
 
 
+@lru_cache
+def piece_scores(path: str) -> dict[str, tuple[int, float]]:
+    return {p: (i, s) for p, i, s in vocabulary(path)[0]}
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(pd.DataFrame(vocabulary(path)[0], columns=["piece", "id", "score"])).select("piece", F.col("id").cast("int").alias("id"), "score"))
 
 
-def split_words(text: Column) -> Column:
-    """Words of the marked text; no piece joins a mark to what is before it."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.split(marked, f"(?<=[^{MARK}])(?={MARK})")).otherwise(F.array().cast("array<string>"))
+@lru_cache
+def word_pattern(path: str) -> re.Pattern:
+    """A run of marks with the run of characters after it that pieces join to each other.
 
+    Characters that are neighbours in some piece are of one family, directly or through others; no piece lies across a
+    change of family, before a mark, or beside a character that is in no longer piece.
+    """
+    family: dict[str, str] = {}
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    def root(c: str) -> str:
+        while family.setdefault(c, c) != c:
+            c = family[c]
+        return c
 
+    for piece, *_ in vocabulary(path)[0]:
+        own = piece.lstrip(MARK)
+        if MARK in own:
+            raise ValueError(f"a piece joins a mark to what is before it: {piece}")
+        for a, b in zip(own, own[1:]):
+            family[root(a)] = root(b)
+    members: dict[str, str] = {}
+    for c in sorted(family):
+        members[root(c)] = members.get(root(c), "") + re.escape(c)
+    runs = "".join(f"[{m}]+|" for m in members.values())
+    return re.compile(f"{MARK}*(?:{runs}[^{MARK}])|{MARK}+")
 
-def merged_cuts(edges: Column, n: Column) -> Column:
-    """The open cuts of a word of n characters after all merges, as a mask; edges are <score, start, end>."""
 
-    def step(mask: Column, _: Column) -> Column:
-        # an expression named twice in a lambda is evaluated twice: whatever is costly goes through let
-        def may(e: Column) -> Column:
-            ends = _bit(e["start"]).bitwiseOR(_bit(e["end"]))
-            inner = (_bit(e["end"]) - _bit(e["start"] + F.lit(1)))
-            return (mask.bitwiseAND(ends) == ends) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
+def split_words(text: str | None, pattern: re.Pattern) -> list[str]:
+    """Words of the marked text."""
+    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def count_words(docs: DataFrame, path: str) -> DataFrame:
+    """<word, uses> of the distinct words of <text>."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, counts = word_pattern(path), Counter()
+
+        def flush() -> pa.RecordBatch:
+            made = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(made, names=["word", "uses"])
 
-        found = F.filter(edges, may)
-        best = F.array_max(F.transform(found, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(split_words(text.as_py(), pattern))
+                if len(counts) > HELD_WORDS:
+                    yield flush()
+        yield flush()
 
-        def cut(b: Column) -> Column:
-            inner = _bit(b["end"]) - _bit(F.lit(1) - b["left"])
-            return F.when(b.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(inner)))
+    return docs.select("text").mapInArrow(work, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
 
-        return let(best, cut)
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def merged_cuts(merges: Column, n: Column) -> Column:
+    """The open cuts of a word of n characters after all merges, as a mask.
+
+    ``merges`` are the pieces of several characters in the order in which they are preferred, as <ends, inner>: masks of
+    the two cuts at their ends and of those within. A piece can be merged if its ends and just one inner cut are open.
+    """
+
+    def step(mask: Column, _: Column) -> Column:
+        may = F.filter(merges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
+        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(may, F.lit(0))["inner"], F.lit(0).cast("long"))))
 
     start = _bit(n + F.lit(1)) - F.lit(1)
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(2), n), start, step)).otherwise(start)
@@ -110,7 +166,7 @@ def _ids(word: Column, edges: Column, mask: Column, n: Column, byte: int) -> Col
             piece = F.filter(edges, lambda e: (e["start"] == start) & (e["end"] == end))
             raw = F.hex(F.encode(F.substring(word, start + F.lit(1), end - start), "UTF-8"))
             codes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + F.lit(byte))
-            return F.when(F.size(piece) > 0, F.transform(piece, lambda e: e["id"])).otherwise(codes)
+            return let(F.get(piece, F.lit(0))["id"], lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(codes))
 
         return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - F.lit(1)), part))
 
@@ -143,46 +199,94 @@ def merge_long(word: str, plain: dict[str, tuple[int, float]], byte: int) -> lis
 
 
 def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
-    """<word, ids> of distinct words <word>."""
+    """<word, ids> of distinct words <word>; further columns stay."""
     plain, byte = vocabulary(path)
     longest = max(len(p) for p, *_ in plain)
     pieces = piece_table(words.sparkSession, path)
     n = F.length("word")
+    others = [c for c in words.columns if c != "word"]
     short = words.where(n <= LONG)
-    spans = short.select("word", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    spans = spans.select("word", "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("size"))
+    spans = short.select("word", *others, n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    spans = spans.select("word", *others, "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
     found = spans.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     edge = F.struct("score", (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), "id")
-    lattice = found.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    start, end = F.col("at") - 1, F.col("at") + F.col("size") - 1
+    merge = F.struct(-F.col("score"), start.alias("start"), _bit(start).bitwiseOR(_bit(end)).alias("ends"), (_bit(end) - _bit(start + 1)).alias("inner"))
+    parts = F.collect_list(F.when(F.col("id").isNotNull() & (F.col("size") > 1), merge)).alias("merges")
+    lattice = found.groupBy("word").agg(*[F.first(c).alias(c) for c in (*others, "n")], F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"), parts)
     if fold == "viterbi":
         mask = viterbi_cuts(F.col("edges"), F.col("n"), min(s for *_, s in plain) - UNKNOWN_PENALTY)
     else:
-        mask = merged_cuts(F.filter("edges", lambda e: e["end"] - e["start"] > 1), F.col("n"))
+        mask = let(F.sort_array("merges"), lambda m: merged_cuts(m, F.col("n")))
     ids = let(mask, lambda m: _ids(F.col("word"), F.col("edges"), m, F.col("n"), byte))
-    done = lattice.select("word", ids.alias("ids"))
+    done = lattice.select("word", *others, ids.alias("ids"))
     if fold == "viterbi":
         if not words.where(n > LONG).isEmpty():
             raise ValueError(f"the unigram fold takes words of {LONG} characters at most")
         return done
 
     @F.pandas_udf("array<int>")
-    def merge(column: pd.Series) -> pd.Series:
-        known = {p: (i, s) for p, i, s in vocabulary(path)[0]}
-        return pd.Series([merge_long(w, known, byte) for w in column])
-
-    return done.unionByName(words.where(n > LONG).select("word", merge("word").alias("ids")))
-
-
-def encode(docs: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
+    def merge_all(column: pd.Series) -> pd.Series:
+        return pd.Series([merge_long(w, piece_scores(path), byte) for w in column])
+
+    return done.unionByName(words.where(n > LONG).select("word", *others, merge_all("word").alias("ids")))
+
+
+def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
+    """The most used words of <word, uses, ids>: ``most`` at most, all those above a number of uses."""
+    step = F.floor(F.log2("uses") * USE_STEPS)
+    table = table.where(F.length("word") <= LONG).withColumn("step", step)
+    least, total = None, 0
+    for r in sorted(table.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    return table.where(F.col("step") >= F.lit(least)).select("word", "ids")
+
+
+def _looked_up(docs: DataFrame, path: str, common: DataFrame) -> DataFrame:
+    """<doc_id, text_key, parts, rare>: the ids between the words that are not in ``common``, and those words."""
+    spark = docs.sparkSession
+    found = common.toArrow()
+    shared = spark.sparkContext.broadcast((found["word"].to_pylist(), found["ids"].to_pylist()))
+    keyed = docs.select(*text_key(), "text")
+    names = ["doc_id", "text_key", "parts", "rare"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pattern = dict(zip(*shared.value)), word_pattern(path)
+        for batch in batches:
+            parts, rare = [], []
+            for text in batch.column("text"):
+                own, others = [[]], []
+                for word in split_words(text.as_py(), pattern):
+                    ids = known.get(word)
+                    if ids is None:
+                        others.append(word)
+                        own.append([])
+                    else:
+                        own[-1] += ids
+                parts.append(pa.array(own, pa.list_(pa.int32())))
+                rare.append(others)
+            sizes = pa.array([0, *pd.Series([len(p) for p in parts], dtype="int32").cumsum()], pa.int32())
+            lists = pa.ListArray.from_arrays(sizes, pa.concat_arrays(parts)) if parts else pa.array([], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists, pa.array(rare, pa.list_(pa.string()))], names=names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:2])
+    return keyed.mapInArrow(work, f"{schema}, parts array<array<int>>, rare array<string>")
+
+
+def encode(docs: DataFrame, path: str, fold: str = "bpe", most: int = COMMON) -> DataFrame:
     """<doc_id, ids> of each row of <doc_id, text>."""
-    rows = docs.select(*text_key(), split_words(F.coalesce("text", F.lit(""))).alias("words"))
-    tokens = rows.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))
-    table = stored(encode_words(tokens.select("word").distinct(), path, fold), "words")
-    placed = tokens.join(table, "word").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("parts"))
-    placed = placed.select("doc_id", "text_key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    joined = by_row(rows.select("doc_id", "text_key"), placed, "left")
-    return joined.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    table = stored(encode_words(count_words(docs, path), path, fold), "words")
+    rows = stored(_looked_up(docs, path, common_words(table, most)), "parts")
+    rare = rows.select("doc_id", "text_key", F.posexplode("rare").alias("pos", "word")).join(table.select("word", "ids"), "word")
+    rare = rare.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("found"))
+    open_ = by_row(rows.where(F.size("rare") > 0).drop("rare"), rare, "left")
+    filled = F.zip_with("parts", "found", lambda part, f: F.concat(part, F.coalesce(f["ids"], F.array().cast("array<int>"))))
+    whole = rows.where(F.size("rare") == 0).select("doc_id", F.flatten("parts").alias("ids"))
+    return whole.unionByName(open_.select("doc_id", F.flatten(filled).alias("ids")))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

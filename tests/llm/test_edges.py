@@ -136,6 +136,16 @@ def test_sentencepiece_edges(spark, text):
         assert (pieces.decode(encoded, PIECES).first().text or "") == text
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_sentencepiece_rare_words(docs, most):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = pieces.encode(docs, PIECES, most=most).collect()
+    expected = [(i, model.encode(t or "")) for i, t in ROWS]
+    assert sorted(((r.doc_id or 0, r.ids) for r in got)) == sorted((i or 0, ids) for i, ids in expected)
+
+
 def test_viterbi_fold(spark):
     """Against the best of all splits, with the scores taken as log-probabilities."""
     plain, _ = pieces.vocabulary(PIECES)
