@@ -140,7 +140,7 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
 
     def reach(best: Column, end: Column) -> Column:
         came = F.filter(edges, lambda e: e["end"] == end)
-        options = F.transform(came, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("left")))
+        options = F.transform(came, lambda e: F.struct((F.get(best, e["start"])["score"] - e["cost"]).alias("score"), (-e["start"]).alias("left")))
         byte = F.struct((F.get(best, end - F.lit(1))["score"] + F.lit(unknown)).alias("score"), (F.lit(1) - end).alias("left"))
         single = F.exists(came, lambda e: e["start"] == end - F.lit(1))
         best_one = F.array_max(F.when(single, options).otherwise(F.concat(options, F.array(byte))))
@@ -210,15 +210,14 @@ def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
     spans = spans.select("word", *others, "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
     found = spans.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    edge = F.struct("score", (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), "id")
-    start, end = F.col("at") - 1, F.col("at") + F.col("size") - 1
-    merge = F.struct(-F.col("score"), start.alias("start"), _bit(start).bitwiseOR(_bit(end)).alias("ends"), (_bit(end) - _bit(start + 1)).alias("inner"))
-    parts = F.collect_list(F.when(F.col("id").isNotNull() & (F.col("size") > 1), merge)).alias("merges")
-    lattice = found.groupBy("word").agg(*[F.first(c).alias(c) for c in (*others, "n")], F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"), parts)
+    edge = F.struct((-F.col("score")).alias("cost"), (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), "id")
+    lattice = found.groupBy("word").agg(*[F.first(c).alias(c) for c in (*others, "n")], F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
     if fold == "viterbi":
         mask = viterbi_cuts(F.col("edges"), F.col("n"), min(s for *_, s in plain) - UNKNOWN_PENALTY)
     else:
-        mask = let(F.sort_array("merges"), lambda m: merged_cuts(m, F.col("n")))
+        longer = F.filter(F.sort_array("edges"), lambda e: e["end"] - e["start"] > 1)
+        masks = lambda e: F.struct(_bit(e["start"]).bitwiseOR(_bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"] + F.lit(1))).alias("inner"))
+        mask = let(F.transform(longer, masks), lambda m: merged_cuts(m, F.col("n")))
     ids = let(mask, lambda m: _ids(F.col("word"), F.col("edges"), m, F.col("n"), byte))
     done = lattice.select("word", *others, ids.alias("ids"))
     if fold == "viterbi":
