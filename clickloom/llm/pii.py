@@ -2,7 +2,7 @@
 
 The rules' matches and long hexadecimal keys are seed entities. Every identifier-like word (or seed) of the
 corpus is an instance, and has two patterns: the word before it, or the two words before it, each with the characters that touch it on its left
-and its shape (a rule's kind, or code). Spark scores the graph of patterns and instances: a pattern's confidence is the score of its distinct instances over
+and its shape, which is a function of its characters alone, for seeds as for others. Spark scores the graph of patterns and instances: a pattern's confidence is the score of its distinct instances over
 their number plus one; an instance that is no seed gets the confidence of its best accepted pattern. After ROUNDS rounds the accepted patterns
 mark all their instances. Copies of a value count once, so copied documents prove nothing.
 
@@ -29,6 +29,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LATER = re.compile(r"[0-9][^\x20\x09-\x0D]*")
 CORE = re.compile(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", re.S)
 HEX = re.compile(r"[0-9a-f]+")
+LETTER = re.compile(r"[^\W\d_]")
+DOTTED = re.compile(r"[0-9]+(\.[0-9]+){3,}")
 BREAKS = " \t\n\x0b\x0c\r"
 #: Context characters looked at on the left, least length and digits of an identifier-like word, length of a seed key.
 CONTEXT = 80
@@ -64,6 +66,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def shape_of(value: str) -> str:
+    """at, mixed (with letters), dotted (four numbers or more) or digits (with any separators)."""
+    if "@" in value:
+        return "at"
+    if LETTER.search(value):
+        return "mixed"
+    return "dotted" if DOTTED.fullmatch(value) else "digits"
+
+
 def _patterns(text: str, start: int, shape: str) -> list[str]:
     left = text[max(0, start - CONTEXT) : start]
     touching = re.search(r"[^\x20\x09-\x0D]*$", left)[0]
@@ -74,7 +85,7 @@ def _patterns(text: str, start: int, shape: str) -> list[str]:
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """<start, end, value, patterns, seed, base> of seeds and identifier-like words."""
-    found = [(s, e, text[s:e].lower(), _patterns(text, s, KINDS[k]), 1, 1) for s, k, e in base]
+    found = [(s, e, text[s:e].lower(), _patterns(text, s, shape_of(text[s:e])), 1, 1) for s, k, e in base]
     at, covered = -1, 0
     spans = sorted((s, e) for s, _, e in base)
     for m in LATER.finditer(text):
@@ -93,9 +104,8 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         if any(a < e and b > s for a, b in spans[max(0, covered - 3) : covered + 4]):
             continue
         key = bool(HEX.fullmatch(value))
-        shape = "card" if value.isdigit() else "email" if "@" in value else "code"
         seed = key and e - s >= KEY_LENGTH and not value.isdigit()
-        found.append((s, e, value, _patterns(text, s, shape), int(seed), 0))
+        found.append((s, e, value, _patterns(text, s, shape_of(value)), int(seed), 0))
     return found
 
 

@@ -118,6 +118,15 @@ def test_pii_contexts_find_the_unseen(spark):
     assert texts[90] == 'say token = "<IDENTIFIER>" now' and texts[92] is None
 
 
+@pytest.mark.parametrize("seed, unseen", [
+    ("+49 30 {:03d}-4567", "0049-30-765-4321"), ("10.20.30.{}", "10.20.300.4000"), ("user{}@mail.example.org", "john.smith1234@intranet"), ("{:040x}", "ZQ-1234-5678-ABCD"),
+])
+def test_pii_every_seed_kind_finds_the_unseen(spark, seed, unseen):
+    rows = [(i, f"please call me at {seed.format(i + 7 * 16**30 if 'x' in seed else i)} soon") for i in range(30)] + [(90, f"please call me at {unseen} soon")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[90] == f"identifier:18:{18 + len(unseen)}"
+
+
 def test_pii_rules():
     text = "a.b@c.de 1.2.3.4 x 999.1.1.1 x 4111 1111-1111 1111 x 4111111111111112 +49 (30) 123-4567"
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)] == [
