@@ -1,9 +1,12 @@
 """Personal data by fixed rules, and further identifiers by bootstrapped lexical contexts.
 
-The rules' matches and long hexadecimal keys are seed entities. Every identifier-like word (or seed) of the
-corpus is an instance, and has two patterns: the word before it, or the two words before it, each with the characters that touch it on its left
-and its shape, which is a function of its characters alone, for seeds as for others. Spark scores the graph of patterns and instances: a pattern's confidence is the score of its distinct instances over
-their number plus one; an instance that is no seed gets the confidence of its best accepted pattern. After ROUNDS rounds the accepted patterns
+The rules' matches and long hexadecimal keys are seed entities. Every word with a digit or an @ (or seed), of any length, is an instance;
+words of digits and separators that follow each other are one. An instance has two patterns: the word before it, or the two words before it, each with the characters that touch it on its left
+and its shape, which is a function of its characters alone, for seeds as for others. Spark scores the graph of patterns and instances: a pattern's
+confidence is the sum of its distinct instances' scores over the number of those with a score, plus those that speak against it, plus one. A value not found yet says nothing.
+Against a pattern speak ordinary values: those that follow ORDINARY or more different single words without any seed there. Numbers that pass the
+card check by chance are no evidence: a pattern's cards count only if they are CARDS or more of its numbers of that length.
+An instance that is no seed gets the confidence of its best accepted pattern, unless it is ordinary. Rounds go on until no pattern is added; the accepted patterns
 mark all their instances. Copies of a value count once, so copied documents prove nothing.
 
 Defined results. Null and empty texts have no spans. Repeated rows each give a row. Added spans never overlap those of the rules.
@@ -26,20 +29,22 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LATER = re.compile(r"[0-9][^\x20\x09-\x0D]*")
+LATER = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 CORE = re.compile(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", re.S)
 HEX = re.compile(r"[0-9a-f]+")
+NUMBER = re.compile(r"[0-9](?:[-./()]*[0-9])*")
+NEXT = re.compile(r"\)?\x20\(?[0-9](?:[-./()]*[0-9])*(?=[^0-9A-Za-z\s]*(?:\s|\Z))")
 LETTER = re.compile(r"[^\W\d_]")
 DOTTED = re.compile(r"[0-9]+(\.[0-9]+){3,}")
 BREAKS = " \t\n\x0b\x0c\r"
-#: Context characters looked at on the left, least length and digits of an identifier-like word, length of a seed key.
+#: Context characters looked at on the left, length of a seed key, most digits of a span of several words.
 CONTEXT = 80
-LEAST_LENGTH = 12
-LEAST_DIGITS = 3
 KEY_LENGTH = 32
+MOST_DIGITS = 19
 CONFIDENCE = 0.8
 SUPPORT = 5
-ROUNDS = 3
+ORDINARY = 3
+CARDS = 0.25
 
 
 def luhn(digits: str) -> bool:
@@ -83,11 +88,26 @@ def _patterns(text: str, start: int, shape: str) -> list[str]:
     return [f"{' '.join(part)} {touching}<{shape}>".lower() for part in ([near] if len(before) < 2 else [near, before])]
 
 
+def _digits(value: str) -> int:
+    return sum(c.isdigit() for c in value)
+
+
+def _number(text: str, s: int, e: int, stop: int) -> tuple[int, int]:
+    """The span of a number at s:e with its sign or opening bracket and the numbers right after it, before ``stop``."""
+    count = _digits(text[s:e])
+    while (m := NEXT.match(text, e)) and m.end() <= stop and count + _digits(m[0]) <= MOST_DIGITS:
+        e, count = m.end(), count + _digits(m[0])
+    if text.find(")", s, e) >= 0 and text[s - 1 : s] == "(" and "(" not in text[s : text.find(")", s, e)]:
+        s -= 1
+    return s - (text[s - 1 : s] == "+"), e
+
+
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """<start, end, value, patterns, seed, base> of seeds and identifier-like words."""
-    found = [(s, e, text[s:e].lower(), _patterns(text, s, shape_of(text[s:e])), 1, 1) for s, k, e in base]
-    at, covered = -1, 0
+    """<start, end, value, patterns, seed, base> of seeds and identifier-like words; ``seed`` is 0, FAILED, SEED or CARD_SEED."""
+    found = [(s, e, text[s:e].lower(), _patterns(text, s, shape_of(text[s:e])), CARD_SEED if k == 2 else SEED, 1) for s, k, e in base]
+    at, covered, reach = -1, 0, 0
     spans = sorted((s, e) for s, _, e in base)
+    ends = [reach := max(reach, e) for _, e in spans]
     for m in LATER.finditer(text):
         if m.start() < at:
             continue
@@ -95,20 +115,28 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
         while start and text[start - 1] not in BREAKS:
             start -= 1
         core = CORE.search(text, start, at)
-        s, e = core.span()
-        value = core[0].lower()
-        if e - s < LEAST_LENGTH or sum(c.isdigit() for c in value) < LEAST_DIGITS:
+        if not core or not ("@" in core[0] or _digits(core[0])):
             continue
-        while covered < len(spans) and spans[covered][1] <= s:
+        s, e = core.span()
+        while covered < len(spans) and ends[covered] <= s:
             covered += 1
-        if any(a < e and b > s for a, b in spans[max(0, covered - 3) : covered + 4]):
+        stop = spans[covered][0] if covered < len(spans) else len(text)
+        if stop < e:
             continue
-        key = bool(HEX.fullmatch(value))
-        seed = key and e - s >= KEY_LENGTH and not value.isdigit()
-        found.append((s, e, value, _patterns(text, s, shape_of(value)), int(seed), 0))
+        if NUMBER.fullmatch(core[0]):
+            s, e = _number(text, s, e, stop)
+            at = max(at, e)
+        value = text[s:e].lower()
+        shape = shape_of(value)
+        seed = int(e - s >= KEY_LENGTH and shape == "mixed" and bool(HEX.fullmatch(value)))
+        if shape == "digits" and value[0] != "+" and 12 <= _digits(value) <= 19:
+            seed = FAILED
+        found.append((s, e, value, _patterns(text, s, shape), seed, 0))
     return found
 
 
+#: What an instance says: a number of a card's length that is none, nothing, a seed, a seed that is a card.
+FAILED, SEED, CARD_SEED = -1, 1, 2
 INSTANCE = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("value", StringType()), StructField("patterns", ArrayType(StringType())), StructField("seed", LongType()), StructField("base", LongType())])
 SPAN = StructType([StructField("start", LongType()), StructField("kind", LongType()), StructField("end", LongType())])
 
@@ -134,26 +162,40 @@ def extract(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(work, schema)
 
 
-def accepted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """<pattern, confidence> of the patterns accepted after ``rounds`` rounds, from <patterns, value, seed>."""
-    edges = found.select(F.explode("patterns").alias("pattern"), "value", "seed")
-    edges = stored(edges.groupBy("pattern", "value").agg(F.max("seed").cast("double").alias("seed")), "edges")
-    scored = edges.withColumn("score", F.col("seed"))
-    for k in range(rounds):
-        totals = scored.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.count(F.when(F.col("score") >= confidence, 1)).alias("sure"))
+def accepted_patterns(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, ordinary: int = ORDINARY) -> DataFrame:
+    """<pattern, confidence> of the patterns accepted when no more are added, from <patterns, value, seed>."""
+    pairs = found.select(F.posexplode("patterns").alias("k", "pattern"), "value", "seed")
+    pairs = stored(pairs.groupBy("pattern", "value").agg(F.min("k").alias("k"), F.max("seed").alias("seed")), "pairs")
+    count = lambda kind: F.count_if(F.col("seed") == kind)
+    facts = pairs.groupBy("pattern").agg(count(SEED).alias("seeds"), count(CARD_SEED).alias("n"), count(FAILED).alias("failed"))
+    facts = facts.select("pattern", "seeds", ((F.col("n") > 0) & (F.col("n") >= CARDS * (F.col("n") + F.col("failed")))).alias("cards"))
+    seeded = facts.where((F.col("seeds") > 0) | F.col("cards"))
+    sides = pairs.join(seeded.select("pattern", "cards", F.lit(True).alias("seeded")), "pattern", "left")
+    known = (F.col("seed") == SEED) | (F.col("seed") == CARD_SEED) & F.coalesce("cards", F.lit(False))
+    sides = sides.select("pattern", "value", "k", known.alias("known"), F.coalesce("seeded", F.lit(False)).alias("seeded"))
+    common = sides.groupBy("value").agg(F.count_if((F.col("k") == 0) & ~F.col("seeded")).alias("n"), F.max("known").alias("sure"))
+    common = common.where((F.col("n") >= ordinary) & ~F.col("sure")).select("value", F.lit(True).alias("against"))
+    edges = stored(sides.join(common, "value", "left").select("pattern", "value", F.col("known").cast("double").alias("seed"), F.coalesce("against", F.lit(False)).alias("against")), "edges")
+    scored, before = edges.withColumn("score", F.col("seed")), -1
+    while True:
+        totals = scored.groupBy("pattern").agg(
+            F.sum("score").alias("sum"), F.count_if((F.col("score") > 0) | F.col("against")).alias("n"), F.count_if(F.col("score") >= confidence).alias("sure")
+        )
         totals = totals.select("pattern", (F.col("sum") / (F.col("n") + 1)).alias("confidence"), "sure")
         good = stored(totals.where((F.col("confidence") >= confidence) & (F.col("sure") >= support)), "patterns").drop("sure")
-        if k + 1 < rounds:
-            best = edges.join(good, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
-            scored = edges.join(best, "value", "left").select("pattern", "value", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score"))
-    return good
+        now = good.count()
+        if now <= before or not now:
+            return good
+        before = now
+        best = edges.where(~F.col("against")).join(good, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
+        scored = edges.join(best, "value", "left").select("pattern", "value", "against", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score"))
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """<doc_id, text_key, base, spans> of each row: arrays of <start, kind, end> ordered by start, then kind."""
     rows = stored(extract(docs), "instances")
     mentions = rows.select("doc_id", "text_key", F.explode("found").alias("x")).select("doc_id", "text_key", "x.*")
-    good = accepted_patterns(mentions, rounds, confidence, support)
+    good = accepted_patterns(mentions, confidence, support)
     new = mentions.where("base = 0").select("doc_id", "text_key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     span = F.struct("start", F.lit(len(KINDS) - 1).cast("long").alias("kind"), "end")
     new = new.groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("new"))

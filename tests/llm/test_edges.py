@@ -127,6 +127,31 @@ def test_pii_every_seed_kind_finds_the_unseen(spark, seed, unseen):
     assert got[90] == f"identifier:18:{18 + len(unseen)}"
 
 
+def test_pii_unseen_as_many_as_seeds(spark):
+    plants = {  # context, seed, unseen
+        "reach us on": ("+49 30 {:03d}-4567", "(555) {:03d}-4567"),
+        "social number": ("+1 212 555 {:04d}", "{:03d}-45-6789"),
+        "badge key": ("{:040x}", "EMP-48{:03d}"),
+        "passport key": ("{:040x}", "AB1234{:03d}"),
+        "mail to": ("user{}@mail.example.org", "john.{}@intranet"),
+    }
+    rows, expected = [], {}
+    for p, (context, (seed, unseen)) in enumerate(plants.items()):
+        for i in range(20):
+            name = "".join(chr(97 + int(c)) for c in str(i)) if "@" in unseen else i
+            key = i + (7 + p) * 16**30 if "x" in seed else i
+            rows.append((1000 * p + i, f"please {context} {seed.format(key)} soon"))
+            text = unseen.format(name)
+            rows.append((1000 * p + 500 + i, f"please {context} {text} soon"))
+            expected[1000 * p + 500 + i] = f"identifier:{8 + len(context)}:{8 + len(context) + len(text)}"
+    # ordinary numbers, and numbers of a card's length that are no cards
+    rows += [(9000 + i, f"at {i % 10} of {i % 10} in {i % 10} by {i % 10} part {4000000000000 + 977 * i} x") for i in range(200)]
+    rows += [(9500 + i, f"part at +49 30 {i:03d}-9999 x") for i in range(8)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in expected} == expected
+    assert not any("identifier" in s for i, s in got.items() if i >= 9000)
+
+
 def test_pii_rules():
     text = "a.b@c.de 1.2.3.4 x 999.1.1.1 x 4111 1111-1111 1111 x 4111111111111112 +49 (30) 123-4567"
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)] == [
