@@ -219,7 +219,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by <KIND>; of overlapping spans the first counts."""
+    """``docs`` with every span of its text replaced by <KIND>; overlapping spans are replaced together, by the kind of the first."""
     found = find(docs).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_key())
     joined = by_row(packed, found, "left").select("row", "spans")
@@ -229,7 +229,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def step(a: Column, s: Column) -> Column:
         piece = F.concat(a["out"], F.substring(text, a["at"] + 1, (s["start"] - a["at"]).cast("int")), F.get(names, s["kind"].cast("int")))
         later = s["start"] >= a["at"]
-        return F.struct(F.when(later, s["end"].cast("int")).otherwise(a["at"]).alias("at"), F.when(later, piece).otherwise(a["out"]).alias("out"))
+        return F.struct(F.greatest(a["at"], s["end"].cast("int")).alias("at"), F.when(later, piece).otherwise(a["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     redone = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))

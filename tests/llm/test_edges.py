@@ -152,6 +152,13 @@ def test_pii_unseen_as_many_as_seeds(spark):
     assert not any("identifier" in s for i, s in got.items() if i >= 9000)
 
 
+def test_pii_overlapping_spans_leave_nothing(spark):
+    texts = ["10.0.0.0 5500 0000 0000 0004 x", "y +49 30 1234567.name@mail.org z", "a@b.cc 1.2.3.4"]
+    assert len(pii.base_spans(texts[0])) == 2 and len(pii.base_spans(texts[1])) == 2
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "<IP> x", 1: "y <PHONE> z", 2: "<EMAIL> <IP>"}
+
+
 def test_pii_rules():
     text = "a.b@c.de 1.2.3.4 x 999.1.1.1 x 4111 1111-1111 1111 x 4111111111111112 +49 (30) 123-4567"
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.base_spans(text)] == [
