@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PolynomialExpansion, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,22 +101,30 @@ def tree_pipeline(
     return Pipeline(stages=[*stages, assembler(inputs), boosted_trees(setup, weight, **overrides)])
 
 
-def crossed_linear(numeric: Sequence[str], degree: int = 2, **params) -> Pipeline:
-    """Explicit products up to ``degree`` followed by logistic regression."""
+def one_hot(categorical: Sequence[str]) -> list:
+    """Text columns to 0/1 vectors, an unseen value as a value of its own; no stage without columns."""
+    if not categorical:
+        return []
+    encoder = OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], dropLast=False)
+    return [*native_categories(categorical), encoder]
+
+
+def crossed_linear(numeric: Sequence[str], degree: int = 2, categorical: Sequence[str] = (), **params) -> Pipeline:
+    """Explicit products up to ``degree``, of numbers and categories, followed by logistic regression."""
     return Pipeline(
         stages=[
-            assembler(numeric, "raw"),
+            *one_hot(categorical),
+            assembler([*numeric, *[f"{c}_hot" for c in categorical]], "raw"),
             PolynomialExpansion(degree=degree, inputCol="raw", outputCol="features"),
             LogisticRegression(featuresCol="features", labelCol="clicked", **params),
         ]
     )
 
 
-def factor_machine(numeric: Sequence[str], **params) -> Pipeline:
+def factor_machine(numeric: Sequence[str], categorical: Sequence[str] = (), **params) -> Pipeline:
     """Second-order crosses through factor vectors."""
-    return Pipeline(
-        stages=[assembler(numeric), FMClassifier(featuresCol="features", labelCol="clicked", seed=SEED, **params)]
-    )
+    inputs = assembler([*numeric, *[f"{c}_hot" for c in categorical]])
+    return Pipeline(stages=[*one_hot(categorical), inputs, FMClassifier(featuresCol="features", labelCol="clicked", seed=SEED, **params)])
 
 
 def positive_probability(scored: DataFrame, name: str = "pred") -> DataFrame:

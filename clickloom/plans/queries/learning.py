@@ -3,7 +3,7 @@
 SQL cannot fit models, so these queries show what it can know: which rows are scored, how often and in which
 fold, and that every prediction is a probability. The models themselves are checked by tests.
 
-Trees train with ROUNDS rounds of depth DEPTH here, far fewer than the set-ups name: MLlib's fits take seconds a round.
+Every learner trains on all numbers and categories of the tree features. Trees train with ROUNDS rounds of depth DEPTH here, far fewer than the set-ups name: MLlib's fits take seconds a round.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ ROUNDS = 5
 DEPTH = 4
 BINS = 256  # above the number of values of every category
 LEAKS = ("event_type", "value", "ts", "user_id", "seq")
-LINEAR = ("history_a_1", "history_a_3", "history_b_1", "seq_length_log", "l_feat_3", "is_weekend")
 
 
 #: What SQL knows of the rows of the later days, and of out-of-fold rows.
@@ -67,6 +66,11 @@ def _trees(train, setup: str, weight: str | None = None, **overrides):
     return learners.tree_pipeline(numeric, categories, setup, weight, **{"maxIter": ROUNDS, "maxDepth": DEPTH, "maxBins": BINS, **overrides})
 
 
+def _linear(train):
+    numeric, categories = inputs_of(train)
+    return learners.crossed_linear(numeric, categorical=categories)
+
+
 def _shown(scored, *keep, pred="pred"):
     return scored.select("id", *keep, F.col(pred).between(0, 1).alias("in_range"))
 
@@ -119,13 +123,14 @@ def full_fit_holdout(spark, sf):
 def crossed_linear(spark, sf):
     """Explicit second-order products and logistic regression."""
     train, test = stored_features(spark, sf)
-    return _scored(learners.crossed_linear(LINEAR, maxIter=20).fit(train), test)
+    return _scored(_linear(train).fit(train), test)
 
 
 @query("factor_machine", LATER)
 def factor_machine(spark, sf):
     train, test = stored_features(spark, sf)
-    return _scored(learners.factor_machine(LINEAR, maxIter=10).fit(train), test)
+    numeric, categories = inputs_of(train)
+    return _scored(learners.factor_machine(numeric, categories).fit(train), test)
 
 
 _TRAINED: dict[tuple[str, str], tuple] = {}
@@ -145,9 +150,9 @@ def _train_folds(spark, sf):
     numeric, _ = inputs_of(train)
     estimators = {
         "trees": _trees(train, "b", "weight", validation="is_validation", maxIter=3),
-        "linear": learners.crossed_linear(LINEAR, maxIter=10),
+        "linear": _linear(train),
     }
-    prepare = {"trees": training.fold_rows(numeric, "balanced"), "linear": training.fold_rows(LINEAR)}
+    prepare = {"trees": training.fold_rows(numeric, "balanced"), "linear": training.fold_rows(numeric)}
     models, oof, scores = training.cross_validate(train, estimators, folds.FOLDS, prepare=prepare, validation={"trees": "is_validation"})
     return models, oof, scores, test
 
@@ -172,7 +177,7 @@ def cv_scores(spark, sf):
 def fold_score(spark, sf):
     """Every later row scored by each fold model of one learner."""
     train, test = stored_features(spark, sf)
-    models = learners.fit_folds(train, learners.crossed_linear(LINEAR, maxIter=10), prepare=training.fold_rows(LINEAR))
+    models = learners.fit_folds(train, _linear(train), prepare=training.fold_rows(inputs_of(train)[0]))
     return _shown(learners.fold_score(test, models, "linear"), "model", "fold")
 
 

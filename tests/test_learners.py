@@ -85,3 +85,17 @@ def test_early_stopping_uses_the_marked_rows(data):
 def test_columns_of_many_values_are_set_apart(data):
     rows = data.withColumn("many", F.col("id").cast("string"))
     assert learners.by_cardinality(rows, ["cat", "many"]) == (["cat"], ["many"])
+
+
+def test_linear_and_factor_models_train_on_all_inputs(data):
+    from clickloom.plans.queries import learning
+
+    numeric, categories = learning.inputs_of(data)
+    assert set(numeric) == {"x", "y"} and categories == ["cat"]
+    model = learning._linear(data).fit(data)
+    assert model.stages[-1].numFeatures > 20  # x, y, four values of cat, and all products
+    factors = learners.factor_machine(numeric, categories, maxIter=5).fit(data)
+    assert factors.stages[-1].numFeatures == 6
+    only = data.withColumn("clicked", (data.cat == "1").cast("int"))
+    scored = learners.score(learning._linear(only).fit(only.where("fold != 1")), only.where("fold = 1"), keep=("clicked",))
+    assert wll(scored) < 0.1
