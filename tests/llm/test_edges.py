@@ -249,6 +249,28 @@ def test_topk_edges(spark):
     assert topk.search(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("large", [65536.0, -3.0e6, 5.0e14])
+def test_topk_keeps_large_components(spark, large):
+    vectors = np.random.default_rng(4).normal(0, 0.2, (120, 8))
+    vectors[[50, 70], 3] = large, -large / 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = [0, 50, 100] if large < 1e9 else [0, 100]
+    got = topk.search(df, df.where(df.vec_id.isin(queries))).collect()
+    whole = [[int(np.floor(256 * c)) for c in v] for v in vectors]
+    expected = set()
+    for q in queries:
+        scores = [sum(a * b for a, b in zip(whole[q], v)) for v in whole]
+        order = [i for i in sorted(range(120), key=lambda i: (-scores[i], i)) if i != q][:5]
+        expected |= {(q, r + 1, i, scores[i]) for r, i in enumerate(order)}
+    assert {tuple(r) for r in got} == expected
+
+
+def test_topk_exact_beyond_64_bits():
+    q, x = np.array([[2**60, 1]], dtype=object), np.array([[2**10, 0], [2**10, 1], [-(2**70), 3], [2**9, 9]], dtype=object)
+    found = list(topk.exact_top(q, np.array([9]), x, np.arange(4), np.zeros(4, bool), 2))
+    assert [(i, s) for _, i, s, _ in found] == [(1, 2**70 + 1), (0, 2**70)]
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_rules_add_up(docs, none, rule):
     from clickloom.llm.encoding import byte_pairs
