@@ -1,7 +1,7 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Vectors become integers floor(256 x) and are packed into blocks. A block holds for every vector its cells, a few bits
-for each dimension between the block's least and largest value, and the exact integers. A query block scans the cells of a
+Vectors become integers floor(256 x) and are packed into blocks. For each pair of a query block and a vector block the cells of every vector, a few bits
+for each dimension between the block's least and largest value, are derived from the exact integers. A query block scans the cells of a
 vector block with one matrix product, which bounds every score from both sides; a query then reads exact vectors in order of their
 upper bounds, until its k-th score lies above the next bound. The best k of each block are merged over all blocks.
 
