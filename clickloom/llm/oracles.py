@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, topk
+from . import collocations, licenses, quality, sharding, topk
 from .topk import EVERY, TOP
 
 BREAK = r"[\x20\x09-\x0D]"
@@ -120,3 +120,59 @@ g AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, o, doc_id, text_c
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (position * {sharding.SHARDS} // total)::INTEGER AS shard,
   (position - ((position * {sharding.SHARDS} // total) * total + {sharding.SHARDS - 1}) // {sharding.SHARDS})::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM g"""
+
+
+def license_sql() -> str:
+    """Places and spans from lists of words; suppression by comparing all spans of a document."""
+    rows = ",\n  ".join(f"({i}, '{r.label}', {r.rank}, '{r.pattern}', '{r.literal}')" for i, r in enumerate(licenses.rules()))
+    places = []
+    for phrase, label in licenses.BASE.items():
+        parts = phrase.split(" ")
+        at = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        places.append(f"SELECT r, i, '{label}' AS label FROM (SELECT r, w, unnest(range(len(w) - {len(parts) - 1})) AS i FROM w) WHERE {at}")
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+base AS ({" UNION ALL ".join(places)}),
+based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base_labels FROM base GROUP BY r),
+rules(id, label, rank, pattern, literal) AS (VALUES
+  {rows}),
+norm AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS norm FROM w WHERE len(w) > 0),
+marked AS (
+  SELECT r, id, label, rank, string_split_regex(regexp_replace(norm, pattern, chr(1) || '\0' || chr(2), 'g'), ' +') AS m
+  FROM norm JOIN rules ON contains(norm, literal) AND regexp_matches(norm, pattern)),
+flat AS (SELECT r, id, label, rank, unnest(m) AS word, unnest(range(len(m))) AS i FROM marked),
+marks AS (
+  SELECT r, id, label, rank, word, i, row_number() OVER (PARTITION BY r, id ORDER BY i) - 1 AS before FROM flat WHERE word IN (chr(1), chr(2))),
+spans AS (
+  SELECT r, label, rank, min(i - 1 - before) AS "start", max(i - 1 - before) AS "end" FROM marks GROUP BY r, id, label, rank, before // 2),
+left_ AS (
+  SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = s.r AND b.rank <= s.rank AND b."start" <= s."start" AND b."end" >= s."end" AND (b.rank < s.rank OR b."end" - b."start" > s."end" - s."start"))),
+found AS (SELECT r, list(DISTINCT label) AS labels, min(rank) AS best, count(*) AS n FROM left_ GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ','), '') AS labels,
+  coalesce([{', '.join(map(str, licenses.CONFIDENCE))}][best + 1], 0)::DOUBLE AS score, coalesce(n, 0)::BIGINT AS n_detections
+FROM w LEFT JOIN based USING (r) LEFT JOIN found USING (r)"""
+
+
+COLLOCATIONS = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS size) WHERE len(w) >= size) GROUP BY lang, size, phrase),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS x FROM g WHERE size > 1 AND f >= {collocations.LEAST}),
+cut AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(x[1:k], ' ')
+  JOIN g r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(x[k + 1:], ' ')
+  JOIN n ON n.lang = c.lang),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM low WHERE NOT EXISTS (
+    SELECT 1 FROM c b WHERE b.lang = low.lang AND b.size > low.size AND contains(' ' || b.phrase || ' ', ' ' || low.phrase || ' ') AND 100 * b.f >= {collocations.COVERED} * low.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= {collocations.TOP}"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, oracles, packing, pieces, pii, quality, sharding, simhash, topk, warc
+from . import alignment, attribution, chat, collocations, licenses, oracles, packing, pieces, pii, quality, sharding, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,10 +100,30 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL |= {
     "op1_quality_divergence": oracles.quality_sql(),
     "op3_chat_format": oracles.CHAT,
     "op4_warc_revisits": oracles.WARC,
     "op6_interleaved_shards": oracles.SHARDS,
     "op8_exact_topk": oracles.TOPK,
+    "op11_license_scan": oracles.license_sql(),
+    "op13_collocations": oracles.COLLOCATIONS,
 }
