@@ -89,13 +89,14 @@ def numbered(words: DataFrame, most: int) -> tuple[list[tuple[str, str]], DataFr
 
 
 class Packing:
-    """N-grams of numbers below 2 ** bits as (quotient, remainder): three numbers in the low limb, the others in the high one, permuted invertibly."""
+    """N-grams of ``size`` numbers below 2 ** bits as (quotient, remainder): the first half of the numbers (or one more) in the low limb, the others in the high one, permuted invertibly."""
 
-    def __init__(self, bits: int):
-        if bits > 21:
-            raise ValueError("numbers have 21 bits at most")
-        self.bits, self.low, self.high = bits, 3 * bits, max(2 * bits, 1)
-        self.odd = [ODD[0] & self._mask(self.low), ODD[1] & self._mask(self.high)]
+    def __init__(self, bits: int, size: int):
+        if bits > 21 or not 2 <= size <= 6:
+            raise ValueError("numbers have 21 bits at most, n-grams two to six of them")
+        self.bits, self.size, self.split = bits, size, (size + 1) // 2
+        self.low, self.high = self.split * bits, (size - self.split) * bits
+        self.odd = [ODD[0] & self._mask(self.low) | 1, ODD[1] & self._mask(self.high) | 1]
 
     @staticmethod
     def _mask(bits: int) -> int:
@@ -123,14 +124,34 @@ class Packing:
     def pack(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         limbs = [np.zeros(len(numbers[0]), np.uint64) for _ in range(2)]
         for k, column in enumerate(numbers):
-            side, place = (1, k) if k < 3 else (0, k - 3)
+            side, place = (1, k) if k < self.split else (0, k - self.split)
             limbs[side] |= column.astype(np.uint64) << np.uint64(place * self.bits)
         return self._steps(*limbs, back=False)
 
-    def unpack(self, quotient: np.ndarray, remainder: np.ndarray, size: int) -> list[np.ndarray]:
+    def unpack(self, quotient: np.ndarray, remainder: np.ndarray) -> list[np.ndarray]:
         high, low = self._steps(quotient.astype(np.uint64), remainder.astype(np.uint64), back=True)
         one = np.uint64(self._mask(self.bits))
-        return [((low if k < 3 else high) >> np.uint64((k if k < 3 else k - 3) * self.bits)) & one for k in range(size)]
+        return [((low if k < self.split else high) >> np.uint64((k if k < self.split else k - self.split) * self.bits)) & one for k in range(self.size)]
+
+    def schema(self) -> str:
+        """Limbs are as narrow as they can be where they are shuffled."""
+        return f"quotient {'int' if self.high < 32 else 'long'}, remainder {'int' if self.low < 32 else 'long'}, n long"
+
+    def added(self, quotient: np.ndarray, remainder: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted by quotient and remainder, with the counts of equal n-grams added."""
+        if not len(counts):
+            return quotient, remainder, counts
+        if self.low + self.high <= 64:
+            key = quotient << np.uint64(self.low) | remainder
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            key = key[first]
+            return key >> np.uint64(self.low), key & np.uint64(self._mask(self.low)), np.add.reduceat(counts[order], first)
+        order = np.lexsort((remainder, quotient))
+        q, r = quotient[order], remainder[order]
+        first = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (r[1:] != r[:-1]))))
+        return q[first], r[first], np.add.reduceat(counts[order], first)
 
 
 def slots(quotient: np.ndarray, remainder: np.ndarray) -> np.ndarray:
@@ -143,8 +164,8 @@ def slots(quotient: np.ndarray, remainder: np.ndarray) -> np.ndarray:
 class QuotientFilter:
     """Counters of n-grams, sorted by quotient and remainder; ``limit`` new ones are taken in between two merges."""
 
-    def __init__(self, limit: int = FILTER):
-        self.limit, self.waiting, self.late = limit, [], 0
+    def __init__(self, packing: Packing, limit: int = FILTER):
+        self.packing, self.limit, self.waiting, self.late = packing, limit, [], 0
         self.parts = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))
 
     def add(self, quotient: np.ndarray, remainder: np.ndarray) -> None:
@@ -154,23 +175,13 @@ class QuotientFilter:
             self.merge()
 
     def merge(self) -> None:
-        self.parts = added(*[np.concatenate(c) for c in zip(self.parts, *self.waiting)])
+        self.parts = self.packing.added(*[np.concatenate(c) for c in zip(self.parts, *self.waiting)])
         self.waiting, self.late = [], 0
 
     def __len__(self) -> int:
         return len(self.parts[2])
 
 
-def added(quotient: np.ndarray, remainder: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted, with the counts of equal n-grams added."""
-    if not len(counts):
-        return quotient, remainder, counts
-    order = np.lexsort((remainder, quotient))
-    q, r = quotient[order], remainder[order]
-    first = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (r[1:] != r[:-1]))))
-    return q[first], r[first], np.add.reduceat(counts[order], first)
-
-
 def write_numbers(docs: DataFrame, vocabulary: list[tuple[str, str]]) -> DataFrame:
     """<block>: the texts as numbers from 1 (0 between pieces and for other words), many in a row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -216,45 +227,47 @@ def has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def windows(numbers: np.ndarray, size: int, packing: Packing, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Quotients and remainders of the runs of ``size`` numbers without 0 whose shorter parts are in ``bits``."""
+def windows(numbers: np.ndarray, packing: Packing, shorter: Packing | None, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Quotients and remainders of the runs of numbers without 0 whose two shorter parts are in ``bits``."""
+    size = packing.size
     if len(numbers) < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     columns = [numbers[k : len(numbers) - size + 1 + k] for k in range(size)]
     at = np.flatnonzero(reduce(np.logical_and, [c != 0 for c in columns]))
     if bits is not None:
         for skip in (0, 1):
-            part = packing.pack([c[at] for c in columns[skip : skip + size - 1]])
+            part = shorter.pack([c[at] for c in columns[skip : skip + size - 1]])
             at = at[has(bits, slots(*part))]
     return packing.pack([c[at] for c in columns])
 
 
-def count_grams(blocks: DataFrame, size: int, packing: Packing, bits: np.ndarray | None, limit: int = FILTER) -> DataFrame:
+def count_grams(blocks: DataFrame, packing: Packing, shorter: Packing | None, bits: np.ndarray | None, limit: int = FILTER) -> DataFrame:
     """<quotient, remainder, n>: the filters of all tasks, each sorted."""
     shared = blocks.sparkSession.sparkContext.broadcast(bits)
+    kinds = [np.int32 if b < 32 else np.int64 for b in (packing.high, packing.low)] + [np.int64]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = QuotientFilter(limit), shared.value
+        held, seen, size = QuotientFilter(packing, limit), shared.value, packing.size
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)) for p in held.parts], names=["quotient", "remainder", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(p.astype(k)) for p, k in zip(held.parts, kinds)], names=["quotient", "remainder", "n"])
 
         for batch in batches:
             for block in batch.column("block"):
                 numbers = np.frombuffer(block.as_py(), "<u4")
                 for start in range(0, len(numbers), BLOCK):
-                    held.add(*windows(numbers[start : start + BLOCK + size - 1], size, packing, seen))
+                    held.add(*windows(numbers[start : start + BLOCK + size - 1], packing, shorter, seen))
                     if len(held) >= 2 * limit:
                         held.merge()
                         yield flush()
-                        held = QuotientFilter(limit)
+                        held = QuotientFilter(packing, limit)
         held.merge()
         yield flush()
 
-    return blocks.mapInArrow(work, "quotient long, remainder long, n long")
+    return blocks.mapInArrow(work, packing.schema())
 
 
-def merge_grams(counted: DataFrame, size: int, packing: Packing, vocabulary: list[tuple[str, str]], least: int) -> DataFrame:
+def merge_grams(counted: DataFrame, packing: Packing, vocabulary: list[tuple[str, str]], least: int) -> DataFrame:
     """<lang, phrase, size, f, slot> of the n-grams with ``least`` occurrences, by merging the sorted filters."""
     shared = counted.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -264,10 +277,10 @@ def merge_grams(counted: DataFrame, size: int, packing: Packing, vocabulary: lis
         def frequent(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             keep = parts[2] >= least
             q, r, n = (p[keep] for p in parts)
-            ids = np.stack([c.astype(np.int64) - 1 for c in packing.unpack(q, r, size)], axis=1).tolist()
+            ids = np.stack([c.astype(np.int64) - 1 for c in packing.unpack(q, r)], axis=1).tolist()
             columns = [
                 pa.array([words[g[0]][0] for g in ids], pa.string()), pa.array([" ".join([words[i][1] for i in g]) for g in ids], pa.string()),
-                pa.array(np.full(len(n), size), pa.int32()), pa.array(n), pa.array(slots(q, r).astype(np.int64)),
+                pa.array(np.full(len(n), packing.size), pa.int32()), pa.array(n), pa.array(slots(q, r).astype(np.int64)),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "f", "slot"])
 
@@ -277,7 +290,7 @@ def merge_grams(counted: DataFrame, size: int, packing: Packing, vocabulary: lis
             if last is not None:
                 parts = tuple(np.concatenate(p) for p in zip(last, parts))
             if len(parts[2]):
-                parts = added(*parts)
+                parts = packing.added(*parts)
                 # the largest may go on in the next batch
                 last = tuple(p[-1:] for p in parts)
                 yield frequent(tuple(p[:-1] for p in parts))
@@ -344,15 +357,15 @@ def frequent_grams(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
     vocabulary, rest = numbered(frequent, most)
     tables = [frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")]
     if vocabulary:
-        packing = Packing(len(vocabulary).bit_length())
         blocks = stored(write_numbers(rows, vocabulary), "word-numbers")
-        bits = None
+        shorter = bits = None
         for size in range(2, longest + 1):
-            found = stored(merge_grams(count_grams(blocks, size, packing, bits, limit), size, packing, vocabulary, least), f"grams-{size}")
+            packing = Packing(len(vocabulary).bit_length(), size)
+            found = stored(merge_grams(count_grams(blocks, packing, shorter, bits, limit), packing, vocabulary, least), f"grams-{size}")
             tables.append(found.drop("slot"))
             if size == longest or found.isEmpty():
                 break
-            bits = bitmap(found.select("slot"))
+            shorter, bits = packing, bitmap(found.select("slot"))
     if not rest.isEmpty():
         tables.append(rare_grams(rows, vocabulary, rest, longest).where(F.col("f") >= least))
     return stored(reduce(DataFrame.unionByName, tables), "grams"), totals
