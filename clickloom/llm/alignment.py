@@ -2,8 +2,8 @@
 
 Both tokenizers cut the same bytes. All their tokens are sorted by start and the running maximum of their ends is taken; a group breaks
 where a start reaches it, so a group is a longest run of bytes within which some token of one always lies across the cuts of the other. All pairs of an A and a B token
-of a group are links. Texts are cut before single blanks between other characters, where neither tokenizer joins anything; the groups of such chunks
-are kept, at most STORED chunks of SHORT characters in a worker, since corpora repeat their words.
+of a group are links. Texts are cut where neither tokenizer joins anything: before single blanks between other characters and, as far as B's pieces allow, around single line breaks and between a letter
+and a stop. The groups of such chunks are kept, at most STORED chunks of SHORT characters in a worker, the recently used ones, since corpora repeat their words.
 
 Each text is encoded once. What is written for it is its counts, the digest of its groups and its distinct id pairs with their multiplicity. A pair's count, the
 number of documents that hold it linked, is an aggregation over these. The most frequent pairs, COMMON at most whatever the corpus, are looked up where the written rows are
@@ -31,8 +31,11 @@ from .common import stored
 
 MARK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
+STOPS = ".,;:!?"
+#: In front of a chunk without a blank.
+BARE = "\0"
 SHORT = 64
-STORED = 200_000
+STORED = 400_000
 #: Characters of texts that are encoded together, links above which a group is counted by its distinct ids.
 TOGETHER = 500_000
 LARGE = 4096
@@ -67,14 +70,20 @@ class Tokens:
             self.bytes = [b""] * size
             for token, i in vocab.items():
                 self.bytes[i] = bytes(known[c] for c in token)
-            self.encode = lambda texts: [e.ids for e in model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+            self.encode = lambda texts: [e.ids for e in model.encode_batch([t[1:] if t[0] == BARE else " " + t for t in texts], add_special_tokens=False)]
+            self.cut = None
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-            self.encode = lambda texts: model.encode(texts, num_threads=1)
+            # a chunk without a blank is encoded after a line break, which joins nothing
+            self.encode = lambda texts: [ids[2:] if t[0] == BARE else ids for t, ids in zip(texts, model.encode([f"\n{t[1:]}" if t[0] == BARE else t for t in texts], num_threads=1))]
+            self.cut = None
+            if not any("\n" in p for p in pieces) and len(model.encode("\n")) == 2:
+                stops = "".join(c for c in STOPS if not any(re.search(rf"[^\W\d_]\{c}", p) for p in pieces))
+                self.cut = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)" + (rf"|(?<=[^\W\d_])(?=[{stops}])" if stops else ""))
         self.size = len(self.bytes)
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
 
@@ -111,18 +120,32 @@ def links(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, n: int,
 
 
 class Aligner:
-    """Aligns chunks and keeps the short ones; one for each pair of files and Python worker."""
+    """Aligns chunks and keeps the short ones in two generations; one for each pair of files and Python worker."""
 
     def __init__(self, a_path: str, b_path: str, limit: int = STORED):
         self.a, self.b, self.limit = Tokens(a_path), Tokens(b_path), limit
         self.width = self.b.size
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def chunks(self, text: str) -> list[str]:
+        """The parts of a blank and the text, without the blank they start with; others start with BARE."""
+        out: list[str] = []
+        fine = self.b.cut
+        for part in CUT.split(text):
+            if part in self.known or not fine:
+                out.append(part)
+            else:
+                first, *others = fine.split(part) if part[:1] != BARE else [part]
+                out.append(first)
+                out += [BARE + o for o in others]
+        return out
 
     def learn(self, chunks: list[str], into: dict[str, tuple]) -> None:
         """Add <groups as text, packed counts, pairs, held> of each chunk; a chunk whose bytes differ has only that mark."""
         a_ids, b_ids, kept = [], [], []
         for chunk, ids, other in zip(chunks, self.a.encode(chunks), self.b.encode(chunks)):
-            whole = b" " + chunk.encode()
+            whole = chunk[1:].encode() if chunk[0] == BARE else b" " + chunk.encode()
             if b"".join(map(self.a.bytes.__getitem__, ids)) == whole == b"".join(map(self.b.bytes.__getitem__, other)):
                 a_ids.append(ids)
                 b_ids.append(other)
@@ -152,19 +175,26 @@ class Aligner:
 
     def align(self, texts: list[str]) -> list[tuple]:
         """<n_a, n_b, n_groups, n_links, digest, distinct pairs, multiplicities> of each text."""
-        cut = [CUT.split(t) if t else [] for t in texts]
+        cut = [self.chunks(t) if t else [] for t in texts]
         wanted = dict.fromkeys(c for chunks in cut for c in chunks)
-        if len(self.known) + len(wanted) > self.limit:
-            self.known.clear()
+        if len(self.known) + len(wanted) > self.limit // 2:
+            self.known, self.older = {}, self.known
         once: dict[str, tuple] = {}
-        new = [c for c in wanted if c not in self.known]
-        brief = [c for c in new if len(c) <= SHORT][: self.limit]
+        known, older = self.known, self.older
+        new = []
+        for c in wanted:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
+        brief = [c for c in new if len(c) <= SHORT][: self.limit // 2]
         for k in range(0, len(brief), 8192):
-            self.learn(brief[k : k + 8192], self.known)
-        rest = [c for c in new if c not in self.known]
+            self.learn(brief[k : k + 8192], known)
+        rest = [c for c in new if c not in known]
         for k in range(0, len(rest), 256):
             self.learn(rest[k : k + 256], once)
-        return [self.joined([self.known.get(c) or once[c] for c in chunks]) for chunks in cut]
+        return [self.joined([known.get(c) or once[c] for c in chunks]) for chunks in cut]
 
     def joined(self, found: list[tuple]) -> tuple:
         nothing = np.zeros(0, np.int64)
