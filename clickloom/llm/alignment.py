@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .common import stored
 MARK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 STOPS = ".,;:!?"
-#: In front of a chunk without a blank.
-BARE = "\0"
+#: In front of a chunk without a blank; no text in UTF-8 holds it.
+BARE = "\udc00"
 SHORT = 64
 STORED = 400_000
 #: Characters of texts that are encoded together, links above which a group is counted by its distinct ids.
@@ -59,6 +60,8 @@ class Tokens:
 
     def __init__(self, path: str):
         if path.endswith(".json"):
+            import public_tokenizers
+            import tiktoken
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
@@ -70,7 +73,12 @@ class Tokens:
             self.bytes = [b""] * size
             for token, i in vocab.items():
                 self.bytes[i] = bytes(known[c] for c in token)
-            self.encode = lambda texts: [e.ids for e in model.encode_batch([t[1:] if t[0] == BARE else " " + t for t in texts], add_special_tokens=False)]
+            # short chunks by the same vocabulary as ranks, without the offsets and strings that come with each encoding
+            ranks = {b: i for i, b in enumerate(self.bytes) if b}
+            brief = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.encode = lambda texts: [
+                brief(t[1:] if t[0] == BARE else " " + t) if len(t) <= SHORT else model.encode(t[1:] if t[0] == BARE else " " + t, add_special_tokens=False).ids for t in texts
+            ]
             self.cut = None
         else:
             import sentencepiece
@@ -86,6 +94,14 @@ class Tokens:
                 self.cut = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)" + (rf"|(?<=[^\W\d_])(?=[{stops}])" if stops else ""))
         self.size = len(self.bytes)
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.said = [str(i) for i in range(self.size)]
+
+    def equal(self, ids: list[list[int]], chunks: list[bytes]) -> bool:
+        """Do the ids of each chunk stand for its bytes?"""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
+        ends = np.concatenate(([0], np.cumsum(self.lengths[flat])))[np.cumsum(sizes)]
+        return bool((ends == np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))).all()) and b"".join(map(self.bytes.__getitem__, flat.tolist())) == b"".join(chunks)
 
 
 def coalesce(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -133,36 +149,35 @@ class Aligner:
         out: list[str] = []
         fine = self.b.cut
         for part in CUT.split(text):
-            if part in self.known or not fine:
+            if part.isalpha() or not fine:
                 out.append(part)
             else:
-                first, *others = fine.split(part) if part[:1] != BARE else [part]
+                first, *others = fine.split(part)
                 out.append(first)
                 out += [BARE + o for o in others]
         return out
 
     def learn(self, chunks: list[str], into: dict[str, tuple]) -> None:
         """Add <groups as text, packed counts, pairs, held> of each chunk; a chunk whose bytes differ has only that mark."""
-        a_ids, b_ids, kept = [], [], []
-        for chunk, ids, other in zip(chunks, self.a.encode(chunks), self.b.encode(chunks)):
-            whole = chunk[1:].encode() if chunk[0] == BARE else b" " + chunk.encode()
-            if b"".join(map(self.a.bytes.__getitem__, ids)) == whole == b"".join(map(self.b.bytes.__getitem__, other)):
-                a_ids.append(ids)
-                b_ids.append(other)
-                kept.append(chunk)
-            else:
-                into[chunk] = ("", 1 << (4 * FIELD), b"", ())
+        a_ids, b_ids, kept = self.a.encode(chunks), self.b.encode(chunks), chunks
+        whole = [c[1:].encode() if c[0] == BARE else b" " + c.encode() for c in chunks]
+        if not (self.a.equal(a_ids, whole) and self.b.equal(b_ids, whole)):
+            good = [self.a.equal([x], [w]) and self.b.equal([y], [w]) for x, y, w in zip(a_ids, b_ids, whole)]
+            into.update((c, ("", 1 << (4 * FIELD), b"", ())) for c, ok in zip(chunks, good) if not ok)
+            a_ids, b_ids, kept = ([x for x, ok in zip(column, good) if ok] for column in (a_ids, b_ids, chunks))
         if not kept:
             return
-        a, b = np.array([i for ids in a_ids for i in ids], np.int64), np.array([i for ids in b_ids for i in ids], np.int64)
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a_ids, b_ids))
         ga, gb, n = coalesce(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]))
         pairs, pair_group, held = links(a, b, ga, gb, n, self.width)
         last_a, last_b = np.cumsum([len(x) for x in a_ids]), np.cumsum([len(x) for x in b_ids])
         last_group = ga[last_a - 1]  # chunks end with a token of each, so their groups are their own
         stops = np.searchsorted(pair_group, last_group, "right").tolist()
-        cut_a, cut_b = np.searchsorted(ga, np.arange(n + 1)).tolist(), np.searchsorted(gb, np.arange(n + 1)).tolist()
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = [f"{','.join(said_a[cut_a[g]:cut_a[g + 1]])}|{','.join(said_b[cut_b[g]:cut_b[g + 1]])}" for g in range(n)]
+        cut_a, cut_b = np.searchsorted(ga, np.arange(n + 1)), np.searchsorted(gb, np.arange(n + 1))
+        said_a, said_b = list(map(self.a.said.__getitem__, a.tolist())), list(map(self.b.said.__getitem__, b.tolist()))
+        groups = [f"{said_a[x]}|{said_b[y]}" for x, y in zip(cut_a[:-1].tolist(), cut_b[:-1].tolist())]
+        for g in np.flatnonzero((np.diff(cut_a) > 1) | (np.diff(cut_b) > 1)).tolist():
+            groups[g] = f"{','.join(said_a[cut_a[g]:cut_a[g + 1]])}|{','.join(said_b[cut_b[g]:cut_b[g + 1]])}"
         pairs = pairs.astype("<u8")
         of_group = {g: (p, m) for g, p, m in held}
         start, g = 0, 0

@@ -97,7 +97,7 @@ def brute_alignment(texts):
 
 
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-ODD = [None, "", " ", "  two  blanks ", "a\n\nb \tc", "▁ mark", "<|endoftext|> x <s> </s> <0x41>", "é ﬁ 中文 \U0001f600　x   y", "nul\x00 in", "word " * 200, "naïveté " * 50, "x y", "ab" * 400, "\r\n x\r\n", "tail ", "ZWJ \U0001f468‍\U0001f469 z"]
+ODD = [None, "", " ", "  two  blanks ", "a\n\nb \tc", "▁ mark", "<|endoftext|> x <s> </s> <0x41>", "é ﬁ 中文 \U0001f600　x   y", "nul\x00 in \x00a, \x00 b.\nc;d \x00", "word " * 200, "naïveté " * 50, "x y", "ab" * 400, "\r\n x\r\n", "tail ", "ZWJ \U0001f468‍\U0001f469 z"]
 
 
 @pytest.mark.parametrize("most, stored, large", [(1 << 20, 200_000, 4096), (0, 3, 2), (9, 200_000, 1)])
