@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import fill_number, fill_text
+from ..session import side_by_side
 from .folds import FOLDS, SEED
 
 # Depth, learning rate, rounds, subsampling, minimum child size and
@@ -124,7 +125,12 @@ def crossed_linear(numeric: Sequence[str], degree: int = 2, categorical: Sequenc
 def factor_machine(numeric: Sequence[str], categorical: Sequence[str] = (), **params) -> Pipeline:
     """Second-order crosses through factor vectors."""
     inputs = assembler([*numeric, *[f"{c}_hot" for c in categorical]])
-    return Pipeline(stages=[*one_hot(categorical), inputs, FMClassifier(featuresCol="features", labelCol="clicked", seed=SEED, **params)])
+    return Pipeline(stages=[*one_hot(categorical), inputs, factor_learner(**params)])
+
+
+def factor_learner(**params) -> FMClassifier:
+    """The factor machine alone, for inputs that are vectors already."""
+    return FMClassifier(featuresCol="features", labelCol="clicked", seed=SEED, **params)
 
 
 def positive_probability(scored: DataFrame, name: str = "pred") -> DataFrame:
@@ -141,17 +147,18 @@ def fit_folds(
     df: DataFrame, estimator: Estimator, folds: int = FOLDS, fold: str = "fold", validation: str | None = None,
     prepare: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> dict[int, PipelineModel]:
-    """One model per fold, trained on the other folds. ``df`` should be a stored table.
+    """One model per fold, trained on the other folds, all folds side by side. ``df`` should be a stored table.
 
     ``prepare(df, k)`` gives the rows as fold k trains on them (weights, noise; see ``training.fold_rows``). With
     ``validation`` the held-out fold stays in the input, marked in that column, for learners that stop early on it.
     """
-    models = {}
-    for k in range(1, folds + 1):
+    def fit(k: int) -> PipelineModel:
         rows = prepare(df, k) if prepare else df
         held = F.col(fold) == k
-        models[k] = estimator.fit(rows.withColumn(validation, held) if validation else rows.where(~held))
-    return models
+        return estimator.fit(rows.withColumn(validation, held) if validation else rows.where(~held))
+
+    numbers = range(1, folds + 1)
+    return dict(zip(numbers, side_by_side(df.sparkSession, fit, numbers)))
 
 
 def out_of_fold(
@@ -173,14 +180,14 @@ def fold_score(df: DataFrame, models: Mapping[int, Model], name: str, key: str =
     return wide.select(key, F.lit(name).alias("model"), F.inline(pairs))
 
 
-def fold_score_wide(df: DataFrame, models: Mapping[int, Model], key: str = "id") -> DataFrame:
-    """<key, pred_1, pred_2, ...>: fold predictions as columns, without a shuffle."""
+def fold_score_wide(df: DataFrame, models: Mapping[int, Model], key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """<key, keep..., pred_1, pred_2, ...>: fold predictions as columns, without a shuffle."""
     base = df.columns
     done: list[str] = []
     for k, model in models.items():
         df = positive_probability(model.transform(df), f"pred_{k}").select(*base, *done, f"pred_{k}")
         done.append(f"pred_{k}")
-    return df.select(key, *done)
+    return df.select(key, *keep, *done)
 
 
 def stack(oof: DataFrame, test: DataFrame, models: Sequence[str], key: str = "id", label: str = "clicked") -> DataFrame:

@@ -80,6 +80,16 @@ def average_precision(
     return cumulative_counts(df, label, score, by, bands).groupBy(*by).agg(_precision_sum().alias("ap"))
 
 
+def area_under_curve(
+    df: DataFrame, label: str = "clicked", score: str = "pred", by: Sequence[str] = (), bands: int | None = None
+) -> DataFrame:
+    """<by, auc>: the share of pairs of a positive and a negative row with the positive one above, ties by half; null without both classes."""
+    negatives = F.col("n") - F.col("tp")
+    above = negatives * (F.col("cum_tp") - F.col("tp") / 2)
+    runs = cumulative_counts(df, label, score, by, bands)
+    return runs.groupBy(*by).agg(F.try_divide(F.sum(above), F.sum("tp").cast("double") * F.sum(negatives)).alias("auc"))
+
+
 def competition_score(
     df: DataFrame, label: str = "clicked", score: str = "pred", by: Sequence[str] = (), bands: int | None = None
 ) -> DataFrame:

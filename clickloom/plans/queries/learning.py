@@ -1,117 +1,226 @@
 """Learner queries.
 
-SQL cannot fit models, so these queries show what it can know: which rows are scored, how often and in which
-fold, and that every prediction is a probability. The models themselves are checked by tests.
+SQL cannot fit models, so it shows what it can know: which rows are scored, how often and in which fold, that every prediction is a probability, and
+that each model learned something: its weighted loss on its training rows is below that of the prediction it starts from (the rate of the weighted classes, a half, for set-ups A and B and the
+rate of the class for the others; a half for set-up C as well, whose weights favour one class). The models themselves are checked by tests.
 
-Every learner trains on all numbers and categories of the tree features. Trees train with ROUNDS rounds of depth DEPTH here, far fewer than the set-ups name: MLlib's fits take seconds a round.
+The set-ups train with their published rounds, depth and patience, on five folds, and are cut at their best round. Feature tables, fold models and out-of-fold rows
+are stored under a key of settings and inputs; what is there already, from another query or an earlier run, is not made again.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ...functions.values import sigmoid
-from ...operators import ensemble, folds, learners, metrics
-from ...session import cut_lineage, shared_dir
-from ...sources import artefacts, cache
-from ...sources.impressions import impressions, is_train, table
+from ...operators import boosting, crosses, encode, ensemble, folds, learners, metrics
+from ...session import cut_lineage, shared_dir, side_by_side
+from ...sources import artefacts, cache, tables
+from ...sources.impressions import impressions, is_train, table, tied_predictions
 from .. import features, training
 from ..config import DEFAULT
-from .registry import query, r, with_imp
+from .registry import TIED, query, r, with_imp
 from .storage import fresh
 
-ROUNDS = 5
-DEPTH = 4
-BINS = 256  # above the number of values of every category
+#: Categories with clearly fewer values enter as indices, others frequency encoded.
+NATIVE_VALUES = 64
 LEAKS = ("event_type", "value", "ts", "user_id", "seq")
+PLANS = {"tree": features.tree_features, "two_stage": features.two_stage_features}
+#: Columns as they come, not derived from others: their pairs are crossed.
+RAW = re.compile(r"(l_feat|feat_[a-e]|history_[ab])_[0-9]+")
+LINEAR = {"regParam": 0.01, "maxIter": 100}
 
 
 #: What SQL knows of the rows of the later days, and of out-of-fold rows.
-LATER = with_imp("SELECT id, clicked, true AS in_range FROM imp WHERE day >= DATE '2024-01-25'")
-LATER_IDS = with_imp("SELECT id, true AS in_range FROM imp WHERE day >= DATE '2024-01-25'")
+LATER = with_imp("SELECT id, clicked, true AS in_range, true AS learned FROM imp WHERE day >= DATE '2024-01-25'")
+LATER_IDS = with_imp("SELECT id, true AS in_range, true AS learned FROM imp WHERE day >= DATE '2024-01-25'")
 LATER_FOLDS = with_imp("""
-SELECT id, 'linear' AS model, CAST(fold AS INTEGER) AS fold, true AS in_range
+SELECT id, 'linear' AS model, CAST(fold AS INTEGER) AS fold, true AS in_range, true AS learned
 FROM (SELECT id, unnest(range(1, 6)) AS fold FROM imp WHERE day >= DATE '2024-01-25') x""")
 OUT_OF_FOLD = with_imp("""
-SELECT id, clicked, CAST(ntile(5) OVER (PARTITION BY clicked ORDER BY md5(CAST(id AS VARCHAR) || '42') || CAST(id AS VARCHAR)) AS INTEGER) AS fold, true AS in_range
+SELECT unnest(['b', 'linear']) AS model, id, clicked,
+  CAST(ntile(5) OVER (PARTITION BY clicked ORDER BY md5(CAST(id AS VARCHAR) || '42') || CAST(id AS VARCHAR)) AS INTEGER) AS fold, true AS in_range
 FROM imp WHERE day < DATE '2024-01-25'""")
 
 
-def stored_features(spark, sf):
-    """Training rows with folds, and later rows, of the tree features: computed once and kept under their key."""
-    inputs = [f"{sf}/{t}.parquet" for t in ("events", "customer", "orders")]
+def _inputs(sf):
+    return [f"{sf}/{t}.parquet" for t in ("events", "customer", "orders")]
+
+
+def _settings(plan: str) -> dict:
+    return {**DEFAULT, "features": {"plan": plan, "cuts": "training rows", "native": NATIVE_VALUES}}
+
+
+def stored_features(spark, sf, plan: str = "tree"):
+    """Training rows with folds, and later rows, of a feature plan: computed once and kept under their key.
+
+    Numbers come filled and as doubles, categories as indices (``<column>_idx``) that are the same for all folds.
+    """
+    settings = _settings(plan)
+    k, seed = settings["training"]["n_folds"], settings["training"]["seed"]
 
     def build():
-        rows = features.tree_features(impressions(spark, sf, "users", "orders", "history", "seq")).drop(*LEAKS)
-        numeric, categories = inputs_of(rows)
-        cuts = folds.fold_cuts(impressions(spark, sf).where(is_train()))
-        return folds.assign_folds(learners.filled(rows, numeric, categories), cuts)
-
-    settings = {**DEFAULT, "features": {"plan": "tree_features", "cuts": "training rows"}}
-    root = f"{shared_dir(spark)}/clickloom/features-{spark.sparkContext.applicationId}"
-    df = cache.feature_cache(spark, build, settings, inputs, root, partition_by=["fold"])
+        source = impressions(spark, sf, "users", "orders", "history", "seq")
+        rows = source.transform(PLANS[plan]).drop(*LEAKS)
+        text = [c for c, t in rows.dtypes if t == "string"]
+        rows = cut_lineage(learners.filled(rows, [c for c, t in rows.dtypes if t not in ("string", "date") and c not in ("id", "clicked")], text))
+        few, many = learners.by_cardinality(rows, text, NATIVE_VALUES)
+        if many:
+            rows = encode.freq_encode(rows, many).drop(*many)
+        for indexer in learners.native_categories(few):
+            rows = indexer.fit(rows.where(is_train())).transform(rows).drop(*few)
+        cuts = folds.fold_cuts(source.where(is_train()).select("id", "clicked"), k=k, seed=seed)
+        return folds.assign_folds(rows, cuts, k=k, seed=seed)
+
+    df = cache.feature_cache(spark, build, settings, _inputs(sf), f"{shared_dir(spark)}/clickloom/features", partition_by=["fold"])
     return df.where(is_train()), df.where(~is_train())
 
 
+def model_root(spark, sf, plan: str) -> str:
+    """Where the models of a feature plan and its settings are kept."""
+    learner = {"boosted": boosting.SETUPS, "plain": boosting.PLAIN, "weighting": learners.CLASS_WEIGHTING, "linear": LINEAR, "rows": boosting.ROWS}
+    key = cache.cache_key({**_settings(plan), "training": {**DEFAULT["training"], **learner}}, [cache.input_stamp(spark, p) for p in _inputs(sf)])
+    return f"{shared_dir(spark)}/clickloom/learners-{key}"
+
+
 def inputs_of(df):
-    """All numeric columns and all categories of a feature table."""
-    text = [c for c, t in df.dtypes if t == "string"]
-    return [c for c, t in df.dtypes if t not in ("string", "date") and c not in ("id", "clicked", "fold")], text
+    """All numbers and all category indices of a feature table."""
+    indices = [c for c in df.columns if c.endswith("_idx")]
+    return [c for c, t in df.dtypes if t not in ("string", "date") and c not in ("id", "clicked", "fold", "weight", *indices)], indices
+
+
+def _plan(setup: str) -> str:
+    return "two_stage" if setup == "c" else "tree"
+
+
+def stored_bins(spark, sf, plan: str, bins: int):
+    """<id, clicked, fold, train, bins> of all rows of a feature plan, and the cuts; stored under their key."""
+    train, test = stored_features(spark, sf, plan)
+    numeric, indices = inputs_of(train)
+    root = model_root(spark, sf, plan)
+    path = f"{root}/cuts-{bins}"
+    if not tables.exists(spark, f"{path}/_SUCCESS"):
+        cuts = boosting.quantile_cuts(train, numeric, bins)
+        spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "place int, cuts array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+    cuts = [r.cuts for r in spark.read.parquet(path).orderBy("place").collect()]
+    return numeric, indices, cuts, train, test
+
+
+def boosted_runs(spark, sf, setup: str):
+    """The run rows of the five fold models of a set-up, trained to their best rounds if they are not there yet."""
+    p = boosting.settings(setup)
+    numeric, indices, cuts, train, _ = stored_bins(spark, sf, _plan(setup), p["bins"])
+    sample = training.labelled_sample(train, boosting.ROWS)
+
+    def fit(k: int, path: str) -> dict:
+        # the class weights of set-up A are its learner's own and do not weigh what it watches; set-up C has no noise
+        weighed = training.fold_rows((), learners.CLASS_WEIGHTING[setup])(sample, k)
+        rows = boosting.binned(weighed, numeric, indices, cuts, ("id", "clicked", "weight", "fold"), noise=None if setup == "c" else k)
+        boosting.train(rows, setup, len(numeric), k).write.mode("overwrite").parquet(path)
+        best = spark.read.parquet(path).where("best").first()
+        return {"rounds": best["round"] + 1, "held_loss": best.held, "loss": best.loss, "constant": boosting.START_LOSS}
+
+    return training.train_folds(spark, model_root(spark, sf, _plan(setup)), setup, fit)
+
+
+def boosted_scores(spark, sf, setup: str, runs, later: bool, keep, own=None):
+    """Rows of the later days (or of the training days) scored by the fold models of a set-up."""
+    numeric, indices, cuts, train, test = stored_bins(spark, sf, _plan(setup), boosting.settings(setup)["bins"])
+    rows = boosting.binned(test if later else train, numeric, indices, cuts, keep)
+    models = {k: boosting.to_best(spark.read.parquet(run.path)) for k, run in sorted(runs.items())}
+    return boosting.scored(rows, models, len(numeric), keep, own)
 
 
-def _trees(train, setup: str, weight: str | None = None, **overrides):
-    numeric, categories = inputs_of(train)
-    return learners.tree_pipeline(numeric, categories, setup, weight, **{"maxIter": ROUNDS, "maxDepth": DEPTH, "maxBins": BINS, **overrides})
+def crossed(train, rows, *keep):
+    """<keep..., features>: the crossed inputs, scaled by the training rows."""
+    numeric, indices = inputs_of(train)
+    return crosses.crossed_vectors(rows, crosses.scale_of(train, numeric), indices, [c for c in numeric if RAW.fullmatch(c)], keep)
 
 
-def _linear(train):
-    numeric, categories = inputs_of(train)
-    return learners.crossed_linear(numeric, categorical=categories)
+def _linear(rows):
+    model = LogisticRegression(featuresCol="features", labelCol="clicked", **LINEAR).fit(rows)
+    history = model.summary.objectiveHistory
+    return model, {"rounds": model.summary.totalIterations, "loss": history[-1], "constant": history[0]}
 
 
-def _shown(scored, *keep, pred="pred"):
-    return scored.select("id", *keep, F.col(pred).between(0, 1).alias("in_range"))
+def linear_runs(spark, sf):
+    """The run rows of the crossed linear model's folds."""
+    train, _ = stored_features(spark, sf)
 
+    def fit(k: int, path: str) -> dict:
+        model, facts = _linear(crossed(train, train.where(F.col("fold") != k), "clicked"))
+        PipelineModel(stages=[model]).write().overwrite().save(path)
+        return facts
 
-def _scored(model, test):
-    return _shown(learners.score(model, test, keep=("clicked",)), "clicked")
+    return training.train_folds(spark, model_root(spark, sf, "tree"), "linear", fit)
+
+
+def _models(runs):
+    return artefacts.load_fold_models({k: run.path for k, run in runs.items()})
+
+
+def _learned(*runs) -> bool:
+    return all(run.loss < run.constant for each in runs for run in each.values())
+
+
+def _shown(scored, learned: bool, *keep, pred="pred"):
+    return scored.select("id", *keep, F.col(pred).between(0, 1).alias("in_range"), F.lit(learned).alias("learned"))
+
+
+def _boosted(spark, sf, setup: str):
+    """The later rows, scored by the five fold models side by side, with the median of the folds."""
+    runs = boosted_runs(spark, sf, setup)
+    wide = boosted_scores(spark, sf, setup, runs, True, ("id", "clicked"))
+    median = ensemble.median_of([f"pred_{k}" for k in runs])
+    return _shown(wide.select("id", "clicked", median.alias("pred")), _learned(runs), "clicked")
 
 
 @query("boosted_trees_a", LATER)
 def boosted_trees_a(spark, sf):
-    """Set-up A, weighted by the class ratio, scored on later days."""
-    train, test = stored_features(spark, sf)
-    weighted = folds.with_class_weight(train, folds.class_weights(train))
-    return _scored(_trees(train, "a", "weight").fit(weighted), test)
+    """Set-up A, weighted by the class ratio."""
+    return _boosted(spark, sf, "a")
 
 
 @query("boosted_trees_b", LATER)
 def boosted_trees_b(spark, sf):
     """Set-up B, balanced classes."""
-    train, test = stored_features(spark, sf)
-    weighted = folds.with_class_weight(train, folds.class_weights(train, mode="balanced"))
-    return _scored(_trees(train, "b", "weight").fit(weighted), test)
+    return _boosted(spark, sf, "b")
 
 
 @query("boosted_trees_c", LATER)
 def boosted_trees_c(spark, sf):
-    """Set-up C, fixed class weights, stopping early on one fold."""
-    train, test = stored_features(spark, sf)
-    weighted = folds.fixed_class_weight(train).withColumn("is_validation", F.col("fold") == 1)
-    return _scored(_trees(train, "c", "weight", validation="is_validation").fit(weighted), test)
+    """Set-up C on the two-stage features, fixed class weights, watched by the area under the curve."""
+    return _boosted(spark, sf, "c")
+
+
+@query("boosted_rounds")
+def boosted_rounds(spark, sf):
+    """The rounds that each fold of set-up B was cut at, with its losses."""
+    runs = boosted_runs(spark, sf, "b")
+    rows = [("b", k, int(run.rounds), run.held_loss, run.loss, run.constant) for k, run in sorted(runs.items())]
+    return spark.createDataFrame(rows, "model string, fold int, rounds int, held_loss double, loss double, constant double")
 
 
 @query("full_fit_holdout", with_imp("""
 SELECT count(*) AS n_rows, CAST(sum(clicked) AS BIGINT) AS clicks, count(*) AS in_range, true AS measured
 FROM imp WHERE day >= DATE '2024-01-25'"""))
 def full_fit_holdout(spark, sf):
-    """One model on all training rows, stored, loaded again, scored and measured."""
-    train, test = stored_features(spark, sf)
-    path = artefacts.save_model(_trees(train, "b").fit(train), fresh(spark, "models"), "b", 0)
-    model = artefacts.load_fold_models({0: path})[0]
-    rows = cut_lineage(learners.score(model, test).join(test.select("id", "clicked"), "id"))
+    """One model of set-up B on all training rows, with the mean of the folds' rounds, stored, loaded again, scored and measured."""
+    runs = boosted_runs(spark, sf, "b")
+    rounds = max(1, round(sum(run.rounds for run in runs.values()) / len(runs)))
+    numeric, indices, cuts, train, test = stored_bins(spark, sf, "tree", boosting.settings("b")["bins"])
+    sample = training.labelled_sample(train, boosting.ROWS)
+    weighted = folds.with_class_weight(sample, folds.class_weights(sample, mode="balanced"))
+    trees = boosting.train(boosting.binned(weighted, numeric, indices, cuts, ("id", "clicked", "weight", "fold")), "b", len(numeric), None, rounds=rounds)
+    trees = artefacts.save_table(trees, fresh(spark, "models"), "b_full")
+    later = boosting.binned(test, numeric, indices, cuts, ("id", "clicked"))
+    rows = cut_lineage(boosting.scored(later, {0: trees}, len(numeric), ("id", "clicked")).withColumnRenamed("pred_0", "pred"))
     counts = rows.agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("clicked").alias("clicks"), F.count_if(F.col("pred").between(0, 1)).alias("in_range")
     )
@@ -121,84 +230,97 @@ def full_fit_holdout(spark, sf):
 
 @query("crossed_linear", LATER)
 def crossed_linear(spark, sf):
-    """Explicit second-order products and logistic regression."""
+    """Explicit second-order crosses in a sparse vector, and logistic regression."""
     train, test = stored_features(spark, sf)
-    return _scored(_linear(train).fit(train), test)
+    model, facts = _linear(crossed(train, train, "clicked"))
+    scored = learners.score(model, crossed(train, test, "id", "clicked"), keep=("clicked",))
+    return _shown(scored, facts["loss"] < facts["constant"], "clicked")
 
 
 @query("factor_machine", LATER)
 def factor_machine(spark, sf):
+    """Second-order crosses through factor vectors, on standardised numbers and hashed categories."""
     train, test = stored_features(spark, sf)
-    numeric, categories = inputs_of(train)
-    return _scored(learners.factor_machine(numeric, categories).fit(train), test)
-
-
-_TRAINED: dict[tuple[str, str], tuple] = {}
+    numeric, indices = inputs_of(train)
+    scale = crosses.scale_of(train, numeric)
+    inputs = lambda df, *keep: crosses.crossed_vectors(df, scale, indices, (), keep, buckets=1 << 12)
+    rows = inputs(train, "clicked").persist()
+    model = learners.factor_learner().fit(rows)
+    right = F.when(F.col("clicked") == 1, F.col("pred")).otherwise(1 - F.col("pred"))
+    loss = learners.positive_probability(model.transform(rows)).agg(F.avg(-F.log(F.greatest(right, F.lit(metrics.EPS))))).first()[0]
+    learned = loss < boosting.class_rate_loss(rows)
+    rows.unpersist()
+    return _shown(learners.score(model, inputs(test, "id", "clicked"), keep=("clicked",)), learned, "clicked")
 
 
 def _cross_validated(spark, sf):
-    """Fold models, out-of-fold rows, scores and later rows; trained once in a session, since four queries show a part each."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        _TRAINED[key] = _train_folds(spark, sf)
-    return _TRAINED[key]
-
-
-def _train_folds(spark, sf):
-    """Five folds of set-up B (balanced weights and noise inside the fold, early stopping on it) and of the linear model."""
+    """Runs, out-of-fold rows and later predictions by fold of set-up B and the crossed linear model; models and out-of-fold rows are stored."""
     train, test = stored_features(spark, sf)
-    numeric, _ = inputs_of(train)
-    estimators = {
-        "trees": _trees(train, "b", "weight", validation="is_validation", maxIter=3),
-        "linear": _linear(train),
+    runs = dict(zip(("b", "linear"), side_by_side(spark, lambda f: f(), [lambda: boosted_runs(spark, sf, "b"), lambda: linear_runs(spark, sf)])))
+    models = _models(runs["linear"])
+    path = f"{model_root(spark, sf, 'tree')}/out_of_fold"
+    if not tables.exists(spark, f"{path}/_SUCCESS"):
+        trees = boosted_scores(spark, sf, "b", runs["b"], False, ("id", "clicked", "fold"), own="fold").withColumn("model", F.lit("b"))
+        linear = learners.out_of_fold(crossed(train, train, "id", "clicked", "fold"), models, "linear")
+        trees.unionByName(linear).write.mode("overwrite").parquet(path)
+    wide = {
+        "b": boosted_scores(spark, sf, "b", runs["b"], True, ("id",)),
+        "linear": learners.fold_score_wide(crossed(train, test, "id"), models),
     }
-    prepare = {"trees": training.fold_rows(numeric, "balanced"), "linear": training.fold_rows(numeric)}
-    models, oof, scores = training.cross_validate(train, estimators, folds.FOLDS, prepare=prepare, validation={"trees": "is_validation"})
-    return models, oof, scores, test
+    return runs, spark.read.parquet(path), wide
 
 
-@query("oof_frame", OUT_OF_FOLD.replace("SELECT id, clicked", "SELECT unnest(['trees', 'linear']) AS model, id, clicked"))
+@query("oof_frame", OUT_OF_FOLD)
 def oof_frame(spark, sf):
     """Out-of-fold predictions of two learners over five folds."""
-    _, oof, _, _ = _cross_validated(spark, sf)
-    return _shown(oof, "clicked", "fold", "model")
+    _, oof, _ = _cross_validated(spark, sf)
+    return oof.select("model", "id", "clicked", F.col("fold").cast("int").alias("fold"), F.col("pred").between(0, 1).alias("in_range"))
 
 
 @query("cv_scores", """
-SELECT model, CAST(fold AS INTEGER) AS fold, true AS measured
-FROM (SELECT unnest(['trees', 'linear']) AS model) m, (SELECT unnest(range(0, 6)) AS fold) f""")
+SELECT model, CAST(fold AS INTEGER) AS fold, true AS measured, true AS learned
+FROM (SELECT unnest(['b', 'linear']) AS model) m, (SELECT unnest(range(0, 6)) AS fold) f""")
 def cv_scores(spark, sf):
     """The scores of each fold of the cross-validated learners, and of all rows as fold 0."""
-    _, _, scores, _ = _cross_validated(spark, sf)
-    return scores.select("model", F.col("fold").cast("int").alias("fold"), (F.col("ap").between(0, 1) & (F.col("wll") > 0)).alias("measured"))
+    runs, oof, _ = _cross_validated(spark, sf)
+    scores = metrics.fold_metrics(oof)
+    measured = (F.col("ap").between(0, 1) & (F.col("wll") > 0)).alias("measured")
+    return scores.select("model", F.col("fold").cast("int").alias("fold"), measured, F.lit(_learned(*runs.values())).alias("learned"))
 
 
 @query("fold_score", LATER_FOLDS)
 def fold_score(spark, sf):
     """Every later row scored by each fold model of one learner."""
     train, test = stored_features(spark, sf)
-    models = learners.fit_folds(train, _linear(train), prepare=training.fold_rows(inputs_of(train)[0]))
-    return _shown(learners.fold_score(test, models, "linear"), "model", "fold")
+    runs = linear_runs(spark, sf)
+    scored = learners.fold_score(crossed(train, test, "id"), _models(runs), "linear")
+    return _shown(scored, _learned(runs), "model", "fold")
 
 
 @query("train_score_blend", LATER_IDS)
 def train_score_blend(spark, sf):
     """Five folds of two learners, performance weights kept as a table, fold medians and the blend of later days."""
-    models, oof, _, test = _cross_validated(spark, sf)
+    runs, oof, wide = _cross_validated(spark, sf)
     weights = ensemble.perf_weights(metrics.competition_score(oof, by=["model"]))
     weights = artefacts.save_table(weights, fresh(spark, "weights"), "blend")
-    return _shown(training.score_and_blend(test, models, weights), pred="clicked")
+    return _shown(training.blend_folds(wide, weights), _learned(*runs.values()), pred="clicked")
 
 
 @query("stacking", LATER_IDS)
 def stacking(spark, sf):
     """Logistic regression over the out-of-fold columns, applied to the later days."""
-    models, oof, _, test = _cross_validated(spark, sf)
-    later = None
-    for name, fold_models in models.items():
-        mean = ensemble.fold_mean(learners.fold_score(test, fold_models, name))
-        later = mean if later is None else later.unionByName(mean)
-    return _shown(learners.stack(oof, later, list(models)), pred="clicked")
+    runs, oof, wide = _cross_validated(spark, sf)
+    later = training.joined_folds(wide, how="mean")
+    return _shown(learners.stack(oof, later, list(wide)), _learned(*runs.values()), pred="clicked")
+
+
+@query("area_under_curve", f"""WITH {TIED},
+runs AS (SELECT s, count(*) AS n, sum(y) AS tp FROM tied GROUP BY s),
+cum AS (SELECT s, tp, n - tp AS fp, sum(tp) OVER (ORDER BY s DESC) AS cum_tp FROM runs)
+SELECT round(sum(fp * (cum_tp - tp / 2.0::DOUBLE)) / (sum(tp) * sum(fp)), 9) AS auc FROM cum""")
+def area_under_curve(spark, sf):
+    """The area under the ROC curve of scores with many ties."""
+    return metrics.area_under_curve(tied_predictions(spark, sf), "y", "s").select(r("auc", 9))
 
 
 @query("sigmoid", """

@@ -6,12 +6,14 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import TWO_32, keyed_hash32
 from ..operators import ensemble, learners, metrics
 from ..operators.folds import FOLDS, SEED, assign_folds, class_weights, fixed_class_weight, fold_cuts, inject_noise, with_class_weight
-from ..session import cut_lineage
+from ..session import cut_lineage, side_by_side
+from ..sources import artefacts
 
 
 def with_folds(df: DataFrame, key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED) -> DataFrame:
@@ -20,11 +22,11 @@ def with_folds(df: DataFrame, key: str = "id", label: str = "clicked", k: int =
 
 
 def fold_rows(
-    noisy: Sequence[str] = (), weighting: str | float | None = None, key: str = "id", label: str = "clicked", fold: str = "fold"
+    noisy: Sequence[str] = (), weighting: str | float | None = None, key: str = "id", label: str = "clicked", fold: str = "fold", weigh_held: bool = True
 ) -> Callable[[DataFrame, int], DataFrame]:
     """How a fold prepares its rows: class weights counted on its training rows, noise on those rows only.
 
-    ``weighting`` is a mode of ``folds.class_weights``, a fixed weight of the positive class, or None.
+    ``weighting`` is a mode of ``folds.class_weights``, a fixed weight of the positive class, or None. Without ``weigh_held`` the held-out rows weigh 1.
     """
 
     def prepare(df: DataFrame, k: int) -> DataFrame:
@@ -33,11 +35,36 @@ def fold_rows(
             df = with_class_weight(df, class_weights(df.where(seen), label, weighting), label)
         elif weighting is not None:
             df = fixed_class_weight(df, weighting, label)
+        if weighting is not None and not weigh_held:
+            df = df.withColumn("weight", F.when(seen, F.col("weight")).otherwise(F.lit(1.0)))
         return inject_noise(df, noisy, k, key, where=seen)
 
     return prepare
 
 
+def labelled_sample(df: DataFrame, most: int, key: str = "id", seed: int = SEED) -> DataFrame:
+    """All rows of a stored table, or about ``most`` of them, chosen by a seeded hash of the key: a bound on what a learner is fitted to."""
+    n = df.count()
+    return df if n <= most else df.where(keyed_hash32(key, "sample", seed) < F.lit(int(TWO_32 * most / n)))
+
+
+def train_folds(
+    spark: SparkSession, root: str, name: str, fit: Callable[[int, str], Mapping[str, float]], folds: int = FOLDS
+) -> dict[int, Row]:
+    """Train the fold models that ``root`` does not hold yet, side by side; <fold: run row with path and facts>.
+
+    ``fit(k, path)`` writes the model of fold k to the path. Each model is recorded as it ends, so a second start goes on where the first one stopped.
+    """
+    known = artefacts.fold_runs(spark, root, name)
+
+    def one(k: int) -> None:
+        path = f"{root}/models/{name}_fold{k}"
+        artefacts.record_fold(spark, root, name, k, path, fit(k, path))
+
+    side_by_side(spark, one, [k for k in range(1, folds + 1) if k not in known])
+    return artefacts.fold_runs(spark, root, name)
+
+
 def cross_validate(
     train: DataFrame, estimators: Mapping[str, Estimator], folds: int = FOLDS, key: str = "id", label: str = "clicked",
     prepare: Mapping[str, Callable[[DataFrame, int], DataFrame]] | None = None, validation: Mapping[str, str] | None = None,
@@ -56,6 +83,21 @@ def cross_validate(
     return models, oof, metrics.fold_metrics(oof, label)
 
 
+def joined_folds(wide: Mapping[str, DataFrame], key: str = "id", how: str = "median") -> DataFrame:
+    """<key, model, pred>: the fold predictions ``pred_1``, ``pred_2``, ... of each learner joined by median (or mean), without a shuffle."""
+    parts = []
+    for name, df in wide.items():
+        cols = [c for c in df.columns if c.startswith("pred_")]
+        joined = ensemble.median_of(cols) if how == "median" else reduce(lambda a, b: a + b, map(F.col, cols)) / len(cols)
+        parts.append(df.select(key, F.lit(name).alias("model"), joined.alias("pred")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def blend_folds(wide: Mapping[str, DataFrame], weights: DataFrame, key: str = "id", how: str = "median") -> DataFrame:
+    """<key, clicked>: the folds of each learner joined, then the learners blended by weight."""
+    return ensemble.blend_long(joined_folds(wide, key, how), weights, key)
+
+
 def score_and_blend(
     test: DataFrame, models: Mapping[str, Mapping], weights: DataFrame, key: str = "id", how: str = "median"
 ) -> DataFrame:
@@ -63,10 +105,4 @@ def score_and_blend(
 
     The fold models of one learner score side by side, so the fold step needs no shuffle.
     """
-    parts = []
-    for name, fold_models in models.items():
-        wide = learners.fold_score_wide(test, fold_models, key)
-        cols: Sequence[str] = [c for c in wide.columns if c.startswith("pred_")]
-        joined = ensemble.median_of(cols) if how == "median" else reduce(lambda a, b: a + b, map(F.col, cols)) / len(cols)
-        parts.append(wide.select(key, F.lit(name).alias("model"), joined.alias("pred")))
-    return ensemble.blend_long(reduce(DataFrame.unionByName, parts), weights, key)
+    return blend_folds({name: learners.fold_score_wide(test, each, key) for name, each in models.items()}, weights, key, how)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Runtime settings that the wide feature tables rely on. Feature projections have
@@ -47,18 +50,26 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="clickloom-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clickloom-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut_lineage(df):
     """Write ``df`` to the shared folder and go on from the written copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable, threads: int = 8) -> list:
+    """``work(item)`` for each item, in driver threads that share the session's job group; results in order.
+
+    For jobs that are many and small each, like the rounds of fold models, whose tasks then fill the cluster together.
+    """
+    items = list(items)
+    if len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPoolExecutor(min(threads, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import exists
+
 
 def save_model(model: MLWritable, root: str, name: str, fold: int) -> str:
     path = f"{root}/{name}_fold{fold}"
@@ -33,6 +37,23 @@ def record_run(spark: SparkSession, root: str, name: str, path: str) -> None:
     row.write.mode("append").parquet(f"{root}/runs")
 
 
+def record_fold(spark: SparkSession, root: str, name: str, fold: int, path: str, facts: Mapping[str, float]) -> None:
+    """Append a row for a fold model to the run table, in a part of its own, so that folds that end together do not meet."""
+    known = [F.lit(float(v)).alias(k) for k, v in facts.items()]
+    row = spark.range(1).select(F.lit(path).alias("path"), *known, F.current_timestamp().alias("created_at"))
+    row.write.mode("append").parquet(f"{root}/runs/name={name}/fold={fold}")
+
+
+def fold_runs(spark: SparkSession, root: str, name: str) -> dict[int, Row]:
+    """The newest run of each fold of a learner: what is trained already. One small row for each fold."""
+    place = f"{root}/runs/name={name}"
+    if not exists(spark, place):
+        return {}
+    runs = spark.read.option("basePath", f"{root}/runs").parquet(place)
+    newest = runs.groupBy("fold").agg(F.max_by(F.struct(*runs.columns), "created_at").alias("run"))
+    return {r.fold: r.run for r in newest.collect()}
+
+
 def latest(runs: DataFrame, by: str = "name", path: str = "path", created: str = "created_at") -> DataFrame:
     """The newest path per name."""
     return runs.groupBy(by).agg(F.max_by(path, F.struct(created, path)).alias(path))
