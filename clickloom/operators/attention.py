@@ -38,7 +38,11 @@ def attention_weights(
 
 def _weights(bag: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Weights of <key, _candidate, item>; vectors stay behind once they are scored."""
-    counted = bag.groupBy(key, "_candidate", "item").agg(F.count("item").alias("times"))
+    return bag_weights(bag.groupBy(key, "_candidate", "item").agg(F.count("item").alias("times")), vectors, key)
+
+
+def bag_weights(counted: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
+    """<key, item, times, score, weight> of counted histories <key, _candidate, item, times>, as :func:`attention_weights` gives them."""
     wanted = vectors.select(F.col("item").alias("_candidate"), F.col("vec").alias("_cvec"))
     met = counted.join(wanted, "_candidate", "left").join(vectors.select("item", "vec"), "item", "left")
     score = F.when(F.col("vec").isNull(), F.lit(MASKED_SCORE)).otherwise(F.coalesce(dot(F.col("_cvec"), F.col("vec")), F.lit(0.0)))
@@ -54,10 +58,11 @@ def attention_pool_join(
     df: DataFrame, vectors: DataFrame, key: str = "id", seq: str = "seq", candidate: str = "candidate"
 ) -> DataFrame:
     """<key, pooled> for vector tables of any size; a row whose whole history is masked or missing gives zeros."""
-    return _pooled(attention_weights(df, vectors, key, seq, candidate), vectors, key)
+    return pooled(attention_weights(df, vectors, key, seq, candidate), vectors, key)
 
 
-def _pooled(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def pooled(weights: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
+    """<key, pooled>: the weighted means of <key, item, weight>."""
     width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
     met = weights.join(vectors.select("item", F.col("vec").cast("array<double>").alias("vec")), "item", "left")
     vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), width))
@@ -66,14 +71,14 @@ def _pooled(weights: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def pool_function(matrix: np.ndarray, spark):
-    """An Arrow function (codes, candidate code) -> pooled vector over whole batches.
+    """An Arrow function (codes, candidate code, times) -> pooled vector over whole batches; ``times`` counts each code.
 
     ``matrix`` holds one row per code; row 0 is padding. A slice of rows is
     worked on at a time, so that memory follows the slice and not the batch.
     """
     shared = spark.sparkContext.broadcast(matrix)
 
-    def pool(codes: pa.Array, candidate: pa.Array) -> pa.Array:
+    def pool(codes: pa.Array, candidate: pa.Array, times: pa.Array) -> pa.Array:
         vectors = shared.value
         wanted = candidate.fill_null(0).to_numpy(zero_copy_only=False)
         out = np.zeros((len(codes), vectors.shape[1]))
@@ -81,15 +86,17 @@ def pool_function(matrix: np.ndarray, spark):
             part = codes.slice(at, ROWS_AT_ONCE)
             flat = part.flatten().to_numpy(zero_copy_only=False)
             sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            counts = times.slice(at, ROWS_AT_ONCE).flatten().to_numpy(zero_copy_only=False)
             # A missing or empty history is one unknown item.
-            flat = np.insert(flat, (np.cumsum(sizes) - sizes)[sizes == 0], 0)
+            blank = (np.cumsum(sizes) - sizes)[sizes == 0]
+            flat, counts = np.insert(flat, blank, 0), np.insert(counts, blank, 1)
             sizes = np.maximum(sizes, 1)
             starts = np.cumsum(sizes) - sizes
             history = vectors[flat]
             asked = vectors[wanted[at : at + ROWS_AT_ONCE]]
             score = np.einsum("ij,ij->i", history, np.repeat(asked, sizes, axis=0))
             score[flat == 0] = MASKED_SCORE
-            raised = np.exp(score - np.repeat(np.maximum.reduceat(score, starts), sizes))
+            raised = counts * np.exp(score - np.repeat(np.maximum.reduceat(score, starts), sizes))
             weight = raised / np.repeat(np.add.reduceat(raised, starts), sizes)
             out[at : at + ROWS_AT_ONCE] = np.add.reduceat(weight[:, None] * history, starts, axis=0)
         offsets = np.arange(0, out.size + 1, vectors.shape[1], dtype=np.int32)
@@ -112,9 +119,9 @@ def vector_matrix(vectors: DataFrame, limit: int = MATRIX_BYTES) -> np.ndarray |
 
 def attention_pool(
     df: DataFrame, vectors: DataFrame, key: str = "id", codes: str = "codes", candidate: str = "candidate_code",
-    limit: int = MATRIX_BYTES,
+    limit: int = MATRIX_BYTES, times: str | None = None,
 ) -> DataFrame:
-    """<key, pooled> from encoded histories and candidates.
+    """<key, pooled> from encoded histories and candidates. With ``times`` the codes come once each, with their counts.
 
     ``vectors`` is <idx, vec> with dense indices from 1, as the vocabulary gives
     them. Up to ``limit`` measured bytes they are sent to the tasks and the rows are not shuffled; beyond
@@ -123,8 +130,12 @@ def attention_pool(
     matrix = vector_matrix(vectors, limit)
     if matrix is None:
         named = vectors.select(F.col("idx").cast("string").alias("item"), "vec")
-        item = F.explode_outer(F.col(codes).cast("array<string>")).alias("item")
-        bag = df.select(key, F.col(candidate).cast("string").alias("_candidate"), item)
-        return _pooled(_weights(bag, named, key), named, key)
+        pair = F.explode_outer(F.arrays_zip(F.col(codes).cast("array<string>").alias("item"), F.col(times).alias("times")) if times else F.col(codes).cast("array<string>")).alias("item")
+        bag = df.select(key, F.col(candidate).cast("string").alias("_candidate"), pair)
+        if times:
+            bag = bag.select(key, "_candidate", F.col("item.item").alias("item"), F.coalesce("item.times", F.lit(0)).alias("times"))
+            return pooled(bag_weights(bag, named, key), named, key)
+        return pooled(_weights(bag, named, key), named, key)
     pool = pool_function(matrix, df.sparkSession)
-    return df.select(key, pool(F.col(codes), F.col(candidate)).alias("pooled"))
+    counts = F.col(times) if times else F.transform(codes, lambda _: F.lit(1))
+    return df.select(key, pool(F.col(codes), F.col(candidate), counts).alias("pooled"))

@@ -125,7 +125,12 @@ def seq_vocabulary(
         parts += [
             f.where(F.col(candidate).isNotNull()).select(F.col(candidate).cast("string").alias("item")) for f in frames
         ]
-    found = reduce(DataFrame.unionByName, parts).distinct()
+    return item_vocabulary(reduce(DataFrame.unionByName, parts), legacy)
+
+
+def item_vocabulary(found: DataFrame, legacy: bool = False) -> DataFrame:
+    """<item, idx> of <item>, repeated or not, numbered as :func:`seq_vocabulary` does."""
+    found = found.distinct()
     if not legacy:
         return dense_index(found, ["item"], "idx", start=1)
     zero = found.sparkSession.range(1).select(F.lit("0").alias("item"))
@@ -137,12 +142,15 @@ def seq_encode_join(df: DataFrame, vocabulary: DataFrame, key: str = "id", seq:
 
     Unknown items become 0 and a missing or empty sequence becomes ``[0]``.
     """
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())  # rows may share a key
-    exploded = numbered.select("_row", key, F.posexplode_outer(items(F.nullif(F.col(seq), F.lit("")))).alias("pos", "item"))
+    # rows may share a key: they are told apart by their sequence, and equal rows are counted; a row number would change if a stage were run again
+    told = df.groupBy(key, F.col(seq).alias("_seq")).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    told = told.withColumn("_row", F.xxhash64(F.col("_seq"), F.col("_seq").isNull()))
+    exploded = told.select(key, "_row", "_copies", F.posexplode_outer(items(F.nullif(F.col("_seq"), F.lit("")))).alias("pos", "item"))
     coded = exploded.join(vocabulary.select("item", "idx"), "item", "left")
     pair = F.struct("pos", F.coalesce("idx", F.lit(0)).alias("idx"))
     ordered = F.array_sort(F.collect_list(pair))
-    return coded.groupBy("_row", key).agg(F.transform(ordered, lambda x: x["idx"]).alias("codes")).drop("_row")
+    whole = coded.groupBy(key, "_row", "_copies").agg(F.transform(ordered, lambda x: x["idx"]).alias("codes"))
+    return whole.select(key, F.explode(F.array_repeat("codes", F.col("_copies"))).alias("codes"))
 
 
 def lookup_function(vocabulary: DataFrame, limit: int = BROADCAST_BYTES):

@@ -51,7 +51,7 @@ def fold_cuts(
     buckets that hold a cut are ranked. What comes back to the driver is
     (k - 1) rows per class.
     """
-    hashed = df.select(label, _order_key(key, seed).alias("_hash"))
+    hashed = df.where(F.col(label).isNotNull()).select(label, _order_key(key, seed).alias("_hash"))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, prefix))
     earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
@@ -86,9 +86,9 @@ def _order_key(key: str, seed: int):
 def assign_folds(
     df: DataFrame, cuts: Sequence[tuple], key: str = "id", label: str = "clicked", k: int = FOLDS, seed: int = SEED
 ) -> DataFrame:
-    """Add ``fold`` from the cuts: row-local, so wide rows are not shuffled."""
+    """Add ``fold`` from the cuts: row-local, so wide rows are not shuffled. A row without a label belongs to no fold: null."""
     order = _order_key(key, seed)
-    fold = F.lit(k)
+    fold = F.when(F.col(label).isNotNull(), F.lit(k))
     for value, number, last in sorted(cuts, key=lambda c: (str(c[0]), c[1]), reverse=True):
         fold = F.when((F.col(label) == F.lit(value)) & (order <= F.lit(last)), F.lit(number)).otherwise(fold)
     return df.withColumn("fold", fold)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import sequence as S
-from ...operators import attention, encode
-from ...sources.impressions import impressions, is_train, table, word_sequences
+from ...operators import attention, encode, histories
+from ...session import cut_lineage
+from ...sources.impressions import impressions, table, word_sequences
 from .registry import imp_sql, query, r, with_imp, with_words
 
 LEN = "len(string_split(seq, ','))"
@@ -106,19 +107,20 @@ found AS (
 @query("seq_vocabulary", f"""{VOCABULARY}
 SELECT item, CAST(row_number() OVER (ORDER BY item) AS INTEGER) AS idx FROM found""")
 def seq_vocabulary(spark, sf):
-    """Items of train and test histories and all candidate ads."""
-    rows = impressions(spark, sf, "seq")
-    return encode.seq_vocabulary([rows.where(is_train()), rows.where(~is_train())], "seq", "l_feat_14")
+    """Items of train and test histories and all candidate ads, from events; no history text is built."""
+    return encode.item_vocabulary(_all_items(spark, sf))
+
+
+def _all_items(spark, sf):
+    rows = impressions(spark, sf).select("user_id", "day", F.col("l_feat_14").cast("string").alias("item"))
+    return histories.history_items(rows).unionByName(rows.where(F.col("item").isNotNull()).select("item"))
 
 
 @query("seq_vocabulary_legacy", f"""{VOCABULARY}
 SELECT item, CAST(row_number() OVER (ORDER BY item) - 1 AS INTEGER) AS idx
 FROM (SELECT item FROM found UNION SELECT '0') x""")
 def seq_vocabulary_legacy(spark, sf):
-    rows = impressions(spark, sf, "seq")
-    return encode.seq_vocabulary(
-        [rows.where(is_train()), rows.where(~is_train())], "seq", "l_feat_14", legacy=True
-    )
+    return encode.item_vocabulary(_all_items(spark, sf), legacy=True)
 
 
 WORD_CODES = """
@@ -206,13 +208,9 @@ SELECT id,
   CAST(coalesce(list_position(list_reverse(items), ad), 0) AS INTEGER) AS ad_distance
 FROM (SELECT id, string_split(seq, ',') AS items, CAST(l_feat_14 AS VARCHAR) AS ad FROM imp) x""", "seq"))
 def candidate_match(spark, sf):
-    count = S.candidate_count("seq", "l_feat_14")
-    return impressions(spark, sf, "seq").select(
-        "id",
-        (count > 0).cast("tinyint").alias("ad_seen"),
-        count.alias("ad_count"),
-        S.candidate_distance("seq", "l_feat_14").alias("ad_distance"),
-    )
+    """From counts of each user's items before a day; no history text is built."""
+    rows = impressions(spark, sf)
+    return histories.candidate_match(rows, rows, candidate="l_feat_14", item="l_feat_14")
 
 
 def _item_vectors(spark, sf):
@@ -237,14 +235,20 @@ soft AS (
 weighted AS (SELECT *, raised / sum(raised) OVER (PARTITION BY id) AS weight FROM soft)"""
 
 
+def _histories(spark, sf):
+    """<id, _candidate, item, times>: each impression with the counted items of its user's history; a row without history keeps one row."""
+    rows = impressions(spark, sf).select("id", "user_id", "day", F.col("l_feat_14").cast("string").alias("item"))
+    bag = histories.bags(rows).withColumnRenamed("item", "_item")
+    met = rows.join(bag, ["user_id", "day"], "left")
+    return met.select("id", F.col("item").alias("_candidate"), F.col("_item").alias("item"), F.coalesce("times", F.lit(0)).alias("times"))
+
+
 @query("attention_weights", f"""{ATTENTION}
 SELECT i.id, CAST(count(w.item) AS BIGINT) AS items, CAST(coalesce(sum(times), 0) AS BIGINT) AS times,
   coalesce(round(max(weight), 6), 0) AS max_weight, coalesce(round(sum(weight * score), 4), 0) + 0.0 AS mean_score
 FROM imp i LEFT JOIN weighted w ON w.id = i.id GROUP BY i.id""")
 def attention_weights(spark, sf):
-    weights = attention.attention_weights(
-        impressions(spark, sf, "seq"), _item_vectors(spark, sf), "id", "seq", "l_feat_14"
-    )
+    weights = attention.bag_weights(_histories(spark, sf), _item_vectors(spark, sf))
     return weights.groupBy("id").agg(
         F.count("item").alias("items"),
         F.sum("times").alias("times"),
@@ -263,20 +267,20 @@ SELECT id, CAST(dim AS INTEGER) AS dim, coalesce(round(pooled, 5), 0) + 0.0 AS p
 
 @query("attention_pool_join", POOLED)
 def attention_pool_join(spark, sf):
-    pooled = attention.attention_pool_join(
-        impressions(spark, sf, "seq"), _item_vectors(spark, sf), "id", "seq", "l_feat_14"
-    )
+    vectors = _item_vectors(spark, sf)
+    pooled = attention.pooled(attention.bag_weights(_histories(spark, sf), vectors), vectors)
     return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))
 
 
 @query("attention_pool", POOLED)
 def attention_pool(spark, sf):
-    """History and candidate share one vocabulary: the items that have a vector."""
-    vectors = _item_vectors(spark, sf)
-    vocabulary = vectors.select("item", (F.col("item").cast("int") + 1).alias("idx"))
-    lookup = encode.lookup_function(vocabulary)
-    coded = impressions(spark, sf, "seq").select(
-        "id", lookup(F.col("seq")).alias("codes"), lookup(F.col("l_feat_14").cast("string"))[0].alias("candidate_code")
-    )
-    pooled = attention.attention_pool(coded, vectors.select((F.col("item").cast("int") + 1).alias("idx"), "vec"))
+    """History and candidate share one vocabulary: the items that have a vector. A user's counted items are gathered once for each active day."""
+    vectors = _item_vectors(spark, sf).select((F.col("item").cast("int") + 1).alias("idx"), "item", "vec")
+    known = cut_lineage(vectors.select("item", "idx"))
+    code = F.coalesce("idx", F.lit(0))
+    rows = impressions(spark, sf).select("id", "user_id", "day", F.col("l_feat_14").cast("string").alias("item"))
+    held = histories.item_arrays(histories.bags(rows).join(known, "item", "left"), code)
+    asked = rows.join(known, "item", "left").select("id", "user_id", "day", code.alias("candidate_code"))
+    coded = asked.join(held, ["user_id", "day"], "left")
+    pooled = attention.attention_pool(coded, vectors.select("idx", "vec"), times="times")
     return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))
