@@ -153,8 +153,29 @@ def seq_encode_join(df: DataFrame, vocabulary: DataFrame, key: str = "id", seq:
     return whole.select(key, F.explode(F.array_repeat("codes", F.col("_copies"))).alias("codes"))
 
 
+class Codes:
+    """Codes of items, looked up in a dictionary that each Python worker makes once."""
+
+    def __init__(self, words: pa.Array, index: pa.Array):
+        self.words, self.index, self.known = words, index, None
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.index, None
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.index, self.known = state
+
+    def of(self, found: pa.Array) -> np.ndarray:
+        """The code of each item, 0 for unknown ones; only the distinct items of a batch are looked up."""
+        if self.known is None:
+            self.known = dict(zip(self.words.to_pylist(), self.index.to_pylist()))
+        coded = found.dictionary_encode()
+        of_word = np.array([self.known.get(w, 0) for w in coded.dictionary.to_pylist()] + [0], dtype=np.int32)
+        return of_word[pc.fill_null(coded.indices, len(of_word) - 1).to_numpy(zero_copy_only=False)]
+
+
 def lookup_function(vocabulary: DataFrame, limit: int = BROADCAST_BYTES):
-    """An Arrow function text -> codes with the vocabulary held as one sorted array.
+    """An Arrow function text -> codes with the vocabulary held as a dictionary in each worker.
 
     The vocabulary is measured before it is read; :func:`seq_encode_join` takes any size.
 
@@ -163,22 +184,16 @@ def lookup_function(vocabulary: DataFrame, limit: int = BROADCAST_BYTES):
     if not fits(vocabulary, "item", limit):
         raise ValueError(f"vocabulary above {limit} bytes: use seq_encode_join")
     table = vocabulary.select("item", "idx").toArrow().combine_chunks()
-    known = table.column("item").combine_chunks().cast(pa.string())
-    index = pa.concat_arrays([table.column("idx").combine_chunks().cast(pa.int32()), pa.array([0], pa.int32())])
-    shared = vocabulary.sparkSession.sparkContext.broadcast((known, index))
+    shared = vocabulary.sparkSession.sparkContext.broadcast(Codes(table.column("item").combine_chunks().cast(pa.string()), table.column("idx").combine_chunks().cast(pa.int32())))
 
     def encode(seq: pa.Array) -> pa.Array:
-        words, codes = shared.value
         filled = pc.fill_null(seq, "")
         lists = pc.split_pattern(filled, ",")
-        place = pc.index_in(lists.flatten().cast(pa.string()), value_set=words)
+        codes = shared.value.of(lists.flatten().cast(pa.string()))
         # A missing or empty sequence is one unknown item, even where the vocabulary holds the empty text.
         starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        blank = np.zeros(len(place), dtype=bool)
-        blank[starts[pc.equal(filled, "").to_numpy(zero_copy_only=False)]] = True
-        place = pc.if_else(pa.array(blank), pa.scalar(None, place.type), place)
-        flat = codes.take(pc.fill_null(place, len(words)))
-        return pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), flat)
+        codes[starts[pc.equal(filled, "").to_numpy(zero_copy_only=False)]] = 0
+        return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32()), pa.array(codes))
 
     return F.arrow_udf(encode, "array<int>")
 

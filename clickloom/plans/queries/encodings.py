@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ...operators import encode, learners
+from ...operators import encode, learners, targets
 from ...sources.impressions import impressions, is_train
 from .. import features
 from .registry import query, r, with_imp
@@ -101,3 +101,20 @@ def target_encode(spark, sf):
         df = indexer.fit(df).transform(df)
     df = learners.target_encoding(["inventory_id_idx"]).fit(df).transform(df)
     return df.select("id", r("inventory_id_idx_target", alias="inventory_target"))
+
+
+@query("ordered_target", with_imp("""
+, t AS (SELECT id, clicked, day < DATE '2024-01-25' AS seen, md5(CAST(id AS VARCHAR) || '42') || CAST(id AS VARCHAR) AS o, coalesce(inventory_id, '__MISSING__') AS inv, coalesce(gender, '__MISSING__') AS g FROM imp),
+p AS (SELECT avg(clicked) AS prior FROM t WHERE seen)
+SELECT id, round((CASE WHEN seen THEN coalesce(sum(clicked) FILTER (WHERE seen) OVER inv_before, 0) ELSE coalesce(sum(clicked) FILTER (WHERE seen) OVER inv_all, 0) END + 10 * prior)
+    / (CASE WHEN seen THEN count(*) FILTER (WHERE seen) OVER inv_before ELSE count(*) FILTER (WHERE seen) OVER inv_all END + 10), 9) AS inventory_id_target,
+  round((CASE WHEN seen THEN coalesce(sum(clicked) FILTER (WHERE seen) OVER g_before, 0) ELSE coalesce(sum(clicked) FILTER (WHERE seen) OVER g_all, 0) END + 10 * prior)
+    / (CASE WHEN seen THEN count(*) FILTER (WHERE seen) OVER g_before ELSE count(*) FILTER (WHERE seen) OVER g_all END + 10), 9) AS gender_target
+FROM t, p
+WINDOW inv_before AS (PARTITION BY inv ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), inv_all AS (PARTITION BY inv),
+  g_before AS (PARTITION BY g ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g_all AS (PARTITION BY g)""", "users").replace("\n\n,", ","))
+def ordered_target(spark, sf):
+    """Two categories as running rates of the training rows before each row; later rows get the rate of all training rows."""
+    rows = impressions(spark, sf, "users").select("id", "clicked", "day", "inventory_id", "gender")
+    made = targets.ordered_statistics(rows, ["inventory_id", "gender"], seen=is_train())
+    return made.select("id", r("inventory_id_target", 9), r("gender_target", 9))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...functions import sequence as S
@@ -181,12 +182,10 @@ SELECT id, width,
   least(greatest(len(codes), 1), width) AS seq_len
 FROM wide""")
 def seq_pad_mask(spark, sf):
-    """Batches of 16 rows, each padded to its longest sequence (at most 100)."""
+    """Batches of 16 rows, each padded to its longest sequence (at most 100); encoded once, a batch is its own small window."""
     coded = _word_codes(spark, sf, encode.seq_encode).withColumn("batch", F.floor(F.col("id") / 16))
-    widths = coded.groupBy("batch").agg(
-        F.least(F.max(F.size("codes")), F.lit(S.MAX_ITEMS)).cast("int").alias("width")
-    )
-    rows = coded.join(widths, "batch").withColumn("padded", S.padded("codes", F.col("width")))
+    longest = F.max(F.size("codes")).over(Window.partitionBy("batch"))
+    rows = coded.withColumn("width", F.least(longest, F.lit(S.MAX_ITEMS)).cast("int")).withColumn("padded", S.padded("codes", F.col("width")))
 
     def text(c):
         return F.array_join(c.cast("array<string>"), ",")

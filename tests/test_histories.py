@@ -78,3 +78,24 @@ def test_rows_without_a_label_are_in_no_fold(spark):
     for r in folds.assign_folds(rows, folds.fold_cuts(rows)).groupBy("clicked", "fold").count().collect():
         got[r.clicked][r.fold] = r["count"]
     assert got[None] == {None: 250} and all(max(v.values()) - min(v.values()) <= 1 and len(v) == 5 for c, v in got.items() if c is not None)
+
+
+def test_ordered_statistics_are_running_means(spark):
+    import hashlib
+
+    from clickloom.operators import targets
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot"] * 6 + ["x", "y", None]), rng.choice([0, 1, 1, None]), rng.choice([1, 2, 3])) for i in range(600)] + [(700, "new", None, 2), (701, "only held", 1, 2)]
+    df = spark.createDataFrame(rows, "id long, c string, clicked int, fold int").repartition(5)
+    counted = [r for r in rows if r[2] is not None and r[3] != 2]
+    prior = sum(r[2] for r in counted) / len(counted)
+    order = lambda r: hashlib.md5(f"{r[0]}42".encode()).hexdigest() + str(r[0])
+    wanted = {}
+    for r in rows:
+        past = [o for o in counted if o[1] == r[1] and (r not in counted or order(o) < order(r))]
+        wanted[r[0]] = (sum(o[2] for o in past) + 10 * prior) / (len(past) + 10)
+    for prefix in (1, 3, None):
+        got = {r.id: r.c_target for r in targets.fold_statistics(df, ["c"], 2, prefix=prefix).collect()}
+        assert got == {i: pytest.approx(v, abs=1e-12) for i, v in wanted.items()}
+    assert targets.ordered_statistics(df.where("id < 0"), ["c"]).count() == 0
