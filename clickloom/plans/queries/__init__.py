@@ -14,6 +14,7 @@ from . import (  # noqa: F401
     storage,
     streams,
     temporal,
+    whole_plans,
 )
 from .registry import REGISTRY
 

@@ -165,16 +165,6 @@ def tree_features(spark, sf):
     )
 
 
-@query("tree_features_wide", with_imp("SELECT count(*) AS n_rows, CAST(sum(clicked) AS BIGINT) AS clicks FROM imp", "users"))
-def tree_features_wide(spark, sf):
-    """All columns of the plan kept to the end: rows and clicks survive every step."""
-    df = features.tree_features(impressions(spark, sf, "users", "orders", "history", "seq")).drop("seq")
-    kept = features.fill_missing(df).withColumn("_all", F.xxhash64(*features.feature_columns(df)))
-    return kept.where(F.col("_all").isNotNull()).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("clicked").alias("clicks")
-    )
-
-
 @query("deep_features", with_imp("""
 SELECT id, round(ln(1 + coalesce(history_a_1, 0)), 6) AS history_a_1_log,
   CAST(coalesce(history_a_1 > 0.2::DOUBLE, false) AS TINYINT) AS history_a_1_high,

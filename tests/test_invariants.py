@@ -241,3 +241,13 @@ def test_history_of_a_hot_user_against_brute_force(spark, tmp_path):
 
 def test_frequency_columns_are_the_documented_ones():
     assert FREQUENCY == ("inventory_id", "age_group", "gender")
+
+
+def test_whole_plan_queries_show_every_added_column(spark):
+    from clickloom.plans import features
+    from clickloom.plans.queries import whole_plans as w
+    from clickloom.sources.impressions import impressions
+
+    rows = impressions(spark, "/root/testdata/sf0.001", *w.ALL, "seq")
+    for plan, shown in ((features.tree_features, w.TREE), (features.deep_features, w.DEEP), (features.two_stage_features, w.TWO_STAGE)):
+        assert set(plan(rows).columns) - set(rows.columns) <= set(shown)
