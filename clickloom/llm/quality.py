@@ -80,13 +80,28 @@ def repeated_words(items: Column, width: int = WINDOW) -> Column:
         return F.aggregate(let(placed, places), start, step, lambda a: a["n"])
 
     n = F.size(items)
-    windows = F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: F.xxhash64(F.slice(items, i, width)))
+    # each word is hashed once, a window's hash is that of its words' hashes
+    windows = let(F.transform(items, lambda w: F.xxhash64(w)), lambda each: F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: F.xxhash64(F.slice(each, i, width))))
     some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
     return F.when(n > width, some).otherwise(F.lit(0))
 
 
+def occurrences(items: Column, common: Column) -> Column:
+    """How often each word of ``common`` is among the words, in lower case: each word stands between two blanks of its own, and what its removal shortens is counted."""
+    framed = F.lower(F.concat(F.lit(" "), F.array_join(items, "  "), F.lit(" ")))
+
+    def counts(text: Column) -> Column:
+        def count(c: Column) -> Column:
+            word = F.concat(F.lit(" "), c, F.lit(" "))
+            return F.call_function("div", F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit(""))), F.octet_length(word))
+
+        return F.transform(common, count)
+
+    return let(framed, counts)
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Add to <t, ...> the counts of the base rules and base_failed."""
+    """Add to <t, ...> the counts of the base rules, base_failed and the words."""
     df = with_classes(docs).withColumn("_w", words(F.col("t"))).withColumn("n_words", F.size("_w").cast("long"))
     df = df.withColumn("n_repeat_words", repeated_words(F.col("_w")).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -99,6 +114,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         duplicate_lines(F.col("t")).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
+        "_w",
     )
 
 
@@ -148,9 +164,8 @@ def _judged(docs: DataFrame, char_limit: float, word_limit: float) -> DataFrame:
     verdicts need the counts only.
     """
     listed = stored(common_words(docs), "common-words")
-    df = base_counts(docs).join(listed, "lang_key", "left").withColumn("_lower", words(F.lower("t")))
-    found = F.transform("common", lambda c: (F.size("_lower") - F.size(F.array_remove("_lower", c))).cast("long"))
-    counted = stored(df.withColumn("found", found).drop("t", "_lower", "common"), "counted")
+    df = base_counts(docs).join(listed, "lang_key", "left")
+    counted = stored(df.withColumn("found", occurrences(F.col("_w"), F.col("common"))).drop("t", "_w", "common"), "counted")
     df = counted.join(stored(references(counted), "references"), "lang_key", "left")
     size = F.col("c_space") + F.col("word_chars")
     p_char = F.array(*[F.col(f"c_{c}") / size for c in CLASSES])
