@@ -25,8 +25,11 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from .common import by_row, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone", "identifier")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is found from its @: the longest local part before it that the address before has left, and the domain after it.
+LOCAL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+#: A match can start at the start of a run of digits only, so no run is tried twice.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LATER = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
@@ -52,13 +55,27 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses as <start, end>, in time linear in the text."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL_CHARACTERS:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", max(at + 1, free))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """<start, kind number, end> of the rules' matches, ordered by start, then kind."""
     spans = []
     if "@" in text:
-        spans += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        spans += [(s, 0, e) for s, e in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             spans.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
