@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .encoding import byte_pairs
+from .encoding import byte_pairs, ordinary_ids
 
 RULES = ("first", "last", "share")
 LINE = 10
@@ -75,7 +75,7 @@ def section_tokens(docs: DataFrame, ranks: str, rule: str = "first") -> DataFram
                 text = cell.as_py() or ""
                 data = text.encode()
                 starts = section_starts(data)
-                ends = np.cumsum(lengths[np.array(model.encode_ordinary(text), dtype=np.int64)])
+                ends = np.cumsum(lengths[np.array(ordinary_ids(model, text), dtype=np.int64)])
                 counts = allocate(ends, starts, len(data), rule)
                 if len(data) != len(text):
                     chars = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))

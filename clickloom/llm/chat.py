@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .encoding import byte_pairs
+from .encoding import byte_pairs, ordinary_ids
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -60,8 +60,8 @@ def format_turns(turns: DataFrame, ranks: str, loss_role: str = LOSS_ROLE) -> Da
         for batch in batches:
             ids, before, inside = [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text")):
-                head = [start, *model.encode_ordinary(escape_role(role or "") + "\n")]
-                body = model.encode_ordinary(escape(text.as_py() or ""))
+                head = [start, *ordinary_ids(model, escape_role(role or "") + "\n")]
+                body = ordinary_ids(model, escape(text.as_py() or ""))
                 ids.append(np.array([*head, *body, stop, *line], dtype=np.int32))
                 before.append(len(head))
                 inside.append(len(body) if role == loss_role else 0)

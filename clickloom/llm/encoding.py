@@ -8,6 +8,8 @@ import re
 import numpy as np
 
 CHUNKS = 1_000_000
+#: Runs of white space, as the byte-level pattern knows it, that are too long for the pattern's engine.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 STOPS = re.compile(rb"(?<=[a-z])([.,]+)(?=[\s]|$)")
 _READY: dict[str, ChunkEncoder] = {}
 
@@ -78,3 +80,18 @@ def byte_pairs(path: str, specials: tuple[str, ...] = ()):
         free = max(ranks.values()) + 1
         _READY[key] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={s: free + i for i, s in enumerate(specials)})
     return _READY[key]
+
+
+def ordinary_ids(model, text: str) -> list[int]:
+    """The ids of a text without special tokens, also of texts with very long runs of white space.
+
+    The pattern takes a run but for its last character, or all of a run that ends the text, as one piece; the search of so long a piece overflows
+    the engine's stack, so it is cut out here and merged as the piece that it is.
+    """
+    ids, start = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += model.encode_ordinary(text[start : run.start()])
+        ids += model._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + model.encode_ordinary(text[start:])
