@@ -57,6 +57,18 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def window_hashes(each: Column, width: int) -> Column:
+    """A hash for each window of ``width`` (a power of two) hashes: those of windows half as long, two by two."""
+
+    def paired(half: Column, step: int) -> Column:
+        n = F.greatest(F.size(half) - F.lit(step), F.lit(0))
+        return F.zip_with(F.slice(half, F.lit(1), n), F.slice(half, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    if width == 1:
+        return each
+    return let(window_hashes(each, width // 2), lambda half: paired(half, width // 2))
+
+
 def repeated_words(items: Column, width: int = WINDOW) -> Column:
     """Words that lie in a window of ``width`` words found at least twice.
 
@@ -80,24 +92,16 @@ def repeated_words(items: Column, width: int = WINDOW) -> Column:
         return F.aggregate(let(placed, places), start, step, lambda a: a["n"])
 
     n = F.size(items)
-    # each word is hashed once, a window's hash is that of its words' hashes
-    windows = let(F.transform(items, lambda w: F.xxhash64(w)), lambda each: F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: F.xxhash64(F.slice(each, i, width))))
+    windows = let(F.transform(items, lambda w: F.xxhash64(w)), lambda each: window_hashes(each, width))
     some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
     return F.when(n > width, some).otherwise(F.lit(0))
 
 
 def occurrences(items: Column, common: Column) -> Column:
-    """How often each word of ``common`` is among the words, in lower case: each word stands between two blanks of its own, and what its removal shortens is counted."""
-    framed = F.lower(F.concat(F.lit(" "), F.array_join(items, "  "), F.lit(" ")))
-
-    def counts(text: Column) -> Column:
-        def count(c: Column) -> Column:
-            word = F.concat(F.lit(" "), c, F.lit(" "))
-            return F.call_function("div", F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit(""))), F.octet_length(word))
-
-        return F.transform(common, count)
-
-    return let(framed, counts)
+    """How often each word of ``common`` is among the words, in lower case; one pass leaves the common ones, on which each is counted."""
+    lower = F.split(F.lower(F.array_join(items, " ")), " ")
+    count = lambda found: F.transform(common, lambda c: (F.size(found) - F.size(F.array_remove(found, c))).cast("long"))
+    return let(F.filter(lower, lambda w: F.array_contains(common, w)), count)
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
