@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ...functions import temporal
 from ...operators import encode, ensemble
 from ...session import configure, shared_dir
 from ...sources import artefacts, cache, tables
@@ -116,3 +117,20 @@ def latest_artefact(spark, sf):
         F.col("o_orderdate").alias("created_at"),
     )
     return artefacts.latest(runs)
+
+
+@query("feature_parts", """
+SELECT event_id AS id, CAST(hour(ts) IN (2, 3, 4) AS TINYINT) AS is_dawn, CAST(isodow(ts) = 2 AS TINYINT) AS is_tuesday, CAST(isodow(ts) IN (6, 7) AS TINYINT) AS is_weekend FROM events""")
+def feature_parts(spark, sf):
+    """Row-local features kept for each file of the input, read by a second run."""
+    def build(rows):
+        hour, day = F.hour("ts"), F.weekday("ts") + 1
+        flags = {"is_dawn": temporal.is_dawn(hour), "is_tuesday": temporal.is_tuesday(day), "is_weekend": temporal.is_weekend(day, "sat_sun")}
+        return rows.select(cache.PART, F.col("event_id").alias("id"), *[c.alias(n) for n, c in flags.items()])
+
+    def stop(rows):
+        raise AssertionError("nothing is computed twice")
+
+    root = fresh(configure(spark), "parts")
+    cache.part_cache(spark, build, DEFAULT, f"{sf}/events.parquet", root)
+    return cache.part_cache(spark, stop, DEFAULT, f"{sf}/events.parquet", root)

@@ -184,3 +184,25 @@ def test_crossed_vectors_take_nulls_as_the_mean(spark):
     assert got[1][0] == -1.0 and got[4][0] == 1.0 and got[2][0] == got[3][0] == 0.0
     assert got[1].numNonzeros() == 3 and got[3].numNonzeros() == 1 and set(got[3].indices) < set(got[1].indices)
     assert crosses.crossed_vectors(df.where("id > 9"), {"x": (2.0, 1.0)}, ["c"]).count() == 0
+
+
+def test_parts_are_computed_once_for_each_file(spark, tmp_path):
+    from clickloom.sources import cache
+
+    path, root, seen = f"{tmp_path}/in put", f"{tmp_path}/kept", []
+
+    def build(rows):
+        seen.append(rows.count())
+        return rows.select(cache.PART, "id", (F.col("id") * 2).alias("twice"))
+
+    def features():
+        return sorted(tuple(r) for r in cache.part_cache(spark, build, {"features": {"v": 1}}, path, root).collect())
+
+    spark.range(10).coalesce(1).write.parquet(path)
+    assert features() == [(i, 2 * i) for i in range(10)] and features() == [(i, 2 * i) for i in range(10)] and seen == [10]
+    spark.range(10, 13).coalesce(1).write.mode("append").parquet(path)
+    assert features() == [(i, 2 * i) for i in range(13)] and seen == [10, 3]
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(path)
+    assert features() == [(i, 2 * i) for i in range(5)] and seen == [10, 3, 5]
+    cache.part_cache(spark, build, {"features": {"v": 2}}, path, root)
+    assert seen == [10, 3, 5, 5]
