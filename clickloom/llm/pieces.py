@@ -1,18 +1,19 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text's words (cuts are made wherever no piece can lie across) are encoded once for the whole corpus. For each distinct word the
-substrings up to the longest piece are exploded and joined by equality to the piece table; the edges found are grouped by word and folded with
-higher-order aggregates. For unigram models the fold is Viterbi's. For BPE models, whose scores are merge ranks, the best path is not
-what the model says; there the fold merges the best pair of neighbours until none is left, over a bit mask of the cuts
-that are open. Characters without a piece become byte pieces.
+A text's words (cuts are made wherever no piece can lie across) meet the piece table by equality: the substrings of a word that can be pieces are exploded, their lengths bounded by
+the pieces that begin alike, and joined to the table; the edges found are grouped by word and folded with higher-order aggregates. For unigram models the fold is Viterbi's. For BPE models, whose scores are
+merge ranks, the best path is not what the model says; there the fold takes the edges in the order of their ranks and merges over a bit mask of the open cuts. One
+pass is enough: a piece that its own merges give is complete before its rank comes, whatever stands beside it, and no other piece ever arises (``piece_ranks`` leaves those out). Characters without a piece become byte pieces.
 
-The words' ids go back to the texts in two ways. The most used words, COMMON at most and LONG characters at most each whatever the corpus, are
-looked up by the tasks that read the texts. The other words, each of which is rare, are joined by equality and put in the places left open.
+The most used words, COMMON at most whatever the corpus, are counted over all texts, encoded once and looked up by the tasks that read the texts. The other words, each of which is rare, stay where their text is read: the
+task hands on one row for the text and one for each rare word, explode and broadcast join keep them in place and in order, and rows that follow each other are grouped without a shuffle. Every row
+carries its number, and the functions that group stop with an error if the order was ever lost. So neither texts nor ids move between tasks, and a hot word is in no task more than once.
 
-The piece table is broadcast: it has MAX_PIECES rows at most, whatever the corpus. Words longer than LONG characters (lines without spaces) are
-merged by the same rule in a Python function, with a heap, since the mask has 63 bits and a fold's work grows with the square of a word.
+The piece table is broadcast: it has MAX_PIECES rows at most, whatever the corpus. Words longer than LONG characters (lines without spaces) are folded by the same rule in a
+Python function, since the mask has 63 bits.
 
-Defined results. Null and empty texts have no ids. Repeated rows each give a row. Texts may hold any character; decoding gives back the text.
+Defined results. Null and empty texts have no ids. Repeated rows each give a row, empty tables none; columns other than doc_id and text are not looked at. Texts may hold any character and be of any length; ties between equal merges go to the left, ties between
+paths to the longer last piece. Decoding gives back the text, with a space for every mark.
 """
 
 from __future__ import annotations
@@ -20,23 +21,26 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_row, let, stored, text_key
+from .common import let, stored
 
 MARK = "▁"
 LONG = 60
 MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
 COMMON = 1 << 17
-#: Distinct words that a task holds before it hands on their counts.
+#: Distinct words that a task holds before it hands on their counts, and the length up to which it holds a stretch between spaces.
 HELD_WORDS = 1 << 18
+HELD_LENGTH = 200
+#: Characters by which the lengths of the pieces that begin alike are found.
+PREFIX = 3
 #: Steps of the logarithm of a word's uses among which the least use of a common word is chosen.
 USE_STEPS = 16
 
@@ -59,8 +63,30 @@ def piece_scores(path: str) -> dict[str, tuple[int, float]]:
     return {p: (i, s) for p, i, s in vocabulary(path)[0]}
 
 
+@lru_cache
+def piece_ranks(path: str) -> dict[str, int]:
+    """Rank of each piece of several characters that its own merges give; the best score has rank 0."""
+    plain, byte = vocabulary(path)
+    places = {score: rank for rank, score in enumerate(sorted({s for *_, s in plain}, reverse=True))}
+    known = piece_scores(path)
+    return {p: places[s] for p, i, s in plain if len(p) > 1 and merge_long(p, known, byte) == [i]}
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(pd.DataFrame(vocabulary(path)[0], columns=["piece", "id", "score"])).select("piece", F.col("id").cast("int").alias("id"), "score"))
+    """<piece, rank, cost>: cost is the score's negative, rank null for pieces that no merges give."""
+    rows = [(p, piece_ranks(path).get(p), -s) for p, _, s in vocabulary(path)[0]]
+    return F.broadcast(spark.createDataFrame(rows, "piece string, rank long, cost double"))
+
+
+def prefix_table(spark: SparkSession, path: str, shortest: int) -> DataFrame:
+    """<prefix, sizes>: the lengths from ``shortest`` on of the pieces that begin with the prefix, or are its beginning."""
+    sizes: dict[str, set[int]] = {}
+    for piece, *_ in vocabulary(path)[0]:
+        sizes.setdefault(piece[:PREFIX], set()).add(len(piece))
+    for prefix, own in sizes.items():
+        own |= {k for k in range(1, len(prefix)) if prefix[:k] in piece_scores(path)}
+    rows = [(p, sorted(k for k in own if k >= shortest)) for p, own in sizes.items()]
+    return F.broadcast(spark.createDataFrame(rows, "prefix string, sizes array<int>"))
 
 
 @lru_cache
@@ -90,26 +116,37 @@ def word_pattern(path: str) -> re.Pattern:
     return re.compile(f"{MARK}*(?:{runs}[^{MARK}])|{MARK}+")
 
 
-def split_words(text: str | None, pattern: re.Pattern) -> list[str]:
-    """Words of the marked text."""
-    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+def stretches(text: str | None) -> list[str]:
+    """The marked text cut before each run of marks; words never lie across such a cut."""
+    return STRETCH.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def count_words(docs: DataFrame, path: str) -> DataFrame:
     """<word, uses> of the distinct words of <text>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, counts = word_pattern(path), Counter()
+        pattern, held, counts = word_pattern(path), Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
+            for stretch, uses in held.items():
+                for word in pattern.findall(stretch):
+                    counts[word] += uses
             made = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            held.clear()
             counts.clear()
             return pa.RecordBatch.from_arrays(made, names=["word", "uses"])
 
         for batch in batches:
             for text in batch.column("text"):
-                counts.update(split_words(text.as_py(), pattern))
-                if len(counts) > HELD_WORDS:
+                found = stretches(text.as_py())
+                if max(map(len, found), default=0) > HELD_LENGTH:
+                    counts.update(w for f in found if len(f) > HELD_LENGTH for w in pattern.findall(f))
+                    found = [f for f in found if len(f) <= HELD_LENGTH]
+                held.update(found)
+                if len(held) + len(counts) > HELD_WORDS:
                     yield flush()
         yield flush()
 
@@ -123,16 +160,18 @@ def _bit(at: Column) -> Column:
 def merged_cuts(merges: Column, n: Column) -> Column:
     """The open cuts of a word of n characters after all merges, as a mask.
 
-    ``merges`` are the pieces of several characters in the order in which they are preferred, as <ends, inner>: masks of
-    the two cuts at their ends and of those within. A piece can be merged if its ends and just one inner cut are open.
+    ``merges`` are the word's pieces of several characters as numbers: rank, start and end, the last two of 6 bits each. In this order a
+    piece is merged if the cuts at its ends and just one inner cut are open.
     """
 
-    def step(mask: Column, _: Column) -> Column:
-        may = F.filter(merges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(may, F.lit(0))["inner"], F.lit(0).cast("long"))))
+    def step(mask: Column, merge: Column) -> Column:
+        start, end = F.shiftright(merge, 6).bitwiseAND(F.lit(63)).cast("int"), merge.bitwiseAND(F.lit(63)).cast("int")
+        inner = _bit(end) - _bit(start + F.lit(1))
+        both = _bit(start).bitwiseOR(_bit(end))
+        may = (mask.bitwiseAND(both) == both) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
+        return F.when(may, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
 
-    start = _bit(n + F.lit(1)) - F.lit(1)
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(2), n), start, step)).otherwise(start)
+    return F.aggregate(F.sort_array(merges), _bit(n + F.lit(1)) - F.lit(1), step)
 
 
 def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
@@ -157,20 +196,18 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
     return let(table, walk)
 
 
-def _ids(word: Column, edges: Column, mask: Column, n: Column, byte: int) -> Column:
-    """Ids of the parts between the cuts: the part's piece, or the bytes of a character that has none."""
-
-    def cut(cuts: Column) -> Column:
-        def part(start: Column, i: Column) -> Column:
-            end = F.get(cuts, i + F.lit(1))
-            piece = F.filter(edges, lambda e: (e["start"] == start) & (e["end"] == end))
-            raw = F.hex(F.encode(F.substring(word, start + F.lit(1), end - start), "UTF-8"))
-            codes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + F.lit(byte))
-            return let(F.get(piece, F.lit(0))["id"], lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(codes))
-
-        return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - F.lit(1)), part))
-
-    return let(F.filter(F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0), cut)
+def cut_ids(word: str, mask: int, plain: dict[str, tuple[int, float]], byte: int) -> list[int]:
+    """Ids of the parts between the open cuts: the part's piece, or the bytes of a character that has none."""
+    ids, start = [], 0
+    for end in range(1, len(word) + 1):
+        if mask >> end & 1:
+            known = plain.get(word[start:end])
+            if known:
+                ids.append(known[0])
+            else:
+                ids += [byte + c for c in word[start:end].encode()]
+            start = end
+    return ids
 
 
 def merge_long(word: str, plain: dict[str, tuple[int, float]], byte: int) -> list[int]:
@@ -198,42 +235,88 @@ def merge_long(word: str, plain: dict[str, tuple[int, float]], byte: int) -> lis
     return [i for p in parts if p is not None for i in ([plain[p][0]] if p in plain else [byte + c for c in p.encode()])]
 
 
-def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
-    """<word, ids> of distinct words <word>; further columns stay."""
-    plain, byte = vocabulary(path)
-    longest = max(len(p) for p, *_ in plain)
-    pieces = piece_table(words.sparkSession, path)
-    n = F.length("word")
-    others = [c for c in words.columns if c != "word"]
-    short = words.where(n <= LONG)
-    spans = short.select("word", *others, n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    spans = spans.select("word", *others, "n", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at") + 1))).alias("size"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
-    found = spans.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    edge = F.struct((-F.col("score")).alias("cost"), (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), "id")
-    lattice = found.groupBy("word").agg(*[F.first(c).alias(c) for c in (*others, "n")], F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
-    if fold == "viterbi":
-        mask = viterbi_cuts(F.col("edges"), F.col("n"), min(s for *_, s in plain) - UNKNOWN_PENALTY)
+def viterbi_long(word: str, plain: dict[str, tuple[int, float]], byte: int, unknown: float, longest: int) -> list[int]:
+    """The ids of one word by Viterbi's best path; ties as in ``viterbi_cuts``."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        known = [(best[s][0] + plain[word[s:end]][1], -s) for s in range(max(0, end - longest), end) if word[s:end] in plain]
+        if word[end - 1] not in plain:
+            known.append((best[end - 1][0] + unknown, 1 - end))
+        best.append(max(known))
+    ends, at = [], len(word)
+    while at:
+        ends.append(at)
+        at = -best[at][1]
+    cuts = [0, *reversed(ends)]
+    parts = [word[s:e] for s, e in zip(cuts, cuts[1:])]
+    return [i for p in parts for i in ([plain[p][0]] if p in plain else [byte + c for c in p.encode()])]
+
+
+def whole_ids(path: str, fold: str) -> Callable[[str, int | None], list[int]]:
+    """The function <word, mask> to ids; words over LONG characters have no mask."""
+    plain, (table, byte) = piece_scores(path), vocabulary(path)
+    longest, unknown = max(len(p) for p, *_ in table), min(s for *_, s in table) - UNKNOWN_PENALTY
+
+    def ids(word: str, mask: int | None) -> list[int]:
+        if len(word) <= LONG:
+            return cut_ids(word, mask, plain, byte)
+        return merge_long(word, plain, byte) if fold == "bpe" else viterbi_long(word, plain, byte, unknown, longest)
+
+    return ids
+
+
+def lattice_edges(rows: DataFrame, path: str, fold: str) -> DataFrame:
+    """One row for each row of ``rows``, with edge null, and then one for each piece found in its <word>; the other columns stay.
+
+    ``edge`` holds start and end of the piece and, for merging, its rank above them; ``cost`` is kept for Viterbi only. Rows stay in their partition and order. Words that are null or
+    longer than LONG have no edges.
+    """
+    shortest = 2 if fold == "bpe" else 1
+    spark, kept, n = rows.sparkSession, rows.columns, F.length("word")
+    last = F.coalesce(F.when(n <= LONG, n - shortest + 1), F.lit(0))
+    spans = rows.select(*kept, F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("at"))
+    spans = spans.withColumn("prefix", F.when(F.col("at") > 0, F.substring("word", F.col("at"), F.lit(PREFIX))))
+    spans = spans.join(prefix_table(spark, path, shortest), "prefix", "left")
+    unlisted = F.array(*[F.lit(k) for k in range(shortest, PREFIX)])
+    sizes = F.when(F.col("at") == 0, F.array(F.lit(0))).otherwise(F.coalesce("sizes", unlisted))
+    spans = spans.select(*kept, "at", F.explode(sizes).alias("size")).where("size = 0 or size <= length(word) - at + 1")
+    spans = spans.withColumn("piece", F.when(F.col("size") > 0, F.substring("word", F.col("at"), F.col("size"))))
+    found = spans.join(piece_table(spark, path), "piece", "left")
+    place = (F.col("at").cast("long") - 1) * 64 + F.col("at") - 1 + F.col("size")
+    edge = F.when(F.col("size") > 0, place + F.col("rank") * 4096 if fold == "bpe" else F.when(F.col("cost").isNotNull(), place))
+    found = found.select(*kept, "size", edge.alias("edge"), *(["cost"] if fold == "viterbi" else []))
+    return found.where("edge is not null or size = 0").drop("size")
+
+
+def open_cuts(word: Column, edges: Column, path: str, fold: str) -> Column:
+    """The mask of a word's cuts from its edges: numbers for merging, <edge, cost> for Viterbi."""
+    n = F.length(word)
+    if fold == "bpe":
+        mask = merged_cuts(edges, n)
     else:
-        longer = F.filter(F.sort_array("edges"), lambda e: e["end"] - e["start"] > 1)
-        masks = lambda e: F.struct(_bit(e["start"]).bitwiseOR(_bit(e["end"])).alias("ends"), (_bit(e["end"]) - _bit(e["start"] + F.lit(1))).alias("inner"))
-        mask = let(F.transform(longer, masks), lambda m: merged_cuts(m, F.col("n")))
-    ids = let(mask, lambda m: _ids(F.col("word"), F.col("edges"), m, F.col("n"), byte))
-    done = lattice.select("word", *others, ids.alias("ids"))
-    if fold == "viterbi":
-        if not words.where(n > LONG).isEmpty():
-            raise ValueError(f"the unigram fold takes words of {LONG} characters at most")
-        return done
+        at = lambda e: e["edge"].cast("int")
+        named = F.transform(edges, lambda e: F.struct(e["cost"].alias("cost"), F.shiftright(at(e), 6).alias("start"), at(e).bitwiseAND(F.lit(63)).alias("end")))
+        mask = let(named, lambda e: viterbi_cuts(e, n, min(s for *_, s in vocabulary(path)[0]) - UNKNOWN_PENALTY))
+    return F.when(n <= LONG, mask)
 
-    @F.pandas_udf("array<int>")
-    def merge_all(column: pd.Series) -> pd.Series:
-        return pd.Series([merge_long(w, piece_scores(path), byte) for w in column])
 
-    return done.unionByName(words.where(n > LONG).select("word", *others, merge_all("word").alias("ids")))
+def encode_words(words: DataFrame, path: str, fold: str = "bpe") -> DataFrame:
+    """<word, ids> of distinct words <word>."""
+    found = lattice_edges(words.select("word"), path, fold)
+    edge = F.col("edge") if fold == "bpe" else F.when(F.col("edge").isNotNull(), F.struct("edge", "cost"))
+    masks = found.groupBy("word").agg(F.collect_list(edge).alias("edges")).select("word", open_cuts(F.col("word"), F.col("edges"), path, fold).alias("mask"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = whole_ids(path, fold)
+        for batch in batches:
+            ids = [of(w, m) for w, m in zip(batch.column("word").to_pylist(), batch.column("mask").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return masks.mapInArrow(work, "word string, ids array<int>")
 
 
 def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
-    """The most used words of <word, uses, ids>: ``most`` at most, all those above a number of uses."""
+    """The most used words of <word, uses>: ``most`` at most, all those above a number of uses."""
     step = F.floor(F.log2("uses") * USE_STEPS)
     table = table.where(F.length("word") <= LONG).withColumn("step", step)
     least, total = None, 0
@@ -242,61 +325,174 @@ def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
         if total > most:
             break
         least = r["step"]
-    return table.where(F.col("step") >= F.lit(least)).select("word", "ids")
+    return table.where(F.col("step") >= F.lit(least)).select("word")
 
 
 def _looked_up(docs: DataFrame, path: str, common: DataFrame) -> DataFrame:
-    """<doc_id, text_key, parts, rare>: the ids between the words that are not in ``common``, and those words."""
-    spark = docs.sparkSession
+    """For each text a row <seq, doc_id, ids, gaps>, then one <seq, word> for each word that is not in ``common``.
+
+    ``ids`` are those of the common words and ``gaps`` how many of them stand before each other word, both as 32-bit numbers.
+    """
     found = common.toArrow()
-    shared = spark.sparkContext.broadcast((found["word"].to_pylist(), found["ids"].to_pylist()))
-    keyed = docs.select(*text_key(), "text")
-    names = ["doc_id", "text_key", "parts", "rare"]
+    shared = docs.sparkSession.sparkContext.broadcast((found["word"].to_pylist(), found["ids"].to_pylist()))
+    names = ["seq", "doc_id", "ids", "gaps", "word"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pattern, seq = dict(zip(*shared.value)), word_pattern(path), 0
+        memo: dict[str, tuple] = {}
+
+        def resolve(stretch: str) -> tuple:
+            """<ids, None> if all words are common, else <None, parts>: parts are lists of ids and words."""
+            parts = [known.get(w, w) for w in pattern.findall(stretch)]
+            whole = not any(isinstance(p, str) for p in parts)
+            got = ([i for p in parts for i in p], None) if whole else (None, parts)
+            if len(stretch) <= HELD_LENGTH:
+                if len(memo) >= HELD_WORDS:
+                    memo.clear()
+                memo[stretch] = got
+            return got
+
+        for batch in batches:
+            source, ids, gaps, words = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
+                own, at, rare = [], [], []
+                for stretch in stretches(text.as_py()):
+                    whole, parts = memo.get(stretch) or resolve(stretch)
+                    if whole is not None:
+                        own += whole
+                        continue
+                    for part in parts:
+                        if isinstance(part, str):
+                            at.append(len(own))
+                            rare.append(part)
+                        else:
+                            own += part
+                source += [i, *[None] * len(rare)]
+                ids += [np.array(own, np.int32).tobytes(), *[None] * len(rare)]
+                gaps += [np.array(at, np.int32).tobytes(), *[None] * len(rare)]
+                words += [None, *rare]
+            numbers = pa.array(np.arange(seq, seq + len(words)))
+            seq += len(words)
+            yield pa.RecordBatch.from_arrays([numbers, batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(ids, pa.binary()), pa.array(gaps, pa.binary()), pa.array(words, pa.string())], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(work, f"seq long, doc_id {kind}, ids binary, gaps binary, word string")
+
+
+def _in_order(seq: np.ndarray, before: int) -> None:
+    if len(seq) and (seq[0] != before + 1 or (np.diff(seq) != 1).any()):
+        raise RuntimeError("rows lost their order between explode and grouping")
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    """The rows of ``lattice_edges`` that belong together as one, with lists of their edges (and costs)."""
+    lists = [c for c in ("edge", "cost") if c in found.columns]
+    kept = [c for c in found.columns if c not in lists]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pattern = dict(zip(*shared.value)), word_pattern(path)
+        before, rest = -1, None
+
+        def grouped(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+            nonlocal before
+            seq = table["seq"].to_numpy()
+            starts = np.append(heads, len(seq))
+            _in_order(seq[heads], before)
+            if (np.repeat(seq[heads], np.diff(starts)) != seq).any():
+                raise RuntimeError("rows lost their order between explode and grouping")
+            before = seq[-1]
+            head = np.zeros(len(seq), bool)
+            head[heads] = True
+            offsets = pa.array((starts - np.arange(len(starts))).clip(0, len(seq) - len(heads)), pa.int32())
+            edges = table.filter(pa.array(~head)).combine_chunks()
+            first = table.take(pa.array(heads)).combine_chunks()
+            column = lambda t, c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
+            made = [column(first, c) for c in kept] + [pa.ListArray.from_arrays(offsets, column(edges, c)) for c in lists]
+            return pa.RecordBatch.from_arrays(made, names=[*kept, *(f"{c}s" for c in lists)])
+
         for batch in batches:
-            parts, rare = [], []
-            for text in batch.column("text"):
-                own, others = [[]], []
-                for word in split_words(text.as_py(), pattern):
-                    ids = known.get(word)
-                    if ids is None:
-                        others.append(word)
-                        own.append([])
-                    else:
-                        own[-1] += ids
-                parts.append(pa.array(own, pa.list_(pa.int32())))
-                rare.append(others)
-            sizes = pa.array([0, *pd.Series([len(p) for p in parts], dtype="int32").cumsum()], pa.int32())
-            lists = pa.ListArray.from_arrays(sizes, pa.concat_arrays(parts)) if parts else pa.array([], pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists, pa.array(rare, pa.list_(pa.string()))], names=names)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields[:2])
-    return keyed.mapInArrow(work, f"{schema}, parts array<array<int>>, rare array<string>")
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            heads = np.flatnonzero(table["edge"].is_null().to_numpy())
+            rest = table.slice(heads[-1]) if len(heads) else table
+            if len(heads) > 1:
+                yield grouped(table.slice(0, heads[-1]), heads[:-1])
+        if rest is not None and len(rest):
+            yield grouped(rest, np.array([0]))
+
+    schema = ", ".join([f"{c} {found.schema[c].dataType.simpleString()}" for c in kept] + [f"{c}s array<{found.schema[c].dataType.simpleString()}>" for c in lists])
+    return found.mapInArrow(work, schema)
+
+
+def _filled(rows: DataFrame, path: str, fold: str) -> DataFrame:
+    """<doc_id, ids> of <seq, doc_id, ids, gaps, word, mask>: the ids of each text with those of its rare words in their places."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, before = whole_ids(path, fold), -1
+        text: tuple | None = None
+        found: list[list[int]] = []
+
+        def closed() -> np.ndarray:
+            own, gaps = np.frombuffer(text[1], np.int32), np.frombuffer(text[2], np.int32)
+            if len(gaps) != len(found):
+                raise RuntimeError("a text lost words between explode and grouping")
+            sizes = [len(f) for f in found]
+            return np.insert(own, np.repeat(gaps, sizes), [i for f in found for i in f]) if found else own
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            offsets = pa.array(np.cumsum([0, *(len(ids) for _, ids in done)]), pa.int32())
+            values = pa.array(np.concatenate([ids for _, ids in done]).astype(np.int32), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], kind), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "ids"])
+
+        kind = None
+        for batch in batches:
+            kind, done = batch.schema.field("doc_id").type, []
+            seq = batch.column("seq").to_numpy()
+            _in_order(seq, before)
+            before = seq[-1] if len(seq) else before
+            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "gaps", "word", "mask")])
+            for doc, ids, gaps, word, mask in rows:
+                if word is not None:
+                    found.append(of(word, mask))
+                    continue
+                if text is not None:
+                    done.append((text[0], closed()))
+                text, found = (doc, ids, gaps), []
+            if done:
+                yield batch_of(done)
+        if text is not None:
+            yield batch_of([(text[0], closed())])
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def encode(docs: DataFrame, path: str, fold: str = "bpe", most: int = COMMON) -> DataFrame:
     """<doc_id, ids> of each row of <doc_id, text>."""
-    table = stored(encode_words(count_words(docs, path), path, fold), "words")
-    rows = stored(_looked_up(docs, path, common_words(table, most)), "parts")
-    rare = rows.select("doc_id", "text_key", F.posexplode("rare").alias("pos", "word")).join(table.select("word", "ids"), "word")
-    rare = rare.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("found"))
-    open_ = by_row(rows.where(F.size("rare") > 0).drop("rare"), rare, "left")
-    filled = F.zip_with("parts", "found", lambda part, f: F.concat(part, F.coalesce(f["ids"], F.array().cast("array<int>"))))
-    whole = rows.where(F.size("rare") == 0).select("doc_id", F.flatten("parts").alias("ids"))
-    return whole.unionByName(open_.select("doc_id", F.flatten(filled).alias("ids")))
+    common = common_words(stored(count_words(docs, path), "words"), most)
+    rows = _looked_up(docs, path, stored(encode_words(common, path, fold), "common"))
+    found = lattice_edges(rows, path, fold)
+    shown = [F.when(F.col("edge").isNull(), F.col(c)).alias(c) for c in rows.columns if c != "seq"]
+    lists = _grouped(found.select("seq", *shown, *[c for c in found.columns if c not in rows.columns]))
+    edges = F.col("edges") if fold == "bpe" else F.transform(F.arrays_zip("edges", "costs"), lambda e: F.struct(e["edges"].alias("edge"), e["costs"].alias("cost")))
+    return _filled(lists.select(*rows.columns, open_cuts(F.col("word"), edges, path, fold).alias("mask")), path, fold)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """<doc_id, text> of <doc_id, ids>; ids that are no ordinary piece or byte stand for nothing."""
-    _, byte = vocabulary(path)
-    known = piece_table(encoded.sparkSession, path).select(F.col("id").alias("k"), F.hex(F.encode(F.col("piece"), "UTF-8")).alias("code"))
-    codes = known.agg(F.map_from_entries(F.collect_list(F.struct("k", "code"))).alias("codes")).first()["codes"] | {byte + b: f"{b:02X}" for b in range(256)}
-    size = max(codes) + 1
-    listed = F.from_json(F.lit(str([codes.get(i, "") for i in range(size)]).replace("'", '"')), "array<string>")
-    table = encoded.sparkSession.range(1).select(listed.alias("codes"))
-    joined = encoded.withColumn("_one", F.lit(0).cast("long")).join(F.broadcast(table.withColumn("_one", F.lit(0).cast("long"))), "_one")
-    whole = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get("codes", i), F.lit(""))), "")
-    text = F.replace(F.decode(F.unhex(whole), "UTF-8"), F.lit(MARK), F.lit(" "))
-    return joined.select("doc_id", F.substring(text, F.lit(2), F.length(text)).alias("text"))
+    """<doc_id, ids> with the text of the ids; ids that are no ordinary piece or byte stand for nothing, null ids for no text."""
+    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, byte = vocabulary(path)
+        codes = {i: p.encode() for p, i, _ in plain} | {byte + b: bytes([b]) for b in range(256)}
+        parts = [codes.get(i, b"") for i in range(max(codes) + 1)]
+
+        def text(ids: list[int] | None) -> str | None:
+            if ids is None:
+                return None
+            return b"".join([parts[i] for i in ids if 0 <= i < len(parts)]).decode("utf-8", "replace").replace(MARK, " ")[1:]
+
+        for batch in batches:
+            texts = pa.array([text(ids.as_py()) for ids in batch.column("ids")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], names=["doc_id", "ids", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kinds['doc_id']}, ids {kinds['ids']}, text string")

@@ -50,8 +50,9 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL)
+    digest = F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *digest)
 
 
 #: A conversation whose texts are control strings.
