@@ -6,8 +6,8 @@ merge ranks, the best path is not what the model says; there the fold takes the
 pass is enough: a piece that its own merges give is complete before its rank comes, whatever stands beside it, and no other piece ever arises (``piece_ranks`` leaves those out). Characters without a piece become byte pieces.
 
 The most used words, COMMON at most whatever the corpus, are counted over all texts, encoded once and looked up by the tasks that read the texts. The other words, each of which is rare, stay where their text is read: the
-task hands on one row for the text and one for each rare word, explode and broadcast join keep them in place and in order, and rows that follow each other are grouped without a shuffle. Every row
-carries its number, and the functions that group stop with an error if the order was ever lost. So neither texts nor ids move between tasks, and a hot word is in no task more than once.
+task hands on one row for the text, with open places, and one for each rare word that it has not met lately; explode and broadcast join keep them in place and in order, and rows that follow each other are grouped without a shuffle. Every row
+carries its number, and the functions that group stop with an error if the order was ever lost. So neither texts nor ids move between tasks. What a task remembers is bounded by HELD_STRETCHES, HELD_WORDS and HELD_CHARACTERS.
 
 The piece table is broadcast: it has MAX_PIECES rows at most, whatever the corpus. Words longer than LONG characters (lines without spaces) are folded by the same rule in a
 Python function, since the mask has 63 bits.
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,12 @@ MARK = "▁"
 LONG = 60
 MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
-COMMON = 1 << 17
-#: Distinct words that a task holds before it hands on their counts, and the length up to which it holds a stretch between spaces.
+COMMON = 1 << 18
+#: Distinct stretches between spaces that a task holds, their characters, rare words that it numbers, and the texts whose rows it hands on together.
+HELD_STRETCHES = 1 << 17
 HELD_WORDS = 1 << 18
-HELD_LENGTH = 200
+HELD_CHARACTERS = 1 << 22
+TEXTS = 256
 #: Characters by which the lengths of the pieces that begin alike are found.
 PREFIX = 3
 #: Steps of the logarithm of a word's uses among which the least use of a common word is chosen.
@@ -120,34 +123,37 @@ STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def stretches(text: str | None) -> list[str]:
-    """The marked text cut before each run of marks; words never lie across such a cut."""
-    return STRETCH.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The marked text cut before each run of marks, every part without its first mark; words never lie across such a cut."""
+    if not text:
+        return []
+    if "  " in text or MARK in text or " " in (text[0], text[-1]):
+        return [part[1:] for part in STRETCH.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 def count_words(docs: DataFrame, path: str) -> DataFrame:
     """<word, uses> of the distinct words of <text>."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, held, counts = word_pattern(path), Counter(), Counter()
+        pattern, held, size = word_pattern(path), Counter(), 0
 
         def flush() -> pa.RecordBatch:
+            counts = Counter()
             for stretch, uses in held.items():
-                for word in pattern.findall(stretch):
+                for word in pattern.findall(MARK + stretch):
                     counts[word] += uses
-            made = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
             held.clear()
-            counts.clear()
+            made = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(made, names=["word", "uses"])
 
         for batch in batches:
             for text in batch.column("text"):
                 found = stretches(text.as_py())
-                if max(map(len, found), default=0) > HELD_LENGTH:
-                    counts.update(w for f in found if len(f) > HELD_LENGTH for w in pattern.findall(f))
-                    found = [f for f in found if len(f) <= HELD_LENGTH]
                 held.update(found)
-                if len(held) + len(counts) > HELD_WORDS:
+                size += max(map(len, found), default=0)
+                if len(held) > HELD_STRETCHES or size > HELD_CHARACTERS:
                     yield flush()
+                    size = 0
         yield flush()
 
     return docs.select("text").mapInArrow(work, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
@@ -198,15 +204,15 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
 
 def cut_ids(word: str, mask: int, plain: dict[str, tuple[int, float]], byte: int) -> list[int]:
     """Ids of the parts between the open cuts: the part's piece, or the bytes of a character that has none."""
-    ids, start = [], 0
-    for end in range(1, len(word) + 1):
-        if mask >> end & 1:
-            known = plain.get(word[start:end])
-            if known:
-                ids.append(known[0])
-            else:
-                ids += [byte + c for c in word[start:end].encode()]
-            start = end
+    ids, start, mask = [], 0, mask & ~1
+    while mask:
+        end = (mask & -mask).bit_length() - 1
+        part = word[start:end]
+        if part in plain:
+            ids.append(plain[part][0])
+        else:
+            ids += [byte + c for c in part.encode()]
+        start, mask = end, mask & (mask - 1)
     return ids
 
 
@@ -328,55 +334,67 @@ def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
     return table.where(F.col("step") >= F.lit(least)).select("word")
 
 
+class _Codes(dict):
+    """The ids of a stretch as 32-bit numbers; the rare word that was met as the nth since the last start is -n."""
+
+    def __init__(self, known: dict[str, bytes], pattern: re.Pattern):
+        super().__init__()
+        self.known, self.pattern, self.numbers, self.new, self.characters, self.long = known, pattern, {}, [], 0, 0
+
+    def __missing__(self, stretch: str) -> bytes:
+        parts = []
+        for word in self.pattern.findall(MARK + stretch):
+            code = self.known.get(word) or self.numbers.get(word)
+            if code is None:
+                self.new.append(word)
+                code = self.numbers[word] = (-1 - len(self.numbers)).to_bytes(4, "little", signed=True)
+                self.long += len(word)
+            parts.append(code)
+        self[stretch] = code = b"".join(parts)
+        self.characters += len(stretch)
+        return code
+
+    def trim(self) -> bool:
+        """Make room where it is needed; true if the numbers start again."""
+        restart = len(self.numbers) >= HELD_WORDS or self.long >= HELD_CHARACTERS
+        if restart or len(self) >= HELD_STRETCHES or self.characters >= HELD_CHARACTERS:
+            self.clear()
+            self.characters = 0
+        if restart:
+            self.numbers.clear()
+            self.long = 0
+        return restart
+
+
 def _looked_up(docs: DataFrame, path: str, common: DataFrame) -> DataFrame:
-    """For each text a row <seq, doc_id, ids, gaps>, then one <seq, word> for each word that is not in ``common``.
+    """For each text a row <seq, doc_id, ids, fresh>, then one <seq, word> for each new word that is not in ``common``.
 
-    ``ids`` are those of the common words and ``gaps`` how many of them stand before each other word, both as 32-bit numbers.
+    ``ids`` are 32-bit numbers; -n stands for the ids of the nth other word since the last row that is fresh.
     """
     found = common.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((found["word"].to_pylist(), found["ids"].to_pylist()))
-    names = ["seq", "doc_id", "ids", "gaps", "word"]
+    codes = [np.array(ids, "<i4").tobytes() for ids in found["ids"].to_pylist()]
+    shared = docs.sparkSession.sparkContext.broadcast((found["word"].to_pylist(), codes))
+    names = ["seq", "doc_id", "ids", "fresh", "word"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pattern, seq = dict(zip(*shared.value)), word_pattern(path), 0
-        memo: dict[str, tuple] = {}
-
-        def resolve(stretch: str) -> tuple:
-            """<ids, None> if all words are common, else <None, parts>: parts are lists of ids and words."""
-            parts = [known.get(w, w) for w in pattern.findall(stretch)]
-            whole = not any(isinstance(p, str) for p in parts)
-            got = ([i for p in parts for i in p], None) if whole else (None, parts)
-            if len(stretch) <= HELD_LENGTH:
-                if len(memo) >= HELD_WORDS:
-                    memo.clear()
-                memo[stretch] = got
-            return got
-
-        for batch in batches:
-            source, ids, gaps, words = [], [], [], []
+        memo, seq = _Codes(dict(zip(*shared.value)), word_pattern(path)), 0
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+            source, ids, fresh, words = [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                own, at, rare = [], [], []
-                for stretch in stretches(text.as_py()):
-                    whole, parts = memo.get(stretch) or resolve(stretch)
-                    if whole is not None:
-                        own += whole
-                        continue
-                    for part in parts:
-                        if isinstance(part, str):
-                            at.append(len(own))
-                            rare.append(part)
-                        else:
-                            own += part
-                source += [i, *[None] * len(rare)]
-                ids += [np.array(own, np.int32).tobytes(), *[None] * len(rare)]
-                gaps += [np.array(at, np.int32).tobytes(), *[None] * len(rare)]
-                words += [None, *rare]
+                fresh.append(memo.trim())
+                memo.new = []
+                ids.append(b"".join(map(memo.__getitem__, stretches(text.as_py()))))
+                empty = [None] * len(memo.new)
+                source += [i, *empty]
+                ids += empty
+                fresh += empty
+                words += [None, *memo.new]
             numbers = pa.array(np.arange(seq, seq + len(words)))
             seq += len(words)
-            yield pa.RecordBatch.from_arrays([numbers, batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(ids, pa.binary()), pa.array(gaps, pa.binary()), pa.array(words, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([numbers, batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(ids, pa.binary()), pa.array(fresh, pa.bool_()), pa.array(words, pa.string())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"seq long, doc_id {kind}, ids binary, gaps binary, word string")
+    return docs.select("doc_id", "text").mapInArrow(work, f"seq long, doc_id {kind}, ids binary, fresh boolean, word string")
 
 
 def _in_order(seq: np.ndarray, before: int) -> None:
@@ -425,7 +443,7 @@ def _grouped(found: DataFrame) -> DataFrame:
 
 
 def _filled(rows: DataFrame, path: str, fold: str) -> DataFrame:
-    """<doc_id, ids> of <seq, doc_id, ids, gaps, word, mask>: the ids of each text with those of its rare words in their places."""
+    """<doc_id, ids> of <seq, doc_id, ids, fresh, word, mask>: the ids of each text with those of its rare words in their places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, before = whole_ids(path, fold), -1
@@ -433,11 +451,13 @@ def _filled(rows: DataFrame, path: str, fold: str) -> DataFrame:
         found: list[list[int]] = []
 
         def closed() -> np.ndarray:
-            own, gaps = np.frombuffer(text[1], np.int32), np.frombuffer(text[2], np.int32)
-            if len(gaps) != len(found):
-                raise RuntimeError("a text lost words between explode and grouping")
-            sizes = [len(f) for f in found]
-            return np.insert(own, np.repeat(gaps, sizes), [i for f in found for i in f]) if found else own
+            own = np.frombuffer(text[1], "<i4")
+            places = np.flatnonzero(own < 0)
+            if not len(places):
+                return own
+            new = [found[-1 - n] for n in own[places].tolist()]
+            at = np.repeat(places - np.arange(len(places)), [len(ids) for ids in new])
+            return np.insert(own[own >= 0], at, [i for ids in new for i in ids])
 
         def batch_of(done: list[tuple]) -> pa.RecordBatch:
             offsets = pa.array(np.cumsum([0, *(len(ids) for _, ids in done)]), pa.int32())
@@ -450,14 +470,15 @@ def _filled(rows: DataFrame, path: str, fold: str) -> DataFrame:
             seq = batch.column("seq").to_numpy()
             _in_order(seq, before)
             before = seq[-1] if len(seq) else before
-            rows = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "gaps", "word", "mask")])
-            for doc, ids, gaps, word, mask in rows:
+            for doc, ids, fresh, word, mask in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "fresh", "word", "mask")]):
                 if word is not None:
                     found.append(of(word, mask))
                     continue
                 if text is not None:
                     done.append((text[0], closed()))
-                text, found = (doc, ids, gaps), []
+                text = doc, ids
+                if fresh:
+                    found.clear()
             if done:
                 yield batch_of(done)
         if text is not None:
@@ -483,16 +504,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, byte = vocabulary(path)
-        codes = {i: p.encode() for p, i, _ in plain} | {byte + b: bytes([b]) for b in range(256)}
-        parts = [codes.get(i, b"") for i in range(max(codes) + 1)]
-
-        def text(ids: list[int] | None) -> str | None:
-            if ids is None:
-                return None
-            return b"".join([parts[i] for i in ids if 0 <= i < len(parts)]).decode("utf-8", "replace").replace(MARK, " ")[1:]
-
-        for batch in batches:
-            texts = pa.array([text(ids.as_py()) for ids in batch.column("ids")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], names=["doc_id", "ids", "text"])
+        codes = {i: p.replace(MARK, " ").encode() for p, i, _ in plain} | {byte + b: bytes([b]) for b in range(256)}
+        none = max(codes) + 1
+        parts = pa.array([codes.get(i, b"") for i in range(none + 1)], pa.large_binary())
+
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            joined = parts.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][ends]
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), joined.buffers()[2]])
+            texts = [None if not known else raw[i].as_py().decode("utf-8", "replace").replace(MARK, " ")[1:] for i, known in enumerate(lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kinds['doc_id']}, ids {kinds['ids']}, text string")
