@@ -6,8 +6,8 @@ merge ranks, the best path is not what the model says; there the fold takes the
 pass is enough: a piece that its own merges give is complete before its rank comes, whatever stands beside it, and no other piece ever arises (``piece_ranks`` leaves those out). Characters without a piece become byte pieces.
 
 The most used words, COMMON at most whatever the corpus, are counted over all texts, encoded once and looked up by the tasks that read the texts. The other words, each of which is rare, stay where their text is read: the
-task hands on one row for the text, with open places, and one for each rare word that it has not met lately; explode and broadcast join keep them in place and in order, and rows that follow each other are grouped without a shuffle. Every row
-carries its number, and the functions that group stop with an error if the order was ever lost. So neither texts nor ids move between tasks. What a task remembers is bounded by HELD_STRETCHES, HELD_WORDS and HELD_CHARACTERS.
+task hands on one row for the text, with open places, and one for each rare word that it has not met lately; explode and broadcast join keep them in place and in order, and one Arrow function groups the rows that follow each other, without a shuffle, and folds them by the same rules. Every row
+carries its number, and that function stops with an error if the order was ever lost. So neither texts nor ids move between tasks. What a task remembers is bounded by HELD_STRETCHES, HELD_WORDS and HELD_CHARACTERS.
 
 The piece table is broadcast: it has MAX_PIECES rows at most, whatever the corpus. Words longer than LONG characters (lines without spaces) are folded by the same rule in a
 Python function, since the mask has 63 bits.
@@ -397,105 +397,141 @@ def _looked_up(docs: DataFrame, path: str, common: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"seq long, doc_id {kind}, ids binary, fresh boolean, word string")
 
 
-def _in_order(seq: np.ndarray, before: int) -> None:
-    if len(seq) and (seq[0] != before + 1 or (np.diff(seq) != 1).any()):
-        raise RuntimeError("rows lost their order between explode and grouping")
+def fold_merges(edges: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``merged_cuts`` of many words at once: word i has the next sizes[i] edges and lengths[i] characters."""
+    words = np.repeat(np.arange(len(sizes)), sizes)
+    edges = edges[np.lexsort((edges, words))]
+    order, starts = np.argsort(-sizes, kind="stable"), np.cumsum(sizes) - sizes
+    starts, counts = starts[order], sizes[order]
+    masks, one = (np.int64(1) << (lengths[order] + 1)) - 1, np.int64(1)
+    for k in range(int(counts[0]) if len(counts) else 0):
+        live = np.searchsorted(-counts, -k)
+        edge, mask = edges[starts[:live] + k], masks[:live]
+        start, end = edge >> 6 & 63, edge & 63
+        both, inner = one << start | one << end, (one << end) - (one << start + 1)
+        cut = mask & inner
+        may = (mask & both == both) & (cut != 0) & (cut & cut - 1 == 0)
+        masks[:live] = np.where(may, mask & ~inner, mask)
+    result = np.empty_like(masks)
+    result[order] = masks
+    return result
+
+
+def fold_paths(edges: np.ndarray, costs: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, unknown: float) -> np.ndarray:
+    """``viterbi_cuts`` of many words."""
+    masks, at = [], 0
+    for size, n in zip(sizes.tolist(), lengths.tolist()):
+        came: dict[int, list] = {}
+        for edge, cost in zip(edges[at : at + size].tolist(), costs[at : at + size].tolist()):
+            came.setdefault(edge & 63, []).append((edge >> 6, cost))
+        at += size
+        best = [(0.0, 0)]
+        for end in range(1, n + 1):
+            options = [(best[s][0] - c, -s) for s, c in came.get(end, [])]
+            if not any(s == end - 1 for s, _ in came.get(end, [])):
+                options.append((best[end - 1][0] + unknown, 1 - end))
+            best.append(max(options))
+        mask, end = 1, n
+        while end:
+            mask, end = mask | 1 << end, -best[end][1]
+        masks.append(mask)
+    return np.array(masks, np.int64)
+
+
+def texts_of(lists: pa.ListArray, path: str) -> pa.Array:
+    """The texts of lists of ids; ids that are no ordinary piece or byte stand for nothing, null lists for no text."""
+    parts = _parts(path)
+    ids, none = lists.flatten().to_numpy(zero_copy_only=False), len(parts) - 1
+    joined = parts.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][ends]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), joined.buffers()[2]])
+    return pa.array([raw[i].as_py().decode("utf-8", "replace").replace(MARK, " ")[1:] if known else None for i, known in enumerate(lists.is_valid().to_pylist())], pa.string())
 
 
-def _grouped(found: DataFrame) -> DataFrame:
-    """The rows of ``lattice_edges`` that belong together as one, with lists of their edges (and costs)."""
-    lists = [c for c in ("edge", "cost") if c in found.columns]
-    kept = [c for c in found.columns if c not in lists]
+@lru_cache
+def _parts(path: str) -> pa.Array:
+    plain, byte = vocabulary(path)
+    codes = {i: p.replace(MARK, " ").encode() for p, i, _ in plain} | {byte + b: bytes([b]) for b in range(256)}
+    return pa.array([codes.get(i, b"") for i in range(max(codes) + 2)], pa.large_binary())
+
+
+def _filled(found: DataFrame, path: str, fold: str, decoded: bool) -> DataFrame:
+    """<doc_id, ids> (and text) from the rows of ``lattice_edges``: those that belong together are grouped and folded, and the ids of rare words put in their places."""
+    kept = [c for c in ("doc_id", "ids", "fresh", "word") if c in found.columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, rest = -1, None
+        of, before, rest, text, new = whole_ids(path, fold), -1, None, None, []
+        unknown = min(s for *_, s in vocabulary(path)[0]) - UNKNOWN_PENALTY
 
-        def grouped(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+        def masks_of(table: pa.Table, heads: np.ndarray, words: list[str | None]) -> list[int]:
+            """The masks of a group's rows, one for each head."""
             nonlocal before
             seq = table["seq"].to_numpy()
-            starts = np.append(heads, len(seq))
-            _in_order(seq[heads], before)
-            if (np.repeat(seq[heads], np.diff(starts)) != seq).any():
+            sizes = np.diff(np.append(heads, len(seq)))
+            if (np.diff(seq[heads], prepend=before) != 1).any() or (np.repeat(seq[heads], sizes) != seq).any():
                 raise RuntimeError("rows lost their order between explode and grouping")
             before = seq[-1]
-            head = np.zeros(len(seq), bool)
-            head[heads] = True
-            offsets = pa.array((starts - np.arange(len(starts))).clip(0, len(seq) - len(heads)), pa.int32())
-            edges = table.filter(pa.array(~head)).combine_chunks()
-            first = table.take(pa.array(heads)).combine_chunks()
-            column = lambda t, c: t[c].chunk(0) if t[c].num_chunks else pa.array([], t[c].type)
-            made = [column(first, c) for c in kept] + [pa.ListArray.from_arrays(offsets, column(edges, c)) for c in lists]
-            return pa.RecordBatch.from_arrays(made, names=[*kept, *(f"{c}s" for c in lists)])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table]).combine_chunks()
-            heads = np.flatnonzero(table["edge"].is_null().to_numpy())
-            rest = table.slice(heads[-1]) if len(heads) else table
-            if len(heads) > 1:
-                yield grouped(table.slice(0, heads[-1]), heads[:-1])
-        if rest is not None and len(rest):
-            yield grouped(rest, np.array([0]))
-
-    schema = ", ".join([f"{c} {found.schema[c].dataType.simpleString()}" for c in kept] + [f"{c}s array<{found.schema[c].dataType.simpleString()}>" for c in lists])
-    return found.mapInArrow(work, schema)
-
-
-def _filled(rows: DataFrame, path: str, fold: str) -> DataFrame:
-    """<doc_id, ids> of <seq, doc_id, ids, fresh, word, mask>: the ids of each text with those of its rare words in their places."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, before = whole_ids(path, fold), -1
-        text: tuple | None = None
-        found: list[list[int]] = []
+            inner = np.ones(len(seq), bool)
+            inner[heads] = False
+            edges = pc.fill_null(table["edge"], 0).to_numpy()[inner]
+            lengths = np.array([0 if w is None or len(w) > LONG else len(w) for w in words])
+            if fold == "bpe":
+                return fold_merges(edges, sizes - 1, lengths).tolist()
+            return fold_paths(edges, pc.fill_null(table["cost"], 0.0).to_numpy()[inner], sizes - 1, lengths, unknown).tolist()
 
         def closed() -> np.ndarray:
             own = np.frombuffer(text[1], "<i4")
             places = np.flatnonzero(own < 0)
             if not len(places):
                 return own
-            new = [found[-1 - n] for n in own[places].tolist()]
-            at = np.repeat(places - np.arange(len(places)), [len(ids) for ids in new])
-            return np.insert(own[own >= 0], at, [i for ids in new for i in ids])
+            put = [new[-1 - n] for n in own[places].tolist()]
+            at = np.repeat(places - np.arange(len(places)), [len(ids) for ids in put])
+            return np.insert(own[own >= 0], at, [i for ids in put for i in ids])
 
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        def batch_of(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             offsets = pa.array(np.cumsum([0, *(len(ids) for _, ids in done)]), pa.int32())
             values = pa.array(np.concatenate([ids for _, ids in done]).astype(np.int32), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], kind), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "ids"])
-
-        kind = None
-        for batch in batches:
-            kind, done = batch.schema.field("doc_id").type, []
-            seq = batch.column("seq").to_numpy()
-            _in_order(seq, before)
-            before = seq[-1] if len(seq) else before
-            for doc, ids, fresh, word, mask in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "fresh", "word", "mask")]):
+            made = {"doc_id": pa.array([d for d, _ in done], kind), "ids": pa.ListArray.from_arrays(offsets, values)}
+            return pa.RecordBatch.from_pydict(made | ({"text": texts_of(made["ids"], path)} if decoded else {}))
+
+        def through(table: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal text
+            first, done = table.take(pa.array(heads)).to_pydict(), []
+            masks = masks_of(table, heads, first["word"])
+            for doc, ids, fresh, word, mask in zip(*[first[c] for c in kept], masks):
                 if word is not None:
-                    found.append(of(word, mask))
+                    new.append(of(word, mask))
                     continue
                 if text is not None:
                     done.append((text[0], closed()))
                 text = doc, ids
                 if fresh:
-                    found.clear()
+                    new.clear()
             if done:
-                yield batch_of(done)
+                yield batch_of(done, table.schema.field("doc_id").type)
+
+        for batch in batches:
+            rest = pa.Table.from_batches(([] if rest is None else rest.to_batches()) + [batch])
+            heads = np.flatnonzero(rest["edge"].is_null().to_numpy())
+            if len(heads) > 1:
+                yield from through(rest.slice(0, heads[-1]), heads[:-1])
+                rest = rest.slice(heads[-1])
+        if rest is not None and len(rest):
+            yield from through(rest, np.array([0]))
         if text is not None:
-            yield batch_of([(text[0], closed())])
+            yield batch_of([(text[0], closed())], rest.schema.field("doc_id").type)
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return found.mapInArrow(work, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, ids array<int>{', text string' if decoded else ''}")
 
 
-def encode(docs: DataFrame, path: str, fold: str = "bpe", most: int = COMMON) -> DataFrame:
-    """<doc_id, ids> of each row of <doc_id, text>."""
+def encode(docs: DataFrame, path: str, fold: str = "bpe", most: int = COMMON, decoded: bool = False) -> DataFrame:
+    """<doc_id, ids> of each row of <doc_id, text>; with ``decoded`` also the text that the ids give."""
     common = common_words(stored(count_words(docs, path), "words"), most)
     rows = _looked_up(docs, path, stored(encode_words(common, path, fold), "common"))
     found = lattice_edges(rows, path, fold)
     shown = [F.when(F.col("edge").isNull(), F.col(c)).alias(c) for c in rows.columns if c != "seq"]
-    lists = _grouped(found.select("seq", *shown, *[c for c in found.columns if c not in rows.columns]))
-    edges = F.col("edges") if fold == "bpe" else F.transform(F.arrays_zip("edges", "costs"), lambda e: F.struct(e["edges"].alias("edge"), e["costs"].alias("cost")))
-    return _filled(lists.select(*rows.columns, open_cuts(F.col("word"), edges, path, fold).alias("mask")), path, fold)
+    return _filled(found.select("seq", *shown, *[c for c in found.columns if c not in rows.columns]), path, fold, decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -503,19 +539,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, byte = vocabulary(path)
-        codes = {i: p.replace(MARK, " ").encode() for p, i, _ in plain} | {byte + b: bytes([b]) for b in range(256)}
-        none = max(codes) + 1
-        parts = pa.array([codes.get(i, b"") for i in range(none + 1)], pa.large_binary())
-
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            joined = parts.take(pa.array(np.where((ids >= 0) & (ids < none), ids, none)))
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
-            offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1][ends]
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), joined.buffers()[2]])
-            texts = [None if not known else raw[i].as_py().decode("utf-8", "replace").replace(MARK, " ")[1:] for i, known in enumerate(lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts_of(batch.column("ids"), path)], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kinds['doc_id']}, ids {kinds['ids']}, text string")

@@ -50,7 +50,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 @query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL), PIECE_MODEL)
+    decoded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
     digest = F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", *digest)
 

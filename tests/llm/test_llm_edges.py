@@ -187,6 +187,28 @@ def test_sentencepiece_rare_words(docs, most):
     assert sorted(((r.doc_id or 0, r.ids) for r in got)) == sorted((i or 0, ids) for i, ids in expected)
 
 
+def test_sentencepiece_folds(spark, docs):
+    """Rare and common words give the same ids under both folds, also over 60 characters; the decoded text is the text."""
+    rows = [(i, t) for i, t in ROWS if i not in (4, 5)] + [(8, "x  y " + "straßenbahn" * 9 + " 漢" * 3 + "thething" * 8), (9, "  the"), (10, "the  "), (11, " ")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    for fold in ("bpe", "viterbi"):
+        rare, common = (sorted((r.doc_id or 0, r.ids, r.text) for r in pieces.encode(texts, PIECES, fold, most, decoded=True).collect()) for most in (0, pieces.COMMON))
+        assert rare == common and [(i, t) for i, _, t in rare] == sorted((i or 0, t or "") for i, t in rows)
+    again = pieces.decode(spark.createDataFrame([(1, None), (2, []), (3, [-1, 10**6])], "doc_id long, ids array<int>"), PIECES)
+    assert {r.doc_id: r.text for r in again.collect()} == {1: None, 2: "", 3: ""}
+
+
+def test_one_pass_merges():
+    """The fold in the order of the ranks against merging the best neighbours, on words made of pieces."""
+    known, (plain, byte), ranks = pieces.piece_scores(PIECES), pieces.vocabulary(PIECES), pieces.piece_ranks(PIECES)
+    draw = random.Random(5)
+    words = ["".join(draw.choice(plain)[0] for _ in range(draw.randint(1, 4)))[: pieces.LONG] for _ in range(4000)]
+    edges = [[ranks[w[s:e]] * 4096 + s * 64 + e for s in range(len(w)) for e in range(s + 2, min(len(w), s + 16) + 1) if w[s:e] in ranks] for w in words]
+    masks = pieces.fold_merges(np.array([e for own in edges for e in own]), np.array([len(own) for own in edges]), np.array([len(w) for w in words]))
+    for word, mask in zip(words, masks.tolist()):
+        assert pieces.cut_ids(word, mask, known, byte) == pieces.merge_long(word, known, byte)
+
+
 def test_viterbi_fold(spark):
     """Against the best of all splits, with the scores taken as log-probabilities."""
     plain, _ = pieces.vocabulary(PIECES)
