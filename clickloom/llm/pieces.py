@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,10 +39,12 @@ MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
 COMMON = 1 << 18
 #: Distinct stretches between spaces that a task holds, their characters, rare words that it numbers, and the texts whose rows it hands on together.
-HELD_STRETCHES = 1 << 17
-HELD_WORDS = 1 << 18
-HELD_CHARACTERS = 1 << 22
+HELD_STRETCHES = 1 << 18
+HELD_WORDS = 1 << 19
+HELD_CHARACTERS = 1 << 24
 TEXTS = 256
+#: Rows that are grouped and folded together, unless they have HELD_CHARACTERS bytes before.
+ROWS = 1 << 16
 #: Characters by which the lengths of the pieces that begin alike are found.
 PREFIX = 3
 #: Steps of the logarithm of a word's uses among which the least use of a common word is chosen.
@@ -399,8 +402,7 @@ def _looked_up(docs: DataFrame, path: str, common: DataFrame) -> DataFrame:
 
 def fold_merges(edges: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``merged_cuts`` of many words at once: word i has the next sizes[i] edges and lengths[i] characters."""
-    words = np.repeat(np.arange(len(sizes)), sizes)
-    edges = edges[np.lexsort((edges, words))]
+    edges = np.sort((np.repeat(np.arange(len(sizes)), sizes) << 32) + edges) & 0xFFFFFFFF
     order, starts = np.argsort(-sizes, kind="stable"), np.cumsum(sizes) - sizes
     starts, counts = starts[order], sizes[order]
     masks, one = (np.int64(1) << (lengths[order] + 1)) - 1, np.int64(1)
@@ -486,8 +488,8 @@ def _filled(found: DataFrame, path: str, fold: str, decoded: bool) -> DataFrame:
             if not len(places):
                 return own
             put = [new[-1 - n] for n in own[places].tolist()]
-            at = np.repeat(places - np.arange(len(places)), [len(ids) for ids in put])
-            return np.insert(own[own >= 0], at, [i for ids in put for i in ids])
+            at = np.repeat(places - np.arange(len(places)), [len(ids) // 4 for ids in put])
+            return np.insert(own[own >= 0], at, np.frombuffer(b"".join(put), "<i4"))
 
         def batch_of(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
             offsets = pa.array(np.cumsum([0, *(len(ids) for _, ids in done)]), pa.int32())
@@ -497,11 +499,11 @@ def _filled(found: DataFrame, path: str, fold: str, decoded: bool) -> DataFrame:
 
         def through(table: pa.Table, heads: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal text
-            first, done = table.take(pa.array(heads)).to_pydict(), []
+            first, done = table.select(kept).take(pa.array(heads)).to_pydict(), []
             masks = masks_of(table, heads, first["word"])
             for doc, ids, fresh, word, mask in zip(*[first[c] for c in kept], masks):
                 if word is not None:
-                    new.append(of(word, mask))
+                    new.append(array("i", of(word, mask)).tobytes())
                     continue
                 if text is not None:
                     done.append((text[0], closed()))
@@ -513,12 +515,14 @@ def _filled(found: DataFrame, path: str, fold: str, decoded: bool) -> DataFrame:
 
         for batch in batches:
             rest = pa.Table.from_batches(([] if rest is None else rest.to_batches()) + [batch])
+            if len(rest) < ROWS and rest.nbytes < HELD_CHARACTERS:
+                continue
             heads = np.flatnonzero(rest["edge"].is_null().to_numpy())
             if len(heads) > 1:
                 yield from through(rest.slice(0, heads[-1]), heads[:-1])
                 rest = rest.slice(heads[-1])
         if rest is not None and len(rest):
-            yield from through(rest, np.array([0]))
+            yield from through(rest, np.flatnonzero(rest["edge"].is_null().to_numpy()))
         if text is not None:
             yield batch_of([(text[0], closed())], rest.schema.field("doc_id").type)
 
