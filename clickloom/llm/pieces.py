@@ -37,7 +37,7 @@ MARK = "▁"
 LONG = 60
 MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
-COMMON = 1 << 19
+COMMON = 1 << 18
 #: Distinct stretches between spaces that a task holds, their characters, rare words that it numbers, and the texts whose rows it hands on together.
 HELD_STRETCHES = 1 << 18
 HELD_WORDS = 1 << 19
@@ -141,10 +141,10 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
         pattern, held, size = word_pattern(path), Counter(), 0
 
         def flush() -> pa.RecordBatch:
-            counts: dict[str, int] = {}
+            counts = Counter()
             for stretch, uses in held.items():
                 for word in pattern.findall(MARK + stretch):
-                    counts[word] = counts.get(word, 0) + uses
+                    counts[word] += uses
             held.clear()
             made = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(made, names=["word", "uses"])
