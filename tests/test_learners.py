@@ -96,3 +96,11 @@ def test_a_learner_without_inputs_left_out(data):
     seen, held = only.where("fold != 1"), only.where("fold = 1")
     model, facts = learning._linear(learning.crossed(seen, seen, "clicked"))
     assert wll(learners.score(model, learning.crossed(seen, held, "id", "clicked"), keep=("clicked",))) < 0.35 and facts["loss"] < facts["constant"]
+
+
+def test_the_factor_machine_learns_beyond_the_smallest_tables(spark):
+    from clickloom.plans.queries import REGISTRY
+    from compare import compare, oracle
+
+    sf = "/root/testdata/sf0.01"
+    assert compare(oracle(sf), REGISTRY["factor_machine"], spark, sf) is None
