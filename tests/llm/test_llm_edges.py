@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from clickloom.llm import attribution, chat, packing, pieces, pii, quality, sharding, simhash, topk, warc
@@ -198,6 +199,20 @@ def test_sentencepiece_folds(spark, docs):
     assert {r.doc_id: r.text for r in again.collect()} == {1: None, 2: "", 3: ""}
 
 
+def test_stretches_of_texts_read_together():
+    """The words of many texts at once, against those of each whole text; ends of words are listed, so they meet no lengths that no piece has."""
+    texts = [t for _, t in ROWS] + [None, "", " ", "a  b ", "▁", "▁▁x y▁", "z " * 3, "\U0001f600 x", "a b c a"]
+    found, numbers, bounds = pieces.distinct_stretches(pa.array(texts, pa.string()))
+    own = [[found[i].as_py() for i in numbers[s:e]] for s, e in zip(bounds, bounds[1:])]
+    assert own == [pieces.stretches(t) for t in texts]
+    pattern = pieces.word_pattern(PIECES)
+    words = sorted(w for part in pieces.words_of([s for each in own for s in each], pattern) for w in part)
+    assert words == sorted(w for t in texts if t for w in pattern.findall(pieces.MARK + t.replace(" ", pieces.MARK)))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x" * pieces.TEXT_BYTES, None, "y"] + ["z"] * 2 * pieces.TEXTS, pa.string())})
+    slices = list(pieces.together(batch))
+    assert pa.Table.from_batches(slices).to_pydict() == batch.to_pydict() and max(b.num_rows for b in slices) <= pieces.TEXTS
+
+
 def test_one_pass_merges():
     """The fold in the order of the ranks against merging the best neighbours, on words made of pieces."""
     known, (plain, byte), ranks = pieces.piece_scores(PIECES), pieces.vocabulary(PIECES), pieces.piece_ranks(PIECES)
