@@ -1,15 +1,20 @@
-"""Very long texts, and the rules of op9 by the contract's expressions."""
+"""Very long texts, chunks of texts against the whole tokenizer, and the rules of op9 by the contract's expressions."""
 
 import random
 import re
 import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
-from clickloom.llm import attribution, chat, pii
+from clickloom.llm import attribution, chat, encoding, pii
 from clickloom.llm.encoding import LONG_BLANKS, byte_pairs, ordinary_ids
+from tokenizers import Tokenizer
 
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 MILLION = 1_000_000
 # The contract's expressions.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -77,3 +82,26 @@ def test_long_blanks_in_documents_and_chats(spark, text):
     assert rows.agg({"n_tokens": "sum"}).first()[0] == len(ids)
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_turns(turns, BYTES), BYTES).first().loss_chars == len(text)
+
+
+@pytest.mark.parametrize("limit, block", [(1_000_000, 8 << 20), (50, 40)])
+def test_chunks_give_the_tokenizer_s_ids(limit, block, monkeypatch):
+    monkeypatch.setattr(encoding, "BLOCK", block)
+    model, encoder, rng = Tokenizer.from_file(WORDS), encoding.ChunkEncoder(WORDS, limit), random.Random(3)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 30))) for a in (
+        "a'st .", "ab'.,! \n", "aé̸=<'s ", "A1'd2, \t", "ßöÖÿ÷×a.", "İıſKΣσ'a", "a\x00\x1c\x85\xa0　 .", "中文ab1٣Ⅷ²ª_ -", "'reveml l", "́a ‍.é'",
+    ) for _ in range(300)]
+    texts += ["x<|endoftext|>y Z.", "<|EndOfText|> A's", "<|startoftext|>'s a.b", "<|", "", " ", "\n"]
+    found = list(encoder.encode(pa.array([None, *texts]).slice(1)))
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_most_new_chunks_are_words_for_the_model_alone(monkeypatch):
+    encoder, slow = encoding.ChunkEncoder(WORDS), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda chunks: (slow.extend(chunks), learn(chunks)))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].combine_chunks()
+    model = Tokenizer.from_file(WORDS)
+    for found, text in zip(encoder.encode(texts), texts.to_pylist(), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == model.encode(text or "", add_special_tokens=False).ids
+    assert 5 * len(slow) < len(encoder.known)
