@@ -266,8 +266,9 @@ SELECT id, CAST(dim AS INTEGER) AS dim, coalesce(round(pooled, 5), 0) + 0.0 AS p
 
 @query("attention_pool_join", POOLED)
 def attention_pool_join(spark, sf):
-    vectors = _item_vectors(spark, sf)
-    pooled = attention.pooled(attention.bag_weights(_histories(spark, sf), vectors), vectors)
+    """The vectors of a group of users are joined to it; no row for each impression and item of its history is shuffled."""
+    rows = impressions(spark, sf).select("id", "user_id", "day", F.col("l_feat_14").cast("string").alias("item"))
+    pooled = attention.pool_histories(rows, _item_vectors(spark, sf))
     return pooled.select("id", F.posexplode("pooled").alias("dim", "pooled")).select("id", "dim", r("pooled", 5))
 
 

@@ -65,6 +65,54 @@ def test_counted_attention_equals_attention_over_lists(spark, clicks):
         assert set(got) == set(expected) and all(got[i] == pytest.approx(expected[i], abs=1e-9) for i in got)
 
 
+def joined_pools(events, vectors):
+    """Pooled vectors by way of a row for each event and item of its history."""
+    met = events.join(histories.bags(events).withColumnRenamed("item", "held"), ["user_id", "day"], "left")
+    counted = met.select("id", F.col("item").alias("_candidate"), F.col("held").alias("item"), F.coalesce("times", F.lit(0)).alias("times"))
+    return attention.pooled(attention.bag_weights(counted, vectors), vectors)
+
+
+@pytest.mark.parametrize("products, pairs", [(1024, 1 << 16), (1, 50)])
+def test_grouped_pools_equal_joined_ones(spark, monkeypatch, products, pairs):
+    monkeypatch.setattr(attention, "PRODUCT_ITEMS", products)
+    monkeypatch.setattr(attention, "PAIRS_AT_ONCE", pairs)
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *range(9)]), rng.choice(["a", "b", "c", "d", "e", None])) for i in range(300)]
+    twice = [*rows, (5, 2, 7, "a"), (5, 2, 7, "a"), (None, 1, 3, "b"), (None, 3, 8, "d"), (9, None, None, None), (900, 77, 1, "a")]
+    vectors = spark.createDataFrame([("a", [1.0, 0.5]), ("b", [0.2, -1.0]), ("c", [0.0, 2.0]), ("e", None), (None, [4.0, 4.0])], "item string, vec array<double>")
+    for data, known in ((rows, vectors), (twice, vectors), (rows, vectors.unionByName(vectors.limit(2))), ([], vectors)):
+        events = spark.createDataFrame(data, "id long, user_id long, day int, item string").repartition(3)
+        expected = {r.id: r.pooled for r in joined_pools(events, known).collect()}
+        found = attention.pool_histories(events, known, group=40).collect()
+        got = {r.id: r.pooled for r in found}
+        assert len(found) == len(got) and set(got) == set(expected) and all(got[i] == pytest.approx(expected[i], abs=1e-9) for i in got)
+
+
+def test_pooled_histories_shuffle_events_and_not_their_pairs(spark, tmp_path):
+    rows = [(i, i % 20, i // 200, str(i % 97)) for i in range(6000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, day int, item string").selectExpr(
+        "event_id", "user_id", "'view' AS event_type", "timestamp_seconds(day * 86400L + event_id) AS ts", "1.0D AS value", "concat('{\"k\": ', item, '}') AS props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(97).selectExpr("id AS vec_id", "transform(sequence(1, 8), x -> cast(sin(x * id) AS float)) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from clickloom.plans.queries import REGISTRY
+
+    made = REGISTRY["attention_pool_join"].run(spark, str(tmp_path))
+    assert made.count() == 6000 * 8
+    rest, sent = [made._jdf.queryExecution().executedPlan()], 0
+    made.collect()
+    while rest:
+        node = rest.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            rest.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.metrics().contains("shuffleRecordsWritten"):
+            sent += node.metrics().apply("shuffleRecordsWritten").value()
+        rest += [node.children().apply(k) for k in range(node.children().size())]
+    assert 6000 <= sent < 6000 + 97 * 60
+
+
 def test_joined_encoding_keeps_rows_that_share_a_key(spark):
     rows = [(1, "x,y"), (1, "y"), (1, "y"), (2, None), (2, ""), (2, None)]
     vocabulary = spark.createDataFrame([("x", 1), ("y", 2)], "item string, idx int")
