@@ -206,3 +206,27 @@ def test_parts_are_computed_once_for_each_file(spark, tmp_path):
     assert features() == [(i, 2 * i) for i in range(5)] and seen == [10, 3, 5]
     cache.part_cache(spark, build, {"features": {"v": 2}}, path, root)
     assert seen == [10, 3, 5, 5]
+
+
+def plain_level(bins, g, h, p):
+    """The best first cut by plain sums over every column and bin, the first of equal ones."""
+    soft = lambda v: math.copysign(max(abs(v) - p["l1"], 0.0), v)
+    worth = lambda s: soft(g[s].sum()) ** 2 / (h[s].sum() + p["l2"])
+    found = [(worth(low) + worth(~low), -f, -b) for f in range(bins.shape[1]) for b in range(int(bins[:, f].max())) for low in [bins[:, f] <= b] if min(h[low].sum(), h[~low].sum()) >= p["child"]]
+    return max(found, key=lambda x: (round(x[0], 9), x[1], x[2]))
+
+
+def test_columns_of_few_bins_cost_few_cells(monkeypatch):
+    rng = np.random.default_rng(8)
+    y = (rng.random(4000) < 0.4).astype(float)
+    bins = np.concatenate([rng.integers(0, 2, (4000, 10)), rng.integers(0, 256, (4000, 1)), np.zeros((4000, 3))], axis=1).astype(np.uint8)
+    p = boosting.settings("a", rows=1.0, columns=1.0, level_columns=1.0, depth=6)
+    cells, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, w=None, n=0, **k: cells.append(n) or count(x, w, n or k.get("minlength", 0)))
+    feature, cut, child, value, at = boosting.grow(bins, 0.5 - y, np.full(4000, 0.25), p, rng)
+    monkeypatch.undo()
+    assert len(np.unique(at)) > 8 and (boosting.reached(bins, feature, cut, child) == at).all()
+    # 10 columns of 2 bins and one of 256, not 14 of 256
+    assert sum(cells) < 4 * 64 * 2 * (256 + 20)
+    best = plain_level(bins, 0.5 - y, np.full(4000, 0.25), p)
+    assert (feature[0], cut[0]) == (-best[1], -best[2])
