@@ -69,3 +69,17 @@ def test_the_linear_queries_keep_no_crossed_rows(spark):
     finally:
         LogisticRegression.fit = fit
     assert not sizes
+
+
+@pytest.mark.parametrize("buckets", [5, 64])
+def test_factors_are_those_of_mllib(spark, rows, buckets):
+    from clickloom.operators import learners
+
+    inputs = linear.Inputs(SCALE, ["c", "d"], (), buckets)
+    factors, coefficients, intercept = linear.fit_factors(linear.packed(rows, inputs).cache(), inputs, 0.01, 1e-5, learners.SEED, rounds=12)
+    vectors = crosses.crossed_vectors(rows, SCALE, ["c", "d"], (), ("clicked",), buckets).cache()
+    wanted = learners.factor_learner(stepSize=0.01, maxIter=12).fit(vectors)
+    assert np.abs(wanted.factors.toArray() - factors).max() < 1e-9 and np.abs(wanted.linear.toArray() - coefficients).max() < 1e-9 and wanted.intercept == pytest.approx(intercept, abs=1e-9)
+    model = linear.factor_model(spark, factors, coefficients, intercept)
+    both = [[r.probability[1] for r in m.transform(vectors).select("probability").collect()] for m in (wanted, model)]
+    assert np.abs(np.subtract(*both)).max() < 1e-9
